@@ -129,8 +129,10 @@ def with_ctes(sql: str, *names: str) -> str:
         visit(n)
     if not ordered:
         return sql
-    body = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered)
-    return f"WITH {body}\n{sql}"
+    body = ",\n".join(f"{n} AS {'' if n == 'fold' else 'MATERIALIZED '}({CTES[n][1]})"
+                      for n in ordered)
+    recursive = "RECURSIVE " if "fold" in ordered else ""
+    return f"WITH {recursive}{body}\n{sql}"
 
 
 __all__ = ["QUERIES", "ORACLES", "register", "add_cte", "with_ctes", "SYMBOL_BASE"]
