@@ -1,4 +1,5 @@
 """Imports every query module, which fills the registry."""
 
 from .base import ORACLES, QUERIES  # noqa: F401
-from . import (token_queries, sequence_queries, note_queries)  # noqa: F401,E402
+from . import (token_queries, sequence_queries, note_queries,
+               encode_queries)  # noqa: F401,E402
