@@ -97,6 +97,14 @@ def _events(state: DataFrame, forward_dynamics: bool) -> DataFrame:
             F.coalesce("dur", F.lit("dur-1/4")))).alias("own_ticks"))
 
 
+def note_events(tokens: DataFrame) -> DataFrame:
+    """Notes and rests before tie merging: ``head`` token, spelling, length and chord tokens."""
+    ev = _events(_token_state(tokens, layout=False), forward_dynamics=False)
+    return ev.select("score_id", "event_idx", "pos", "voice", "measure_idx", "head", "is_rest",
+                     "pitch", F.col("own_ticks").alias("ticks"),
+                     F.transform("chord", lambda c: suffix(c["token"], "chord-")).alias("chord"))
+
+
 def _merge_ties(events: DataFrame, compat: bool) -> DataFrame:
     """Equal pitches joined by a tie inside one open run become one event."""
     w = Window.partitionBy("score_id").orderBy("event_idx")

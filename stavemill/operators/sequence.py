@@ -15,16 +15,19 @@ from ..functions.tokens import (duration_ticks, is_barline, is_chord, is_header,
 
 
 
-def by_score() -> WindowSpec:
-    return Window.partitionBy("score_id").orderBy("pos")
+SCORE_KEY = ("score_id",)
 
 
-def up_to() -> WindowSpec:
-    return by_score().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def by_score(keys: tuple[str, ...] = SCORE_KEY) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("pos")
 
 
-def before() -> WindowSpec:
-    return by_score().rowsBetween(Window.unboundedPreceding, -1)
+def up_to(keys: tuple[str, ...] = SCORE_KEY) -> WindowSpec:
+    return by_score(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before(keys: tuple[str, ...] = SCORE_KEY) -> WindowSpec:
+    return by_score(keys).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def whole_score() -> WindowSpec:
@@ -41,17 +44,22 @@ def renumber(df: DataFrame, keys: list[str], order: list[str], name: str = "pos"
     return df.withColumn(name, F.row_number().over(w) - 1)
 
 
-def measure_index(tokens: DataFrame, barlines: str = "eval") -> DataFrame:
-    """Q1: a barline belongs to the measure it ends; a trailing open run is a measure."""
-    n = F.sum(flag(is_barline("token", barlines))).over(before())
+def measure_index(tokens: DataFrame, barlines: str = "eval",
+                  keys: tuple[str, ...] = SCORE_KEY) -> DataFrame:
+    """Q1: a barline belongs to the measure it ends; a trailing open run is a measure.
+
+    ``keys`` names one sequence; it starts with ``score_id``."""
+    n = F.sum(flag(is_barline("token", barlines))).over(before(keys))
     return tokens.withColumn("measure_idx", F.coalesce(n, F.lit(0)).cast("int"))
 
 
-def assign_voice(tokens: DataFrame, barlines: str = "eval") -> DataFrame:
+def assign_voice(tokens: DataFrame, barlines: str = "eval",
+                 keys: tuple[str, ...] = SCORE_KEY) -> DataFrame:
     """Q2: lower staff from ``staff-bass`` to the end of the measure (barline included)."""
-    df = measure_index(tokens, barlines)
+    df = measure_index(tokens, barlines, keys)
     # The measure of the latest staff-bass equals this row's measure exactly on the lower staff.
-    last = F.last(F.when(F.col("token") == "staff-bass", F.col("measure_idx")), True).over(up_to())
+    last = F.last(F.when(F.col("token") == "staff-bass", F.col("measure_idx")), True).over(
+        up_to(keys))
     return df.withColumn("voice", F.when(last == F.col("measure_idx"), "bass")
                          .otherwise("treble"))
 
