@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import is_note_token, token_category
 from ..functions.vocab import SYMBOL_BASE, UNK_ID, vocab_dim
 from .repair import drop_orphan_chords, drop_unmatched_spans
-from .sequence import assign_voice, flag, is_grand, measure_index
+from .sequence import assign_voice, flag, measure_index
 
 MISSING, EXTRA = "<누락>", "<없음>"  # fixed values: first-error markers
 SIDE = ("score_id", "side")
@@ -121,31 +121,63 @@ def first_error(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
                         F.coalesce("e.p", F.lit(MISSING)).alias("pred_token"))
 
 
-def voice_rows(rows: DataFrame) -> DataFrame:
-    """Both sides split into staves: adds ``voice`` and renumbers ``pos`` inside it."""
-    df = assign_voice(rows, "eval", SIDE).filter(F.col("token") != "staff-bass")
-    w = Window.partitionBy("score_id", "side", "voice").orderBy("pos")
-    return df.select("score_id", "side", "voice", (F.row_number().over(w) - 1).alias("pos"),
-                     "token")
+def scoped_rows(rows: DataFrame) -> DataFrame:
+    """Repeats the rows of grand scores per staff: adds ``scope`` (all / treble / bass)."""
+    grand = F.max(flag((F.col("side") == "g") & (F.col("token") == "staff-bass"))).over(
+        Window.partitionBy("score_id"))
+    df = assign_voice(rows, "eval", SIDE).withColumn("is_grand", grand == 1)
+    staff = F.when(F.col("is_grand") & (F.col("token") != "staff-bass"), F.array("voice")).otherwise(
+        F.array().cast("array<string>"))
+    return df.select("score_id", "side", "pos", "token", "is_grand",
+                     F.explode(F.concat(F.array(F.lit("all")), staff)).alias("scope"))
+
+
+def compare_scopes(rows: DataFrame) -> DataFrame:
+    """Measure TER, note error rate and first error per (score, scope) in one pass: measures are
+    reduced to strings first, scores to the joined strings of their measures. No joins, and every
+    step is clustered by ``score_id``."""
+    df = measure_index(_symbols(rows), "eval", ("score_id", "scope", "side"))
+    code = F.dense_rank().over(Window.partitionBy("score_id").orderBy("token"))
+    df = df.withColumn("_code", code).withColumn(
+        "code", F.when(is_note_token("token"), code_char(F.col("_code"))).otherwise(""))
+    listed = lambda side: F.transform(F.array_sort(F.collect_list(
+        F.when(F.col("side") == side, F.struct("pos", "token")))), lambda x: x["token"])
+    per_measure = df.groupBy("score_id", "scope", "is_grand", "measure_idx").agg(
+        _text("p").alias("p"), _text("g").alias("g"), _text("p", "code").alias("pn"),
+        _text("g", "code").alias("gn"), listed("p").alias("pt"), listed("g").alias("gt"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("measure_idx", c))),
+                                     lambda x: x[c])
+    per = per_measure.groupBy("score_id", "scope", "is_grand").agg(
+        F.sum(F.levenshtein("p", "g")).alias("dist"), F.sum(F.length("g")).alias("gt_len"),
+        F.sum(F.length("p")).alias("pred_len"),
+        F.array_join(in_order("pn"), "").alias("pn"), F.array_join(in_order("gn"), "").alias("gn"),
+        F.flatten(in_order("pt")).alias("pt"), F.flatten(in_order("gt")).alias("gt"))
+    same = F.zip_with("gt", "pt", lambda g, p: g.eqNullSafe(p))
+    at = F.nullif(F.array_position(same, False).cast("int"), F.lit(0)) - 1
+    df = per.withColumn("error_pos", at)
+    token = lambda c, missing: F.when(F.col("error_pos").isNotNull(),
+                                      F.coalesce(F.get(c, F.col("error_pos")), F.lit(missing)))
+    return df.select(
+        "score_id", "scope", "is_grand", "gt_len", "pred_len",
+        error_rate(F.col("dist"), F.col("gt_len"), F.col("pred_len")).alias("ter"),
+        error_rate(F.levenshtein("pn", "gn"), F.length("gn"), F.length("pn")).alias("note_err"),
+        "error_pos", token("gt", EXTRA).alias("gt_token"), token("pt", MISSING).alias("pred_token"))
 
 
 def analyze_scores(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """One row per score; staff columns only for grand scores."""
-    rows = stack(pred, truth)
-    base = measure_ter(rows).select("score_id", "gt_len", "pred_len", F.col("ter").alias("overall_ter"))
-    grand = is_grand(rows.filter("side = 'g'"))
-    voices = voice_rows(rows.join(grand.filter("is_grand"), "score_id", "left_semi"))
-    staff_err = note_error_rate(voices, ("voice",)).groupBy("score_id").agg(
-        F.max(F.when(F.col("voice") == "treble", F.col("note_err"))).alias("treble_note_err"),
-        F.max(F.when(F.col("voice") == "bass", F.col("note_err"))).alias("bass_note_err"))
-    bass_ter = measure_ter(voices.filter("voice = 'bass'")).select(
-        "score_id", F.col("ter").alias("bass_ter"))
-    staff_first = first_error(voices, ("voice",)).groupBy("score_id").agg(
-        F.max(F.when(F.col("voice") == "treble", F.col("error_pos"))).alias("treble_first"),
-        F.max(F.when(F.col("voice") == "bass", F.col("error_pos"))).alias("bass_first"))
-    return (base.join(grand, "score_id", "left").join(note_error_rate(rows), "score_id", "left")
-            .join(first_error(rows), "score_id", "left").join(staff_err, "score_id", "left")
-            .join(bass_ter, "score_id", "left").join(staff_first, "score_id", "left"))
+    per = compare_scopes(scoped_rows(stack(pred, truth)))
+    pick = lambda scope, c: F.max(F.when(F.col("scope") == scope, F.col(c)))
+    return per.groupBy("score_id").agg(
+        F.bool_or("is_grand").alias("is_grand"),
+        pick("all", "gt_len").alias("gt_len"), pick("all", "pred_len").alias("pred_len"),
+        pick("all", "ter").alias("overall_ter"), pick("all", "note_err").alias("note_err"),
+        pick("all", "error_pos").alias("error_pos"), pick("all", "gt_token").alias("gt_token"),
+        pick("all", "pred_token").alias("pred_token"),
+        pick("treble", "note_err").alias("treble_note_err"),
+        pick("bass", "note_err").alias("bass_note_err"), pick("bass", "ter").alias("bass_ter"),
+        pick("treble", "error_pos").alias("treble_first"),
+        pick("bass", "error_pos").alias("bass_first"))
 
 
 def evaluation_report(analysis: DataFrame, n_pairs: DataFrame) -> DataFrame:
