@@ -2,4 +2,5 @@
 
 from .base import ORACLES, QUERIES  # noqa: F401
 from . import (token_queries, sequence_queries, note_queries,
-               encode_queries, evaluate_queries, stats_queries, dataset_queries)  # noqa: F401,E402
+               encode_queries, evaluate_queries, stats_queries, dataset_queries,
+               stream_queries)  # noqa: F401,E402
