@@ -90,11 +90,14 @@ _FRACTION = r"^(?:dur|rest)-([0-9]+)/([0-9]+)$"
 
 
 def duration_ticks(c: ColumnLike) -> Column:
-    """``dur-a/b`` or ``rest-a/b`` in ticks (96 per whole note); NULL when malformed."""
+    """``dur-a/b`` or ``rest-a/b`` in ticks (96 per whole note); NULL when malformed.
+
+    The pattern runs only on tokens with the right prefix."""
     c = col(c)
     num = F.regexp_extract(c, _FRACTION, 1).try_cast("int")
     den = F.nullif(F.regexp_extract(c, _FRACTION, 2).try_cast("int"), F.lit(0))
-    return F.floor(num * TICKS_PER_WHOLE / den).cast("int")
+    return F.when(starts_with_any(c, ("dur-", "rest-")),
+                  F.floor(num * TICKS_PER_WHOLE / den).cast("int"))
 
 
 def duration_ticks_or_quarter(c: ColumnLike) -> Column:

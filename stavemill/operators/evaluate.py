@@ -17,6 +17,7 @@ from .sequence import assign_voice, flag, measure_index
 
 MISSING, EXTRA = "<누락>", "<없음>"  # fixed values: first-error markers
 SIDE = ("score_id", "side")
+VOCAB_SIZE = 259
 
 
 def stack(pred: DataFrame, truth: DataFrame, evaluated: DataFrame | None = None) -> DataFrame:
@@ -34,11 +35,18 @@ def stack(pred: DataFrame, truth: DataFrame, evaluated: DataFrame | None = None)
     return both.filter("_lo = 'g' AND _hi = 'p'").drop("_lo", "_hi")
 
 
-def _symbols(rows: DataFrame) -> DataFrame:
-    """Adds ``sym``; tokens outside the vocabulary share the unknown symbol."""
-    dim = vocab_dim(rows.sparkSession).select("token", "sym")
-    return rows.join(F.broadcast(dim), "token", "left").withColumn(
-        "sym", F.coalesce("sym", F.lit(chr(SYMBOL_BASE + UNK_ID))))
+def _symbols(rows: DataFrame, exact: bool = False) -> DataFrame:
+    """Adds ``sym``, one character per token; tokens outside the vocabulary share the unknown one.
+    ``exact`` adds ``code``, where they stay distinct: each takes the character of its place among
+    the score's unknown tokens (a window without an order, hence without an extra sort)."""
+    dim = vocab_dim(rows.sparkSession).select("token", F.col("sym").alias("_v"))
+    df = rows.join(F.broadcast(dim), "token", "left")
+    if exact:
+        unknown = F.array_sort(F.collect_set(F.when(F.col("_v").isNull(), F.col("token"))).over(
+            Window.partitionBy("score_id")))
+        df = df.withColumn("_u", unknown).withColumn("code", F.coalesce(
+            "_v", code_char(F.array_position("_u", F.col("token")) + VOCAB_SIZE))).drop("_u")
+    return df.withColumn("sym", F.coalesce("_v", F.lit(chr(SYMBOL_BASE + UNK_ID)))).drop("_v")
 
 
 def code_char(code: Column) -> Column:
@@ -88,13 +96,11 @@ def measure_ter(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def note_error_rate(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Note, chord, rest and duration tokens only, compared as written.
 
-    Tokens get a per-score code, so spellings outside the vocabulary stay distinct.
+    Spellings outside the vocabulary stay distinct.
     """
-    kept = rows.filter(is_note_token("token"))
-    code = F.dense_rank().over(Window.partitionBy("score_id").orderBy("token"))
-    coded = kept.withColumn("_code", code).withColumn("sym", code_char(F.col("_code")))
+    coded = _symbols(rows.filter(is_note_token("token")), exact=True)
     everyone = rows.select("score_id", *keys).distinct()
-    per = coded.groupBy("score_id", *keys).agg(_text("p").alias("p"), _text("g").alias("g"))
+    per = coded.groupBy("score_id", *keys).agg(_text("p", "code").alias("p"), _text("g", "code").alias("g"))
     df = everyone.join(per, ["score_id", *keys], "left").na.fill("", ["p", "g"])
     return df.select("score_id", *keys, error_rate(F.levenshtein("p", "g"), F.length("g"),
                                                    F.length("p")).alias("note_err"))
@@ -136,15 +142,18 @@ def compare_scopes(rows: DataFrame) -> DataFrame:
     """Measure TER, note error rate and first error per (score, scope) in one pass: measures are
     reduced to strings first, scores to the joined strings of their measures. No joins, and every
     step is clustered by ``score_id``."""
-    df = measure_index(_symbols(rows), "eval", ("score_id", "scope", "side"))
-    code = F.dense_rank().over(Window.partitionBy("score_id").orderBy("token"))
-    df = df.withColumn("_code", code).withColumn(
-        "code", F.when(is_note_token("token"), code_char(F.col("_code"))).otherwise(""))
-    listed = lambda side: F.transform(F.array_sort(F.collect_list(
-        F.when(F.col("side") == side, F.struct("pos", "token")))), lambda x: x["token"])
+    df = _symbols(rows, exact=True).withColumn(
+        "code", F.when(is_note_token("token"), F.col("code")).otherwise(""))
+    df = measure_index(df, "eval", ("score_id", "scope", "side"))
+    listed = lambda side: F.array_sort(F.collect_list(
+        F.when(F.col("side") == side, F.struct("pos", "sym", "code", "token"))))
+    joined = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), "")
     per_measure = df.groupBy("score_id", "scope", "is_grand", "measure_idx").agg(
-        _text("p").alias("p"), _text("g").alias("g"), _text("p", "code").alias("pn"),
-        _text("g", "code").alias("gn"), listed("p").alias("pt"), listed("g").alias("gt"))
+        listed("p").alias("lp"), listed("g").alias("lg")).select(
+        "score_id", "scope", "is_grand", "measure_idx",
+        joined("lp", "sym").alias("p"), joined("lg", "sym").alias("g"),
+        joined("lp", "code").alias("pn"), joined("lg", "code").alias("gn"),
+        F.col("lp.token").alias("pt"), F.col("lg.token").alias("gt"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("measure_idx", c))),
                                      lambda x: x[c])
     per = per_measure.groupBy("score_id", "scope", "is_grand").agg(

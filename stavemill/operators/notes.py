@@ -57,49 +57,58 @@ def _token_state(tokens: DataFrame, layout: bool) -> DataFrame:
         F.last(F.when(~bass, clef), True).over(up_to()).alias("clef_treble"))
 
 
-def _events(state: DataFrame, forward_dynamics: bool) -> DataFrame:
-    """One row per note or rest with its last duration, chord tones and dynamic."""
+HEAD_STATE = ("measure_idx", "run_idx", "voice", "in_tuplet", "start_marks", "ends_bass",
+              "ends_treble", "all_ends_bass", "all_ends_treble", "clef_bass", "clef_treble")
+
+
+def _events(state: DataFrame, forward_dynamics: bool = False, loose_ties: bool = False) -> DataFrame:
+    """One row per note or rest with its last duration, chord tones and dynamic.
+
+    Only heads and tokens that can attach reach the aggregation; it keeps one head struct and one
+    short list per event.
+    """
     t = F.col("token")
     head = is_note(t) | is_rest(t)
-    attached = F.col("is_open") & ~head
-    at_head = lambda c: F.max(F.when(head, F.col(c))).alias(c)
-    dynamic = F.when(attached & t.startswith("dynamic-"), F.struct("pos", suffix(t, "dynamic-")
-                                                                   .alias("v")))
-    loose = F.when(~F.col("is_open") & t.startswith("dynamic-"),
-                   F.struct("pos", suffix(t, "dynamic-").alias("v")))
-    ev = state.groupBy("score_id", "event_idx").agg(
-        F.max(F.when(head, t)).alias("head"),
-        *[at_head(c) for c in ("pos", "measure_idx", "run_idx", "voice", "start_marks",
-                               "ends_bass", "ends_treble", "all_ends_bass", "all_ends_treble",
-                               "clef_bass", "clef_treble")],
-        F.bool_or(F.when(head, F.col("in_tuplet"))).alias("in_tuplet"),
-        F.max(F.when(attached & t.startswith("dur-"), F.struct("pos", "token")))["token"]
-        .alias("dur"),
-        F.array_sort(F.collect_list(F.when(attached & is_chord(t), F.struct("pos", "token"))))
-        .alias("chord"),
-        F.max(dynamic)["v"].alias("dynamic"),
-        F.max(loose)["v"].alias("loose_dynamic"),
-        F.max(flag(F.col("is_open") & (t == "tie"))).alias("tie"),
-        F.sum(flag(~F.col("is_open") & (t == "tie"))).alias("loose_ties"))
+    attached = F.col("is_open") & (t.startswith("dur-") | is_chord(t) | t.startswith("dynamic-")
+                                   | (t == "tie"))
+    loose = F.lit(False)
+    if forward_dynamics:
+        loose = loose | (~F.col("is_open") & t.startswith("dynamic-"))
+    if loose_ties:
+        loose = loose | (~F.col("is_open") & (t == "tie"))
+    item = F.struct("pos", "token")
+    ev = state.filter(head | attached | loose).groupBy("score_id", "event_idx").agg(
+        F.min(F.when(head, F.struct("pos", F.col("token").alias("head"), *HEAD_STATE))).alias("h"),
+        F.collect_list(F.when(~head & F.col("is_open"), item)).alias("own"),
+        F.collect_list(F.when(~head & ~F.col("is_open"), item)).alias("loose"))
+    last = lambda c, prefix: F.array_max(F.filter(c, lambda x: x["token"].startswith(prefix)))["token"]
+    ev = ev.select("score_id", "event_idx", "h.*", "own", "loose")
     w = Window.partitionBy("score_id").orderBy("event_idx")
+    dynamic = suffix(last("own", "dynamic-"), "dynamic-")
     if forward_dynamics:
-        carried = F.lag("loose_dynamic").over(w)
-        ev = ev.withColumn("dynamic", F.coalesce("dynamic", F.when(F.col("head").startswith("note-"), carried)))
-    # Loose ties before each event: only the compatible tie rule looks at them.
-    ev = ev.withColumn("ties_before", F.coalesce(F.sum("loose_ties").over(
-        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    is_head_rest = F.col("head").startswith("rest-")
+        ev = ev.withColumn("_carried", F.lag(last("loose", "dynamic-")).over(w))
+        dynamic = F.coalesce(dynamic, F.when(is_note("head"), suffix("_carried", "dynamic-")))
+    if loose_ties:
+        # Loose ties before each event.
+        n = F.size(F.filter("loose", lambda x: x["token"] == "tie"))
+        ev = ev.withColumn("ties_before", F.coalesce(F.sum(n).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rest = is_rest("head")
+    kept = ["ties_before"] if loose_ties else []
     return ev.filter("head IS NOT NULL").select(
-        "*", is_head_rest.alias("is_rest"),
-        F.when(is_head_rest, "").otherwise(P.normalize_pitch(suffix("head", "note-")))
-        .alias("pitch"),
-        duration_ticks_or_quarter(F.when(is_head_rest, F.col("head")).otherwise(
-            F.coalesce("dur", F.lit("dur-1/4")))).alias("own_ticks"))
+        "score_id", "event_idx", "pos", "head", *HEAD_STATE, *kept,
+        rest.alias("is_rest"),
+        F.array_sort(F.filter("own", lambda x: is_chord(x["token"]))).alias("chord"),
+        dynamic.alias("dynamic"),
+        F.exists("own", lambda x: x["token"] == "tie").alias("tie"),
+        F.when(rest, "").otherwise(P.normalize_pitch(suffix("head", "note-"))).alias("pitch"),
+        duration_ticks_or_quarter(F.when(rest, F.col("head")).otherwise(last("own", "dur-")))
+        .alias("own_ticks"))
 
 
 def note_events(tokens: DataFrame) -> DataFrame:
     """Notes and rests before tie merging: ``head`` token, spelling, length and chord tokens."""
-    ev = _events(_token_state(tokens, layout=False), forward_dynamics=False)
+    ev = _events(_token_state(tokens, layout=False))
     return ev.select("score_id", "event_idx", "pos", "voice", "measure_idx", "head", "is_rest",
                      "pitch", F.col("own_ticks").alias("ticks"),
                      F.transform("chord", lambda c: suffix(c["token"], "chord-")).alias("chord"))
@@ -111,7 +120,7 @@ def _merge_ties(events: DataFrame, compat: bool) -> DataFrame:
     prev = lambda c: F.lag(c).over(w)
     joined = (~F.col("is_rest") & (prev("run_idx") == F.col("run_idx"))
               & ~prev("is_rest") & (prev("pitch") == F.col("pitch")))
-    tied = prev("tie") == 1
+    tied = prev("tie")
     if compat:
         # A tie seen with no open note stays armed and joins the next two equal notes.
         notes_before = F.last(F.when(~F.col("is_rest"), F.col("ties_before")), True).over(
@@ -122,15 +131,14 @@ def _merge_ties(events: DataFrame, compat: bool) -> DataFrame:
     df = events.withColumn("starts", flag(~F.coalesce(joined & tied, F.lit(False))))
     df = df.withColumn("chain", F.sum("starts").over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    keep = lambda c: F.min_by(c, "event_idx").alias(c)
+    first = F.struct(*[c for c in ("pos", "pitch", "is_rest", *HEAD_STATE)])
     last_dynamic = F.max(F.when(F.col("dynamic").isNotNull(), F.struct("event_idx", "dynamic")))
     return df.groupBy("score_id", "chain").agg(
-        *[keep(c) for c in ("pos", "measure_idx", "voice", "pitch", "is_rest", "in_tuplet",
-                            "start_marks", "ends_bass", "ends_treble", "all_ends_bass",
-                            "all_ends_treble", "clef_bass", "clef_treble")],
+        F.min_by(first, "event_idx").alias("f"),
         F.sum("own_ticks").cast("int").alias("raw_ticks"),
         F.max_by("chord", "event_idx").alias("chord_rows"),
-        last_dynamic["dynamic"].alias("dynamic"))
+        last_dynamic["dynamic"].alias("dynamic")).select(
+        "score_id", "chain", "f.*", "raw_ticks", "chord_rows", "dynamic")
 
 
 def tokens_to_notes(tokens: DataFrame, compat: bool = False, dynamics: str = "attached"
@@ -141,7 +149,8 @@ def tokens_to_notes(tokens: DataFrame, compat: bool = False, dynamics: str = "at
     ``compat`` reproduces the leaking tie flag; ``dynamics="forward"`` gives a dynamic written
     before a note to that note instead of dropping it.
     """
-    ch = _merge_ties(_events(_token_state(tokens, layout=False), dynamics == "forward"), compat)
+    events = _events(_token_state(tokens, layout=False), dynamics == "forward", compat)
+    ch = _merge_ties(events, compat)
     w = Window.partitionBy("score_id").orderBy("chain")
     wv = Window.partitionBy("score_id", "voice").orderBy("chain")
     own = lambda kind: F.when(F.col("voice") == "bass", F.col(f"{kind}_bass")).otherwise(
@@ -175,7 +184,7 @@ def tokens_to_notes(tokens: DataFrame, compat: bool = False, dynamics: str = "at
 
 def tokens_to_layout_notes(tokens: DataFrame) -> DataFrame:
     """The drawing variant: clef on every note, ``measure_start``, no tuplets or beats."""
-    ch = _merge_ties(_events(_token_state(tokens, layout=True), False), compat=False)
+    ch = _merge_ties(_events(_token_state(tokens, layout=True)), compat=False)
     wv = Window.partitionBy("score_id", "voice").orderBy("chain")
     clef = F.when(F.col("voice") == "bass", F.coalesce("clef_bass", F.lit("bass"))).otherwise(
         F.coalesce("clef_treble", F.lit("treble")))

@@ -108,7 +108,7 @@ def tuplet_open(tokens: DataFrame, scope: str = "notes") -> DataFrame:
 
 def scaled_ticks(ticks: Column, in_tuplet: Column) -> Column:
     """Two thirds inside a triplet; whole for every printed duration."""
-    return F.when(in_tuplet, F.floor(ticks * 2 / 3).cast("int")).otherwise(ticks)
+    return F.floor(ticks * F.when(in_tuplet, 2).otherwise(3) / 3).cast("int")
 
 
 def measure_beats(tokens: DataFrame, barlines: str = "eval") -> DataFrame:

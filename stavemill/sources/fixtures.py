@@ -11,27 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_NAME = ("CASE ({0}) % 12 WHEN 0 THEN 'C' WHEN 1 THEN 'Db' WHEN 2 THEN 'D' WHEN 3 THEN 'Eb' "
-         "WHEN 4 THEN 'E' WHEN 5 THEN 'F' WHEN 6 THEN 'F#' WHEN 7 THEN 'G' WHEN 8 THEN 'Ab' "
-         "WHEN 9 THEN 'A' WHEN 10 THEN 'Bb' ELSE 'B' END")
-_SHARP = ("CASE ({0}) % 12 WHEN 0 THEN 'C' WHEN 1 THEN 'C#' WHEN 2 THEN 'D' WHEN 3 THEN 'D#' "
-          "WHEN 4 THEN 'E' WHEN 5 THEN 'F' WHEN 6 THEN 'F#' WHEN 7 THEN 'G' WHEN 8 THEN 'G#' "
-          "WHEN 9 THEN 'A' WHEN 10 THEN 'A#' ELSE 'B' END")
-_OCT = "CAST(3 + k % 3 AS string)"
+# Two characters per pitch class (or key), picked by position: portable and cheap to evaluate.
+_NAME = "trim(substr('C DbD EbE F F#G AbA BbB ', CAST(1 + 2 * (({0}) % 12) AS int), 2))"
+_SHARP = "trim(substr('C C#D D#E F F#G G#A A#B ', CAST(1 + 2 * (({0}) % 12) AS int), 2))"
+_KEY = "trim(substr('C G D A E B F#F BbEbAbDbGb', CAST(1 + 2 * (score_id % 13) AS int), 2))"
+_TIME = "trim(substr('4/4 3/4 2/4 6/8 12/8', CAST(1 + 4 * (event_id % 5) AS int), 4))"
+_BODY_CLASS = "CASE WHEN k >= 97 THEN k WHEN event_type = 'signup' THEN k % 2 " \
+    "WHEN event_type = 'error' THEN 2 WHEN event_type = 'purchase' AND k % 3 = 0 THEN 3 " \
+    "WHEN event_type = 'purchase' THEN 4 WHEN event_type = 'view' OR score_id % 4 = 3 THEN 5 " \
+    "WHEN k % 23 = 0 THEN 6 ELSE 7 END"
 
 # (score_id, event_id, toks): the tokens each event contributes, in event_id order.
 EVENT_TOKENS_SQL = f"""
 SELECT score_id, event_id,
   CASE WHEN i = 0 AND score_id % 11 <> 10 THEN 'clef-G '
-    || CASE WHEN score_id % 7 = 6 THEN '' ELSE 'key-' ||
-       CASE score_id % 13 WHEN 0 THEN 'C' WHEN 1 THEN 'G' WHEN 2 THEN 'D' WHEN 3 THEN 'A'
-         WHEN 4 THEN 'E' WHEN 5 THEN 'B' WHEN 6 THEN 'F#' WHEN 7 THEN 'F' WHEN 8 THEN 'Bb'
-         WHEN 9 THEN 'Eb' WHEN 10 THEN 'Ab' WHEN 11 THEN 'Db' ELSE 'Gb' END || ' ' END
-    || 'time-' || CASE event_id % 5 WHEN 0 THEN '4/4' WHEN 1 THEN '3/4' WHEN 2 THEN '2/4'
-         WHEN 3 THEN '6/8' ELSE '12/8' END || ' ' ELSE '' END
-  || CASE WHEN grand = 1 AND slot = m THEN 'staff-bass ' ELSE '' END
-  || CASE WHEN grand = 1 AND i = m THEN
-       CASE WHEN score_id % 5 = 4 THEN 'clef-G ' ELSE 'clef-F ' END ELSE '' END
+    || CASE WHEN score_id % 7 = 6 THEN '' ELSE 'key-' || {_KEY} || ' ' END
+    || 'time-' || {_TIME} || ' '
+    WHEN grand = 1 AND i = m THEN CASE WHEN score_id % 5 = 4 THEN 'staff-bass clef-G '
+      ELSE 'staff-bass clef-F ' END
+    WHEN grand = 1 AND slot = m THEN 'staff-bass ' ELSE '' END
   || CASE k % 10 WHEN 1 THEN 'slur-start ' WHEN 3 THEN 'hairpin-cresc-start '
        WHEN 5 THEN 'ottava-8va-start ' WHEN 7 THEN 'dynamic-p ' ELSE '' END
   || body
@@ -39,36 +37,32 @@ SELECT score_id, event_id,
        WHEN 3 THEN ' ottava-8va-end' WHEN 4 THEN ' dynamic-mf' WHEN 5 THEN ' artic-staccato'
        WHEN 6 THEN ' fermata' WHEN 7 THEN ' tie' WHEN 8 THEN ' trill-start'
        WHEN 9 THEN ' hairpin-dim-end' ELSE '' END
-  || CASE WHEN slot = slots - 1 THEN ' ' || CASE WHEN i = 63 THEN 'barline-final' ELSE
-       CASE k % 16 WHEN 0 THEN 'barline-end-repeat' WHEN 1 THEN 'barline-double'
-         WHEN 2 THEN 'barline-start-repeat' WHEN 3 THEN 'barline-end-repeat'
-         ELSE 'barline' END END ELSE '' END AS toks
+  || CASE WHEN slot <> slots - 1 THEN '' WHEN i = 63 THEN ' barline-final'
+       WHEN k % 16 IN (0, 3) THEN ' barline-end-repeat' WHEN k % 16 = 1 THEN ' barline-double'
+       WHEN k % 16 = 2 THEN ' barline-start-repeat' ELSE ' barline' END AS toks
 FROM (
-  SELECT *, CAST(i % slots AS int) AS slot,
-    CASE
-      WHEN k = 99 THEN 'note-C9 dur-1/4'
-      WHEN k = 98 THEN 'note-E#4 dur-1/4'
-      WHEN k = 97 THEN 'note-' || p || ' dur-x'
-      WHEN event_type = 'signup' AND k % 2 = 0 THEN 'tuplet-3-start note-' || p
-        || ' dur-1/8 note-' || q || ' dur-1/8 '
-        || CASE WHEN k % 3 = 0 THEN 'rest-1/8' ELSE 'note-' || p || ' dur-1/8' END
-        || ' tuplet-3-end'
-      WHEN event_type = 'signup' THEN 'note-' || p || ' dur-1/16 note-' || q
-        || ' dur-1/16 note-' || p || ' dur-1/16 note-' || q || ' dur-1/16'
-      WHEN event_type = 'error' THEN 'rest-1/4'
-        || CASE WHEN k % 9 = 0 THEN ' chord-G4' WHEN k % 9 = 1 THEN ' tie' ELSE '' END
-      WHEN event_type = 'purchase' AND k % 3 = 0 THEN 'note-' || p || ' dur-1/8 tie note-'
-        || s || ' dur-1/8' || CASE WHEN k % 2 = 0 THEN ' chord-' || q ELSE '' END
-      WHEN event_type = 'purchase' THEN 'note-' || p || ' dur-1/4 chord-' || q
+  SELECT score_id, event_id, k, i, m, grand, slots, CAST(i % slots AS int) AS slot,
+    CASE kind
+      WHEN 99 THEN 'note-C9 dur-1/4'
+      WHEN 98 THEN 'note-E#4 dur-1/4'
+      WHEN 97 THEN p || ' dur-x'
+      WHEN 0 THEN 'tuplet-3-start ' || p || ' dur-1/8 ' || q || ' dur-1/8 '
+        || CASE WHEN k % 3 = 0 THEN 'rest-1/8' ELSE p || ' dur-1/8' END || ' tuplet-3-end'
+      WHEN 1 THEN p || ' dur-1/16 ' || q || ' dur-1/16 ' || p || ' dur-1/16 ' || q || ' dur-1/16'
+      WHEN 2 THEN CASE WHEN k % 9 = 0 THEN 'rest-1/4 chord-G4' WHEN k % 9 = 1 THEN 'rest-1/4 tie'
+        ELSE 'rest-1/4' END
+      WHEN 3 THEN p || ' dur-1/8 tie note-' || s || ' dur-1/8'
+        || CASE WHEN k % 2 = 0 THEN ' chord-' || substr(q, 6) ELSE '' END
+      WHEN 4 THEN p || ' dur-1/4 chord-' || substr(q, 6)
         || CASE WHEN k % 5 = 0 THEN ' chord-C6' ELSE '' END
-      WHEN event_type = 'view' THEN 'note-' || p || ' dur-1/8 note-' || q || ' dur-1/8'
-      WHEN score_id % 4 = 3 THEN 'note-' || p || ' dur-1/8 note-' || q || ' dur-1/8'
-      WHEN k % 23 = 0 THEN 'note-' || p || ' dur-3/8'
-      ELSE 'note-' || p || ' dur-1/4' END AS body
+      WHEN 5 THEN p || ' dur-1/8 ' || q || ' dur-1/8'
+      WHEN 6 THEN p || ' dur-3/8'
+      ELSE p || ' dur-1/4' END AS body
   FROM (
-    SELECT *, m * (1 + grand) AS slots,
-      {_NAME.format('k')} || {_OCT} AS p, {_NAME.format('k + 4')} || {_OCT} AS q,
-      {_SHARP.format('k')} || {_OCT} AS s
+    SELECT *, m * (1 + grand) AS slots, {_BODY_CLASS} AS kind,
+      'note-' || {_NAME.format('k')} || CAST(3 + k % 3 AS string) AS p,
+      'note-' || {_NAME.format('k + 4')} || CAST(3 + k % 3 AS string) AS q,
+      {_SHARP.format('k')} || CAST(3 + k % 3 AS string) AS s
     FROM (
       SELECT *, CASE score_id % 4 WHEN 0 THEN 4 WHEN 2 THEN 2 ELSE 3 END AS m,
         CASE WHEN score_id % 3 = 0 THEN 0 ELSE 1 END AS grand
