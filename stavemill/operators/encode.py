@@ -131,65 +131,67 @@ def _header(clef: Column, fifths: Column, time_sig: Column) -> Column:
                     F.concat(F.lit("time-"), F.coalesce(time_sig, F.lit("4/4"))))
 
 
-def _with_bars(measures: DataFrame, toks: DataFrame) -> DataFrame:
-    return measures.join(toks, ["score_id", "part", "measure_idx"], "left").withColumn(
-        "toks", F.coalesce("toks", F.array().cast(EMPTY)))
-
-
-def _assemble(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    body = rows.groupBy("score_id").agg(
+def assemble(measures: DataFrame, toks: DataFrame, headers: DataFrame) -> DataFrame:
+    """Measures of one or two parts to one token array per score.
+
+    The parts of a measure meet in a conditional aggregation, not in a self-join, and every step
+    is clustered by ``score_id``.
+    """
+    upper, lower = F.col("part") == "treble", F.col("part") == "bass"
+    none = F.array().cast(EMPTY)
+    full = measures.join(toks, ["score_id", "part", "measure_idx"], "left").withColumn(
+        "toks", F.coalesce("toks", none))
+    pick = lambda who, c: F.max(F.when(who, F.col(c)))
+    per = full.groupBy("score_id", "measure_idx").agg(
+        pick(upper, "toks").alias("up"), pick(lower, "toks").alias("low"),
+        pick(upper, "right_bar").alias("right_bar"),
+        pick(upper, "starts_repeat").alias("starts_repeat"))
+    w = Window.partitionBy("score_id")
+    per = per.withColumn("n_up", F.count("up").over(w)).withColumn("n_low", F.count("low").over(w))
+    grand = F.col("n_low") > 0
+    n = F.when(grand, F.least("n_up", "n_low")).otherwise(F.col("n_up"))
+    per = per.withColumn("n", n).filter(F.col("measure_idx") < F.col("n"))
+    heads = headers.groupBy("score_id").agg(
+        pick(lower, "clef").alias("low_clef"), pick(upper, "clef").alias("clef"),
+        pick(upper, "fifths").alias("fifths"), pick(upper, "time_sig").alias("time_sig"))
+    df = per.join(heads, "score_id")
+    clef = F.when(F.col("measure_idx") == 0, _strings(
+        F.when(F.col("low_clef") == "F", "clef-F").otherwise("clef-G"))).otherwise(none)
+    row = F.concat(
+        F.when(F.col("starts_repeat"), _strings(F.lit("barline-start-repeat"))).otherwise(none),
+        "up",
+        F.when(grand, F.concat(_strings(F.lit("staff-bass")), clef, "low")).otherwise(none),
+        _strings(barline_token(F.col("right_bar"), F.col("measure_idx") == F.col("n") - 1)))
+    df = df.withColumn("toks", row).groupBy("score_id").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("measure_idx", "toks"))),
                               lambda x: x["toks"])).alias("body"),
-        F.max("cut").alias("unequal"))
-    h = headers.filter(F.col("part") == "treble").select(
-        "score_id", _header(F.col("clef"), F.col("fifths"), F.col("time_sig")).alias("head"),
-        (~F.coalesce("time_sig", F.lit("4/4")).isin(*TIMES)).alias("odd_time"))
-    return body.join(h, "score_id").select(
-        "score_id", F.concat("head", "body", F.array(F.lit("<EOS>"))).alias("tokens"), "odd_time",
-        (F.col("unequal") == 1).alias("unequal_parts"))
+        F.bool_or(grand & (F.col("n_up") != F.col("n_low"))).alias("unequal_parts"),
+        F.first("clef").alias("clef"), F.first("fifths").alias("fifths"),
+        F.first("time_sig").alias("time_sig"))
+    return df.select(
+        "score_id", F.concat(_header(F.col("clef"), F.col("fifths"), F.col("time_sig")), "body",
+                             F.array(F.lit("<EOS>"))).alias("tokens"),
+        (~F.coalesce("time_sig", F.lit("4/4")).isin(*TIMES)).alias("odd_time"), "unequal_parts")
 
 
 def interleave_parts(measures: DataFrame, toks: DataFrame, headers: DataFrame) -> DataFrame:
     """Two parts as ``upper staff-bass lower barline``; the lower clef appears once; unequal
-    measure counts are cut to the shorter part and reported."""
-    keys = ["score_id", "measure_idx"]
-    full = _with_bars(measures, toks)
-    up = full.filter(F.col("part") == "treble").select(
-        *keys, F.col("toks").alias("up"), "right_bar", "starts_repeat")
-    low = full.filter(F.col("part") == "bass").select(*keys, F.col("toks").alias("low"))
-    counts = measures.groupBy("score_id").agg(
-        F.sum(flag(F.col("part") == "treble")).alias("n_up"),
-        F.sum(flag(F.col("part") == "bass")).alias("n_low"))
-    lower_clef = headers.filter(F.col("part") == "bass").select(
-        "score_id", F.when(F.col("clef") == "F", "clef-F").otherwise("clef-G").alias("low_clef"))
-    df = up.join(low, keys).join(counts, "score_id").join(lower_clef, "score_id")
-    last = F.col("measure_idx") == F.least("n_up", "n_low") - 1
-    row = F.concat(
-        F.when(F.col("starts_repeat"), _strings(F.lit("barline-start-repeat"))).otherwise(_strings()),
-        F.col("up"), _strings(F.lit("staff-bass")),
-        F.when(F.col("measure_idx") == 0, _strings(F.col("low_clef"))).otherwise(_strings()),
-        F.col("low"), _strings(barline_token(F.col("right_bar"), last)))
-    return _assemble(df.select("score_id", "measure_idx", row.alias("toks"),
-                               flag(F.col("n_up") != F.col("n_low")).alias("cut")), headers)
+    measure counts are cut to the shorter part and reported. Scores without a lower part drop out."""
+    two = measures.withColumn("_two", F.max(flag(F.col("part") == "bass")).over(
+        Window.partitionBy("score_id"))).filter("_two = 1").drop("_two")
+    return assemble(two, toks, headers)
 
 
 def single_part(measures: DataFrame, toks: DataFrame, headers: DataFrame) -> DataFrame:
     """One staff (the ``treble`` part)."""
-    one = _with_bars(measures.filter(F.col("part") == "treble"), toks)
-    n = F.max("measure_idx").over(Window.partitionBy("score_id"))
-    df = one.withColumn("_last", F.col("measure_idx") == n)
-    row = F.concat(
-        F.when(F.col("starts_repeat"), _strings(F.lit("barline-start-repeat"))).otherwise(_strings()),
-        F.col("toks"), _strings(barline_token(F.col("right_bar"), F.col("_last"))))
-    return _assemble(df.select("score_id", "measure_idx", row.alias("toks"),
-                               F.lit(0).alias("cut")), headers)
+    return assemble(measures.filter(F.col("part") == "treble"), toks, headers)
 
 
 def notes_to_tokens(elements: DataFrame, dynamics: DataFrame, measures: DataFrame,
                     headers: DataFrame) -> DataFrame:
-    """Scores with a lower part are interleaved, the others written as one staff."""
-    toks = measure_tokens(elements, dynamics)
-    two = measures.filter(F.col("part") == "bass").select("score_id").distinct()
-    grand = interleave_parts(measures.join(two, "score_id", "left_semi"), toks, headers)
-    single = single_part(measures.join(two, "score_id", "left_anti"), toks, headers)
-    return grand.unionByName(single)
+    """Scores with a lower part are interleaved, the others written as one staff.
+
+    The inputs are hashed by ``score_id`` once, which serves every later window, join and
+    aggregation."""
+    toks = measure_tokens(elements.repartition("score_id"), dynamics.repartition("score_id"))
+    return assemble(measures.repartition("score_id"), toks, headers)

@@ -69,22 +69,20 @@ def append_leaderboard(entries: DataFrame, path: str) -> None:
 
 
 def append_scores(notes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs(target_id, extra_id)``; the extra score's notes follow the target's, staff by
-    staff. The lower staff grows only when both scores have one."""
-    lens = notes.groupBy("score_id", "staff").agg(F.count("*").alias("n"))
-    grand = notes.filter(F.col("staff") == "bass").select("score_id").distinct()
-    both = (pairs.join(grand.withColumnRenamed("score_id", "target_id"), "target_id", "left_semi")
-            .join(grand.withColumnRenamed("score_id", "extra_id"), "extra_id", "left_semi"))
-    per_staff = pairs.withColumn("staff", F.lit("treble")).unionByName(
-        both.withColumn("staff", F.lit("bass")))
-    shift = per_staff.join(lens.withColumnRenamed("score_id", "target_id"), ["target_id", "staff"],
-                           "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    extra = notes.withColumnRenamed("score_id", "extra_id").join(shift, ["extra_id", "staff"])
-    moved = extra.withColumn("note_idx", (F.col("note_idx") + F.col("n")).cast("int"))
-    kept = notes.withColumnRenamed("score_id", "target_id").join(
-        pairs.select("target_id").distinct(), "target_id", "left_semi")
-    cols = [c for c in kept.columns]
-    return kept.unionByName(moved.select(*cols)).withColumnRenamed("target_id", "score_id")
+    """``pairs(target_id, extra_id)``, one extra per target; the extra score's notes follow
+    the target's, staff by staff. The lower staff grows only when both scores have one.
+
+    Every note meets its roles in one join; a window over the target's staff supplies the shift.
+    """
+    own = pairs.select(F.col("target_id").alias("score_id"), "target_id", F.lit(False).alias("extra"))
+    other = pairs.select(F.col("extra_id").alias("score_id"), "target_id", F.lit(True).alias("extra"))
+    cols = [c for c in notes.columns if c not in ("score_id", "note_idx")]
+    rows = notes.join(own.unionByName(other), "score_id")
+    n = F.sum(F.when(F.col("extra"), 0).otherwise(1)).over(Window.partitionBy("target_id", "staff"))
+    rows = rows.withColumn("_n", n).filter(
+        ~F.col("extra") | (F.col("staff") == "treble") | (F.col("_n") > 0))
+    idx = F.col("note_idx") + F.when(F.col("extra"), F.col("_n")).otherwise(0)
+    return rows.select(F.col("target_id").alias("score_id"), idx.cast("int").alias("note_idx"), *cols)
 
 
 def score_summary(notes: DataFrame, tempo: int = 100) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import duration_ticks, is_barline, is_chord, key_accidental, suffix
 from ..functions.vocab import OCTAVES, SPELLINGS
-from .sequence import (assign_voice, before, flag, measure_beats, renumber, scaled_ticks,
-                       tuplet_open, whole_score)
+from .sequence import (assign_voice, before, flag, renumber, scaled_ticks, tuplet_open,
+                       whole_score)
 
 # Measure lengths (ticks) the vote knows; 72 is split by note counts.
 VOTED_TIMES = {96: "time-4/4", 48: "time-2/4"}
@@ -35,26 +35,6 @@ def majority_vote(values: DataFrame, keys: list[str], value: str, order: str,
     return counts.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
-def _voting_measures(tokens: DataFrame) -> DataFrame:
-    """Closed measures of the voice that carries the barlines (bass when grand)."""
-    beats = measure_beats(tokens).filter("closed")
-    grand = F.max(flag(F.col("voice") == "bass")).over(whole_score())
-    return (beats.withColumn("_g", grand)
-            .filter((F.col("_g") == 0) | (F.col("voice") == "bass")).drop("_g"))
-
-
-def voted_time_signature(tokens: DataFrame) -> DataFrame:
-    """``(score_id, ticks, voted)`` where the majority length maps to a time signature."""
-    per_len = _voting_measures(tokens).groupBy("score_id", "ticks").agg(
-        F.count("*").alias("n"), F.min("measure_idx").alias("first_m"),
-        F.sum("n_eighth").alias("n8"), F.sum("n_quarter").alias("n4"))
-    best = per_len.groupBy("score_id").agg(
-        F.max_by(F.struct("ticks", "n8", "n4"), F.struct("n", -F.col("first_m"))).alias("b"))
-    return (best.select("score_id", "b.ticks",
-                        _time_for(F.col("b.ticks"), F.col("b.n8"), F.col("b.n4")).alias("voted"))
-            .filter("voted IS NOT NULL"))
-
-
 def _time_for(ticks: Column, n8: Column, n4: Column) -> Column:
     expr = F.when(ticks == COMPOUND_TICKS,
                   F.when(n8 > n4, "time-6/8").otherwise("time-3/4"))
@@ -64,12 +44,33 @@ def _time_for(ticks: Column, n8: Column, n4: Column) -> Column:
 
 
 def fix_time_signature(tokens: DataFrame) -> DataFrame:
-    """Q8: rewrites the first ``time-`` token to the majority measure length."""
-    first = F.min(F.when(F.col("token").startswith("time-"), F.col("pos"))).over(whole_score())
-    df = tokens.withColumn("_first", first)
-    df = df.join(voted_time_signature(tokens).select("score_id", "voted"), "score_id", "left")
-    new = F.when((F.col("pos") == F.col("_first")) & F.col("voted").isNotNull(), F.col("voted")
-                 ).otherwise(F.col("token"))
+    """Q8: rewrites the first ``time-`` token to the majority measure length.
+
+    Closed measures vote with the length of the voice that carries the barlines (bass when grand).
+    Counts and the winner are windows below ``score_id``, so the tokens are read once and nothing
+    is joined back.
+    """
+    t = F.col("token")
+    df = tuplet_open(assign_voice(tokens), "beats")
+    part = Window.partitionBy("score_id", "voice", "measure_idx")
+    ticks = scaled_ticks(duration_ticks(t), F.col("in_tuplet"))
+    df = df.select(
+        "score_id", "pos", "token", "voice", "measure_idx",
+        F.coalesce(F.sum(F.when(t != "staff-bass", ticks)).over(part), F.lit(0)).alias("ticks"),
+        F.sum(flag(t == "dur-1/8")).over(part).alias("n8"),
+        F.sum(flag(t == "dur-1/4")).over(part).alias("n4"),
+        (F.max(flag(t == "staff-bass")).over(whole_score()) == 1).alias("grand"),
+        F.min(F.when(t.startswith("time-"), F.col("pos"))).over(whole_score()).alias("first_time"))
+    # A measure votes once, through its barline row.
+    votes = is_barline(t) & (~F.col("grand") | (F.col("voice") == "bass"))
+    df = df.withColumn("len", F.when(votes, F.col("ticks")))
+    same = Window.partitionBy("score_id", "len")
+    tally = F.when(F.col("len").isNotNull(), F.struct(
+        F.count("len").over(same).alias("n"), (-F.min("measure_idx").over(same)).alias("f"), "len",
+        F.sum("n8").over(same).alias("n8"), F.sum("n4").over(same).alias("n4")))
+    df = df.withColumn("tally", tally).withColumn("best", F.max("tally").over(whole_score()))
+    voted = _time_for(F.col("best.len"), F.col("best.n8"), F.col("best.n4"))
+    new = F.when(F.col("pos") == F.col("first_time"), F.coalesce(voted, t)).otherwise(t)
     return df.select("score_id", "pos", new.alias("token"))
 
 
@@ -174,9 +175,10 @@ def flag_beat_mismatch(tokens: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("voice") == "treble", ticks)), F.lit(0)).alias("treble"),
         F.coalesce(F.sum(F.when(F.col("voice") == "bass", ticks)), F.lit(0)).alias("bass"),
         F.max("closes").alias("closed")).filter("closed = 1")
-    mode = majority_vote(per, ["score_id"], "bass", "measure_idx").select(
-        "score_id", F.col("bass").alias("expected")).filter(
-        F.col("expected").isin(96, 72, 48))
-    return (per.join(mode, "score_id").filter(F.col("treble") != F.col("expected"))
+    same = Window.partitionBy("score_id", "bass")
+    per = per.withColumn("vote", F.struct(F.count("*").over(same).alias("n"),
+                                          (-F.min("measure_idx").over(same)).alias("f"), "bass"))
+    per = per.withColumn("expected", F.max("vote").over(whole_score())["bass"])
+    return (per.filter(F.col("expected").isin(96, 72, 48) & (F.col("treble") != F.col("expected")))
             .select("score_id", "measure_idx", F.col("treble").alias("treble_ticks"),
                     F.col("expected").alias("expected_ticks")))

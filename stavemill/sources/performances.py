@@ -23,7 +23,8 @@ def steps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def performance_plans(steps: DataFrame) -> DataFrame:
-    """``(session_id, plan)``: steps per measure and hand as JSON; gaps are empty measures."""
+    """``(session_id, plan, t, b)``: steps per measure and hand, also as JSON; gaps are empty
+    measures."""
     per_measure = steps.groupBy("score_id", "midi", "staff", "measure").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("step", "beat", "pitches"))),
                     lambda s: F.struct(s["beat"].alias("beat"), s["pitches"].alias("pitches")))
@@ -40,7 +41,8 @@ def performance_plans(steps: DataFrame) -> DataFrame:
                               F.when(both, filled("b")).otherwise(
                                   F.array().cast("array<array<struct<beat:int,pitches:array<string>>>>"))
                               .alias("b")))
-    return per.select(F.col("score_id").alias("session_id"), plan.alias("plan"))
+    return per.select(F.col("score_id").alias("session_id"), plan.alias("plan"),
+                      filled("t").alias("t"), F.when(both, filled("b")).alias("b"))
 
 
 def _order(rows: DataFrame, *order: str) -> DataFrame:
@@ -51,25 +53,33 @@ def _order(rows: DataFrame, *order: str) -> DataFrame:
 def performance_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(session_id, seq, kind, pitch, plan)``: all tones of a step go down, then up. Some steps
     get a wrong key first, some tones of some sessions are missed."""
-    steps = steps_of(spark, sf_dir).withColumn("measure", F.col("measure").cast("int"))
-    tones = steps.select(F.col("score_id").alias("session_id"), "measure", "step", "staff",
-                         F.posexplode("pitches").alias("tone", "pitch"))
+    plans = performance_plans(steps_of(spark, sf_dir))
+    item = lambda m, i, staff, p: F.struct(m.alias("measure"), i.alias("step"), F.lit(staff).alias("staff"),
+                                           p.alias("pitches"))
+    hand = lambda c, staff: F.flatten(F.transform(F.col(c), lambda steps, m: F.transform(
+        steps, lambda s, i: item(m, i, staff, s["pitches"]))))
+    kind = "array<struct<measure:int,step:int,staff:string,pitches:array<string>>>"
+    start = F.array(item(F.lit(-1), F.lit(0), "start", F.array().cast("array<string>"))).cast(kind)
+    steps = F.concat(start, hand("t", "treble").cast(kind),
+                     F.coalesce(hand("b", "bass").cast(kind), F.array().cast(kind)))
+    rows = plans.select("session_id", "plan", F.inline(steps))
+    # One pass: the plan row explodes into its own start message and its tones.
+    tones = rows.select("session_id", F.when(F.col("measure") < 0, F.col("plan")).alias("plan"),
+                        "measure", "step", "staff", F.posexplode_outer("pitches").alias("tone", "pitch"))
     code = (F.col("measure") * 31 + F.col("step") * 7 + F.col("tone") * 3 + F.col("session_id")) % 37
-    tones = tones.withColumn("code", code).filter(
+    tones = tones.withColumn("code", F.coalesce(code, F.lit(-1))).filter(
         ~((F.col("session_id") % 5 == 4) & (F.col("code") == 3)))
     act = lambda phase, kind, pitch: F.struct(F.lit(phase).alias("phase"), F.lit(kind).alias("kind"),
                                               pitch.alias("pitch"))
-    acts = F.concat(
-        F.when(F.col("code") == 5, F.array(act(0, "on", F.lit("C1")), act(1, "off", F.lit("C1"))))
-        .otherwise(F.array().cast("array<struct<phase:int,kind:string,pitch:string>>")),
-        F.array(act(2, "on", F.col("pitch")), act(3, "off", F.col("pitch"))))
-    rows = tones.select("session_id", "measure", "step", "staff", "tone", F.inline(acts))
+    none = F.array().cast("array<struct<phase:int,kind:string,pitch:string>>")
+    wrong = F.when(F.col("code") == 5, F.array(act(0, "on", F.lit("C1")), act(1, "off", F.lit("C1"))))
+    played = F.concat(wrong.otherwise(none), F.array(act(2, "on", F.col("pitch")),
+                                                     act(3, "off", F.col("pitch"))))
+    acts = F.when(F.col("measure") < 0, F.array(act(0, "start", F.lit(None).cast("string")))).otherwise(
+        played)
+    rows = tones.select("session_id", "plan", "measure", "step", "staff", "tone", F.inline(acts))
     rows = _order(rows, "measure", "step", "phase", F.desc("staff"), "tone")
-    start = performance_plans(steps).select(
-        "session_id", F.lit(0).cast("bigint").alias("seq"), F.lit("start").alias("kind"),
-        F.lit(None).cast("string").alias("pitch"), "plan")
-    return rows.select("session_id", "seq", "kind", "pitch",
-                       F.lit(None).cast("string").alias("plan")).unionByName(start)
+    return rows.select("session_id", "seq", "kind", "pitch", "plan")
 
 
 def _upper_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
