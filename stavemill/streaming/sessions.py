@@ -51,14 +51,15 @@ def latest_results(results: DataFrame) -> DataFrame:
         F.struct("seen", "correct", "wrong", "done")).alias("r")).select("session_id", "r.*")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", path: str | None = None
+                  ) -> DataFrame:
     """Runs a stream over everything available and returns the sink table.
 
-    The sink and its checkpoint live in the shared folder. Append streams use the file sink;
+    The sink and its checkpoint live in the shared folder; an earlier run's ``path`` resumes it. Append streams use the file sink;
     update streams replace one folder per batch, so a repeated batch writes the same rows again.
     """
     spark = stream.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     out, writer = f"{path}/out", stream.writeStream.option("checkpointLocation", f"{path}/cp")
     schema = stream.schema
     if mode == "append":
@@ -165,6 +166,9 @@ def job_tracker_stream(events: DataFrame) -> DataFrame:
                 if not closed and status in ("COMPLETED", "FAILED") and t <= start + JOB_LIMIT_MS:
                     out.append((key[0], status, False))
                     closed = True
+            if not closed and state.getCurrentWatermarkMs() > start + JOB_LIMIT_MS:
+                out.append((key[0], "FAILED", True))  # data came after the limit had passed
+                closed = True
             state.update((closed, start))
             state.setTimeoutTimestamp(max(start + JOB_LIMIT_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["job_id", "status", "timed_out"])
