@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pitch as P
-from ..functions.tokens import (is_chord, is_note, is_rest, key_accidental, suffix)
+from ..functions.tokens import is_note, is_rest, key_accidental, suffix
 from ..functions.vocab import literal_dim, vocab_dim
 from .notes import note_events
 from .sequence import assign_voice, flag, whole_score

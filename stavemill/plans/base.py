@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.tokens import BARLINE_SETS
-from ..functions.vocab import SYMBOL_BASE, values_sql, vocabulary
+from ..functions.vocab import values_sql, vocabulary
 from ..sources.fixtures import EVENT_TOKENS_SQL
 from ..sources.jobs import JOBS_SQL
 
@@ -135,4 +135,3 @@ def with_ctes(sql: str, *names: str) -> str:
     return f"WITH {recursive}{body}\n{sql}"
 
 
-__all__ = ["QUERIES", "ORACLES", "register", "add_cte", "with_ctes", "SYMBOL_BASE"]

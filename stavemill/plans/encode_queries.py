@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import pitch as P
 from ..operators import encode as E
 from ..operators import library as L
 from ..sources import elements as el

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
 from ..sources import fixtures as fx
-from .base import add_cte, register, sql_list, voice_sql
+from .base import add_cte, register, sql_list
+from .sequence_queries import _orphan_sql, _span_sql
 from ..functions.tokens import BARLINE_SETS
 
 EVAL = sql_list(BARLINE_SETS["eval"])
@@ -199,7 +200,21 @@ def micro_recall(spark, d):
     return _round(EV.micro_recall(sides(spark, d)), "recall")
 
 
-@register("e09_validation_summary")
+add_cte("vp1", _orphan_sql("pred"), "pred")
+add_cte("vp2", _span_sql("vp1"), "vp1")
+add_cte("v50", """
+SELECT score_id, pos, token, 'g' AS side FROM tok WHERE score_id IN (SELECT score_id FROM vp2)
+  AND score_id IN (SELECT DISTINCT score_id FROM tok ORDER BY score_id LIMIT 50)
+UNION ALL SELECT score_id, pos, token, 'p' FROM vp2
+WHERE score_id IN (SELECT DISTINCT score_id FROM tok ORDER BY score_id LIMIT 50)""", "tok", "vp2")
+add_cte("v50c", coded_sql("v50", True), "v50", "vocab")
+
+
+@register("e09_validation_summary", f"""
+SELECT count(*) AS n_val, round(avg({RATE}), 6) AS val_ter,
+  round(greatest(0.0, 1 - avg({RATE})) * 100, 6) AS val_acc
+FROM (SELECT score_id, sum(dist) AS dist, sum(gt_len) AS gt_len, sum(pred_len) AS pred_len
+  FROM ({dist_sql(f"({measured_sql('v50c')})", "score_id, measure_idx")}) GROUP BY 1)""", ("v50c",))
 def validation_summary(spark, d):
     return _round(EV.validation_summary(fx.predictions(spark, d), fx.tokens(spark, d)), "val_ter",
                   "val_acc")

@@ -9,9 +9,7 @@ from ..functions import tokens as T
 from ..operators import sequence as S
 from ..sources import fixtures as fx
 from ..sources.jobs import job_events
-from .base import SHARP_SQL, midi_sql, register, sql_list, ticks_sql
-
-NOTE_ROWS = "token LIKE 'note-%'"
+from .base import SHARP_SQL, midi_sql, register, ticks_sql
 
 
 def _notes(spark, d):

@@ -102,6 +102,16 @@ def test_empty_sides(spark):
     assert [r.score_id for r in EV.measure_ter(EV.stack(pred, truth)).collect()] == [1]
 
 
+def test_report_counts_failures(spark):
+    truth = token_table(spark, {1: "note-C4", 2: "note-C4 dur-1/4", 3: "note-C4"})
+    pred = token_table(spark, {1: "note-C4", 2: "note-D4 dur-1/4"})
+    pairs = spark.createDataFrame([(3,)], "n_pairs bigint")
+    a = EV.analyze_scores(pred, truth)
+    overall = lambda **kw: EV.evaluation_report(a, pairs, **kw).filter("level = 'all'").first()
+    assert (overall().n_failed, overall().ter, overall().pass_rate) == (1, 0.25, 0.5)
+    assert (overall(compat=True).ter, overall(compat=True).pass_rate) == (pytest.approx(1 / 6), pytest.approx(1 / 3))
+
+
 def test_unknown_spellings_stay_distinct_in_note_errors(spark):
     truth = token_table(spark, {1: "note-E#4 dur-1/4 note-C9 dur-1/4"})
     pred = token_table(spark, {1: "note-C9 dur-1/4 note-C9 dur-1/4"})

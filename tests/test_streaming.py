@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from stavemill.operators import evaluate as EV  # noqa: F401
 from stavemill.sources import midi as MD
 from stavemill.sources import performances as PF
 from stavemill.sources.storage import new_path
