@@ -55,8 +55,9 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", path: str
                   ) -> DataFrame:
     """Runs a stream over everything available and returns the sink table.
 
-    The sink and its checkpoint live in the shared folder; an earlier run's ``path`` resumes it. Append streams use the file sink;
-    update streams replace one folder per batch, so a repeated batch writes the same rows again.
+    The sink and its checkpoint live in the shared folder; an earlier run's ``path`` resumes it.
+    Append streams use the file sink; update streams replace one folder per batch, so a repeated
+    batch writes the same rows again.
     """
     spark = stream.sparkSession
     path = path or new_path(spark, name)
