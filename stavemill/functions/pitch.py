@@ -22,7 +22,9 @@ MIN_MIDI, MAX_MIDI = 36, 95
 
 
 def pitch_name(p: ColumnLike) -> Column:
-    return F.regexp_extract(col(p), r"^(.*).$", 1)
+    """Spelling without the octave digit; empty for the empty pitch."""
+    p = col(p)
+    return F.left(p, F.length(p) - 1)
 
 
 def pitch_octave(p: ColumnLike) -> Column:
