@@ -135,9 +135,10 @@ def vocab_dropped(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def remap_report(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Matched / new / old counts."""
-    m = vocab_remap(old, new).agg(F.sum(flag(F.col("matched"))).alias("matched"),
-                                  F.count("*").alias("new_total"))
-    return m.crossJoin(F.broadcast(old.agg(F.count("*").alias("old_total"))))  # one row each
-
-
+    """Matched / new / old counts, from one pass over both vocabularies' tokens."""
+    both = old.select("token", F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(
+        new.select("token", F.lit(0).alias("o"), F.lit(1).alias("n")))
+    per = both.groupBy("token").agg(F.max("o").alias("o"), F.max("n").alias("n"))
+    return per.agg(F.sum(flag((F.col("o") == 1) & (F.col("n") == 1))).alias("matched"),
+                   F.sum("n").cast("bigint").alias("new_total"),
+                   F.sum("o").cast("bigint").alias("old_total"))

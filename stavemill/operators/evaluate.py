@@ -189,19 +189,20 @@ def analyze_scores(pred: DataFrame, truth: DataFrame) -> DataFrame:
         pick("bass", "error_pos").alias("bass_first"))
 
 
-def evaluation_report(analysis: DataFrame, n_pairs: DataFrame, compat: bool = False) -> DataFrame:
-    """Overall and per staff layout. Means divide by evaluated scores; the number of pairs
-    without a prediction is reported (``n_pairs`` holds one row, column ``n_pairs``). ``compat``
-    divides the overall means by all pairs, so failures look like perfect scores in the errors."""
-    rolled = analysis.rollup("is_grand").agg(
-        F.grouping("is_grand").alias("_all"), F.count("*").alias("n"),
+def evaluation_report(analysis: DataFrame, pairs: DataFrame, compat: bool = False) -> DataFrame:
+    """Overall and per staff layout. ``pairs(score_id)`` lists every score; means divide by the
+    evaluated ones and the rest is reported as failed. ``compat`` divides the overall means by all
+    pairs, so failures look like perfect scores in the errors."""
+    rows = pairs.select("score_id").join(analysis, "score_id", "left")
+    rolled = rows.rollup("is_grand").agg(
+        F.grouping("is_grand").alias("_all"), F.count("*").alias("n_pairs"),
+        F.count("overall_ter").alias("n"),
         F.avg("overall_ter").alias("ter"), F.avg("note_err").alias("note_err"),
-        F.avg(flag(F.col("overall_ter") == 0.0)).alias("pass_rate"),
+        F.avg((F.col("overall_ter") == 0.0).cast("int")).alias("pass_rate"),
         F.avg("treble_note_err").alias("treble_note_err"),
         F.avg("bass_note_err").alias("bass_note_err"), F.avg("bass_ter").alias("bass_ter"))
+    rolled = rolled.filter((F.col("_all") == 1) | F.col("is_grand").isNotNull())
     level = F.when(F.col("_all") == 1, "all").when(F.col("is_grand"), "grand").otherwise("single")
-    # Three rows against one row: sizes are fixed by the rollup, not by the data.
-    rolled = rolled.crossJoin(F.broadcast(n_pairs))
     if compat:
         share = F.when(F.col("_all") == 1, F.col("n") / F.col("n_pairs")).otherwise(1.0)
         for c in ("ter", "note_err", "pass_rate"):

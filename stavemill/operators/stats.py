@@ -191,27 +191,37 @@ def token_frequency(tokens: DataFrame, span_weight: float = 1.0) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n")).withColumn("weight", weight)
 
 
-def exact_quantiles(values: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact order statistics without a global sort: values are counted first (combined
-    map-side), then the cumulative count runs over the distinct integers only."""
-    counts = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
+def value_counts(values: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(keys, v, c, n, cum)``: count of each distinct integer, the total, and the cumulative
+    count. Values are counted map-side; the cumulative sum runs over distinct values only."""
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(
         F.count("*").alias("c"))
-    one = Window.partitionBy(F.lit(0))
-    cum = counts.select("v", F.sum("c").over(one).alias("n"), F.sum("c").over(
+    one = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    return counts.select("*", F.sum("c").over(one).alias("n"), F.sum("c").over(
         one.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"))
-    return cum.agg(*[F.min(F.when(F.col("cum") >= F.ceil(F.col("n") * p), F.col("v"))).alias(name)
-                     for name, p in probs.items()])
+
+
+def quantile(p: float, when: Column | None = None) -> Column:
+    """Smallest value whose cumulative count reaches the share ``p`` (over ``value_counts``)."""
+    reached = F.col("cum") >= F.ceil(F.col("n") * p)
+    return F.min(F.when(reached if when is None else reached & when, F.col("v")))
+
+
+def exact_quantiles(values: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact order statistics without a global sort."""
+    return value_counts(values, value).agg(*[quantile(p).alias(name) for name, p in probs.items()])
 
 
 def length_profile(labels: DataFrame, long_decode: int = 150, max_seq: int = 608) -> DataFrame:
-    """Sequence-length distribution of label arrays and the shares above the limits."""
-    lens = labels.select(F.size("tokens").alias("len"))
-    q = exact_quantiles(lens, "len", {"p50": 0.5, "p90": 0.9, "p99": 0.99, "longest": 1.0})
-    s = lens.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"),
-                 F.avg(flag(F.col("len") > long_decode)).alias("long_share"),
-                 F.avg(flag(F.col("len") > 300)).alias("over_300"),
-                 F.avg(flag(F.col("len") > max_seq)).alias("over_max"))
-    return s.crossJoin(F.broadcast(q))  # one row each
+    """Sequence-length distribution of label arrays and the shares above the limits, all from
+    one table of length counts."""
+    lens = value_counts(labels.select(F.size("tokens").alias("len")), "len")
+    above = lambda limit: F.sum(F.when(F.col("v") > limit, F.col("c")).otherwise(0)) / F.sum("c")
+    return lens.agg(
+        F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean_len"),
+        above(long_decode).alias("long_share"), above(300).alias("over_300"),
+        above(max_seq).alias("over_max"), quantile(0.5).alias("p50"), quantile(0.9).alias("p90"),
+        quantile(0.99).alias("p99"), quantile(1.0).alias("longest"))
 
 
 def vocab_coverage(tokens: DataFrame) -> DataFrame:
@@ -233,9 +243,17 @@ def job_last_status(events: DataFrame, status: Column) -> DataFrame:
 
 
 def job_stats(last: DataFrame) -> DataFrame:
-    """Failure share and exact delay / execution percentiles over jobs."""
-    s = last.agg(F.count("*").alias("n_jobs"),
-                 F.avg(flag(F.col("status") == "FAILED")).alias("failure_share"))
-    d = exact_quantiles(last, "delay_ms", {"delay_p50": 0.5, "delay_p95": 0.95})
-    e = exact_quantiles(last, "exec_ms", {"exec_p50": 0.5, "exec_p95": 0.95})
-    return s.crossJoin(F.broadcast(d)).crossJoin(F.broadcast(e))  # one row each
+    """Failure share and exact delay / execution percentiles over jobs. The three measures are
+    counted in one pass, as (metric, value) rows."""
+    metric = lambda name, v: F.struct(F.lit(name).alias("metric"), v.cast("bigint").alias("value"))
+    rows = last.select(F.inline(F.array(
+        metric("failed", (F.col("status") == "FAILED").cast("int")),
+        metric("delay", F.col("delay_ms")), metric("exec", F.col("exec_ms")))))
+    counts = value_counts(rows, "value", ("metric",))
+    of = lambda name: F.col("metric") == name
+    n_jobs = F.sum(F.when(of("failed"), F.col("c")))
+    return counts.agg(
+        n_jobs.alias("n_jobs"),
+        (F.sum(F.when(of("failed"), F.col("v") * F.col("c"))) / n_jobs).alias("failure_share"),
+        quantile(0.5, of("delay")).alias("delay_p50"), quantile(0.95, of("delay")).alias("delay_p95"),
+        quantile(0.5, of("exec")).alias("exec_p50"), quantile(0.95, of("exec")).alias("exec_p95"))

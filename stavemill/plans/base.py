@@ -129,9 +129,9 @@ def with_ctes(sql: str, *names: str) -> str:
         visit(n)
     if not ordered:
         return sql
-    body = ",\n".join(f"{n} AS {'' if n == 'fold' else 'MATERIALIZED '}({CTES[n][1]})"
+    body = ",\n".join(f"{n} AS {'' if n.endswith('fold') else 'MATERIALIZED '}({CTES[n][1]})"
                       for n in ordered)
-    recursive = "RECURSIVE " if "fold" in ordered else ""
+    recursive = "RECURSIVE " if any(n.endswith("fold") for n in ordered) else ""
     return f"WITH {recursive}{body}\n{sql}"
 
 

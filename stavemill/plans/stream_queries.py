@@ -203,27 +203,48 @@ add_cte("wkeys", """
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY note_idx, j) AS seq, p AS pitch FROM (
   SELECT session_id, note_idx, 1 AS j, pitch AS p FROM wnotes UNION ALL
   SELECT session_id, note_idx, 0, 'C1' FROM wnotes WHERE (note_idx * 7 + session_id) % 11 = 4)""", "wnotes")
-add_cte("fold", """
+add_cte("waitfold", """
 SELECT session_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS correct,
   CAST(0 AS BIGINT) AS wrong FROM wnotes GROUP BY 1
 UNION ALL
 SELECT f.session_id, k.seq, f.i + CASE WHEN k.pitch = n.pitch THEN 1 ELSE 0 END,
   f.correct + CASE WHEN k.pitch = n.pitch THEN 1 ELSE 0 END,
   f.wrong + CASE WHEN k.pitch <> n.pitch THEN 1 ELSE 0 END
-FROM fold f JOIN wkeys k ON k.session_id = f.session_id AND k.seq = f.seq + 1
+FROM waitfold f JOIN wkeys k ON k.session_id = f.session_id AND k.seq = f.seq + 1
 LEFT JOIN wnotes n ON n.session_id = f.session_id AND n.i = f.i""", "wnotes", "wkeys")
 
 
 @register("r04_wait_mode_grade", """
-SELECT f.session_id, f.seq + 1 AS seen, correct, wrong, i >= n AS done FROM fold f
+SELECT f.session_id, f.seq + 1 AS seen, correct, wrong, i >= n AS done FROM waitfold f
 JOIN (SELECT session_id, max(seq) AS m FROM wkeys GROUP BY 1) k ON k.session_id = f.session_id AND k.m = f.seq
 JOIN (SELECT session_id, count(*) AS n FROM wnotes GROUP BY 1) c ON c.session_id = f.session_id""",
-          ("fold", "wkeys", "wnotes"))
+          ("waitfold", "wkeys", "wnotes"))
 def wait_mode_grade(spark, d):
     return SS.grade_batch(PF.wait_messages(spark, d), "wait")
 
 
-@register("r05_quiz_grade")
+add_cte("qplan", """
+SELECT session_id, CASE session_id % 3 WHEN 0 THEN 'note' WHEN 1 THEN 'chord' ELSE 'sequence' END AS mode,
+  list(pitch ORDER BY i) AS ns FROM wnotes WHERE i < 3 GROUP BY 1""", "wnotes")
+add_cte("quizfold", """
+SELECT session_id, CAST(0 AS BIGINT) AS seq, 0 AS i, CAST([] AS VARCHAR[]) AS pressed, 0 AS correct, 0 AS wrong,
+  false AS done FROM qplan
+UNION ALL
+SELECT session_id, seq, i + h, pr, correct + h, wrong + w, done OR (h = 1 AND CASE mode WHEN 'note' THEN true
+  WHEN 'chord' THEN list_has_all(pr, ns) ELSE i + h >= len(ns) END)
+FROM (SELECT *, CASE WHEN done THEN pressed WHEN h = 1 AND mode = 'chord' THEN list_append(pressed, pitch)
+      WHEN h = 1 THEN pressed ELSE [] END AS pr, CASE WHEN done OR h = 1 THEN 0 ELSE 1 END AS w
+  FROM (SELECT f.session_id, k.seq, f.i, f.pressed, f.correct, f.wrong, f.done, p.mode, p.ns, k.pitch,
+      CASE WHEN NOT f.done AND CASE p.mode WHEN 'note' THEN k.pitch = p.ns[1] WHEN 'chord' THEN
+        list_contains(p.ns, k.pitch) ELSE k.pitch = p.ns[f.i + 1] END THEN 1 ELSE 0 END AS h
+    FROM quizfold f JOIN wkeys k ON k.session_id = f.session_id AND k.seq = f.seq + 1
+    JOIN qplan p ON p.session_id = f.session_id))""", "qplan", "wkeys")
+
+
+@register("r05_quiz_grade", """
+SELECT f.session_id, f.seq + 1 AS seen, CAST(correct AS BIGINT) AS correct, CAST(wrong AS BIGINT) AS wrong, done
+FROM quizfold f JOIN (SELECT session_id, max(seq) AS m FROM wkeys GROUP BY 1) k
+  ON k.session_id = f.session_id AND k.m = f.seq""", ("quizfold", "wkeys"))
 def quiz_grade(spark, d):
     return SS.grade_batch(PF.quiz_messages(spark, d), "quiz")
 

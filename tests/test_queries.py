@@ -39,3 +39,16 @@ def test_one_exchange_per_pipeline(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan
+
+
+def test_hot_songs_are_limited_before_the_exchange(spark):
+    plan = entry.queries()["k01_leaderboard_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+@pytest.mark.parametrize("name", ["t01_explode_tokens", "k06_shared_result", "s10_list_scores"])
+def test_scans_read_only_what_they_need(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "text:string" not in plan and "user_id:bigint" not in plan
+    if name != "t01_explode_tokens":
+        assert "PushedFilters: [" in plan
