@@ -1,4 +1,4 @@
 """Imports every operator module, which fills the registry."""
 
 from .common import ORACLES, QUERIES  # noqa: F401
-from . import chat, mixing, sharding  # noqa: F401
+from . import chat, minhash, mixing, quality, sharding  # noqa: F401
