@@ -109,22 +109,19 @@ def _path_sums(unary: np.ndarray, jump: np.ndarray, mask: np.ndarray):
     return alpha, beta
 
 
-def train(chains: list[np.ndarray], labels: list[int], steps: int = 150, decay: float = 1e-2,
-          at_once: int = 200) -> dict | None:
-    """Weights of a field whose lines carry the label of their document; None without both labels."""
-    if len(set(labels)) < 2:
-        return None
+def train(chains: list[np.ndarray], labels: list[np.ndarray], steps: int = 200,
+          decay: float = 1e-4, at_once: int = 200) -> dict:
+    """Weights of a field for chains of line features and their line labels."""
     order = np.argsort([len(c) for c in chains], kind="stable")
     groups = []
     for start in range(0, len(order), at_once):  # chains of like length are padded together
         own = [int(i) for i in order[start:start + at_once]]
         longest = max(len(chains[i]) for i in own)
         x = np.zeros((len(own), longest, len(FEATURES)))
-        mask = np.zeros((len(own), longest), bool)
+        y = np.full((len(own), longest), -1)
         for k, i in enumerate(own):
-            x[k, :len(chains[i])], mask[k, :len(chains[i])] = chains[i], True
-        y = np.array([labels[i] for i in own])
-        groups.append((x, mask, y))
+            x[k, :len(chains[i])], y[k, :len(chains[i])] = chains[i], labels[i]
+        groups.append((x, y >= 0, y))
     n = sum(m.sum() for _, m, _ in groups)
     theta = np.zeros(len(FEATURES) + 4)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
@@ -138,19 +135,32 @@ def train(chains: list[np.ndarray], labels: list[int], steps: int = 150, decay:
             last = mask.sum(1) - 1
             z = np.logaddexp(*alpha[np.arange(len(y)), last].T)
             p = np.exp(np.minimum(0, alpha[..., 1] + beta[..., 1] - z[:, None]))
-            grad[:-4] += np.einsum("dt,dtf->f", np.where(mask, y[:, None] - p, 0.0), x) / n
+            grad[:-4] += np.einsum("dt,dtf->f", np.where(mask, y - p, 0.0), x) / n
             if x.shape[1] > 1:
                 pair = np.exp(np.minimum(0, alpha[:, :-1, :, None] + jump + unary[:, 1:, None]
                                          + beta[:, 1:, None] - z[:, None, None, None]))
                 pair[~mask[:, 1:]] = 0
-                seen = np.zeros((2, 2))
-                seen[0, 0], seen[1, 1] = [mask[y == k][:, 1:].sum() for k in (0, 1)]
-                grad[-4:] += (seen - pair.sum((0, 1))).ravel() / n
+                seen = [[((y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)]
+                grad[-4:] += (np.array(seen) - pair.sum((0, 1))).ravel() / n
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad ** 2
         theta = theta + 0.2 * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.99 ** step)) + 1e-9)
     return {"w": theta[:-4].tolist(), "jump": theta[-4:].reshape(2, 2).tolist()}
 
 
+def train_on_documents(chains: list[np.ndarray], quality: list[int]) -> dict | None:
+    """A field from labels of documents; None without both labels. First every line takes the label
+    of its document; then lines of poor documents that look like content on their own are relabelled,
+    if others remain, and the field is trained once more."""
+    if len(set(quality)) < 2:
+        return None
+    first = train(chains, [np.full(len(c), q) for c, q in zip(chains, quality)])
+    labels = []
+    for c, q in zip(chains, quality):
+        own = (c @ np.array(first["w"]) > 0).astype(int)
+        labels.append(np.ones(len(c), int) if q else own if not own.all() else np.zeros(len(c), int))
+    return train(chains, labels)
+
+
 def viterbi(scores: np.ndarray, jump) -> np.ndarray:
     """The most likely states (1: content) for content scores of lines; ties are content."""
     a, b = 0.0, float(scores[0])
@@ -204,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict |
     """Collects the features of the sample (bounded by ``most`` documents a label) and trains."""
     rows = sorted((r["quality"], r["x"]) for r in labelled_chains(docs, labels, most).collect()
                   if r["x"])
-    return train([np.array(x).reshape(-1, len(FEATURES)) for _, x in rows], [q for q, _ in rows])
+    return train_on_documents([np.array(x).reshape(-1, len(FEATURES)) for _, x in rows],
+                              [q for q, _ in rows])
 
 
 def judged(docs: DataFrame, model: dict | None) -> DataFrame:
