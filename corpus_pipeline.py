@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stavemill.llm import minhash, mixing, quality, sharding
+from stavemill.llm import decontam, minhash, mixing, quality, sharding
 from stavemill.llm.common import staged, table
 
 STAGES = [
     ("quality rules", quality.pipeline_stage),
     ("MinHash near-dedup", minhash.pipeline_stage),
+    ("benchmark decontamination", decontam.pipeline_stage),
     ("mixing sources to target weights", mixing.pipeline_stage),
     ("sharding", sharding.pipeline_stage),
 ]
