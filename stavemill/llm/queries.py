@@ -1,4 +1,4 @@
 """Imports every operator module, which fills the registry."""
 
 from .common import ORACLES, QUERIES  # noqa: F401
-from . import chat, decontam, minhash, mixing, quality, secrets, sharding  # noqa: F401
+from . import chat, decontam, minhash, mixing, page_text, quality, secret_scan, sharding, warc  # noqa: F401
