@@ -54,6 +54,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of at most so many narrow rows are broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table with the broadcast hint, if a count shows that it is small enough for one."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def words(text: Column) -> Column:
     """The words of a text in order (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

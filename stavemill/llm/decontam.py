@@ -17,7 +17,7 @@ their weighted shingle similarity (sum of smaller counts over sum of larger coun
   fingerprinted. A window at 0.8 shares a shingle whose alignment is that near, so none is lost.
 
 Everything is one narrow pass over the documents with lookups in item tables, which are broadcast only
-while they hold at most ``BROADCAST_ROWS`` rows (else they are joined by shuffle). Documents are never
+while they hold at most ``common.BROADCAST_ROWS`` rows (else they are joined by shuffle). Documents are never
 grouped, so hot sources, copies and common passages need no care; hits shrink to (document, item) at the
 end with sums before the shuffle.
 
@@ -33,12 +33,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, GAP, register, staged, table, words
+from .common import BLANKS, GAP, register, small, staged, table, words
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 23, 8, 8
 REACH = RADIUS // BLOCKS
-BROADCAST_ROWS = 200_000
 _LANES = 0x0001000100010001
 
 
@@ -91,11 +90,6 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A staged table with the broadcast hint, if it is small enough for one."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def prepared_items(items: DataFrame) -> DataFrame:
     """``items`` (item_id, text) to item_id, item (a number of the row's content), k, hashes, fp."""
     tokens = items.select("item_id", words(F.lower("text")).alias("w")).where(F.size("w") > 0)

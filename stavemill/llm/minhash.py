@@ -14,12 +14,14 @@ weighted Jaccard similarity.
 
 **Bands.** 20 bands of 4 slots: a pair at 0.8 shares no band with probability (1 - 0.8^4)^20 < 3e-5.
 
-**Links.** Equal texts collapse first (grouped by digest). In every bucket each text is compared with one
-centre, which differs from band to band: linear in the bucket. Verified links join into components. Buckets
-that then still hold two components or more are completed: all their pairs across components whose
-signatures agree in at least ``MIN_AGREE`` slots (a pair at 0.8 fails that with probability < 1e-7) are
-verified as well. So no verified class depends on the choice of centres, and a large group of near copies,
-which its centres join, never becomes pairs.
+**Links.** Equal texts collapse first (grouped by digest). In every bucket each text is compared with
+one centre, the text whose buckets are largest (of a group of near copies the one with the fewest edits):
+linear in the bucket. Verified links join into components. Buckets that then still hold two components or
+more are completed across components, so no class depends on the choice of centres: in those of at most
+``FEW`` texts, pairs whose signatures agree in ``MIN_AGREE`` slots are verified (a pair at 0.8 fails that
+with probability < 1e-7); for the texts of larger ones an exact prefix filter proposes the pairs. Shingles
+are ranked from the rarest; two texts at 0.8 share one among their first ranks, and in a large group of
+near copies the first ranks are the edits, which few share. So a large group never becomes pairs.
 
 Defined cases: a null text is its own class; equal texts without words are copies; a null id is never a
 class id (a class of null ids only has none); rows that share an id share a class; of equal rows one
@@ -36,12 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, register, staged, table
+from .common import packed, register, small, staged, table
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
 MIN_AGREE = 44
+#: Buckets of at most so many texts are completed by comparing signatures.
+FEW = 32
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,26 +76,25 @@ def shingles(text: str, known: _Words) -> tuple[np.ndarray, np.ndarray]:
     k = min(SHINGLE, n)
     out = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
-        out = _mix(out ^ h[i:i + n - k + 1])
-    return np.unique(out, return_counts=True)
-
-
-def signature(elements: np.ndarray, counts: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """The slots' earliest times (inf in all for an empty multiset)."""
-    best = np.full(slots, np.inf)
-    if not len(elements):
-        return best
-    keys, rates, lows, tops = [_mix(elements)], [np.ones(len(elements))], [np.zeros(len(elements))], \
-        [counts.astype(float)]
-    low = 1
-    while (own := counts > low).any():  # interval (low, 2 low]
-        e = elements[own]
-        keys.append(_mix(_mix(e) ^ np.uint64(low)))
-        rates.append(np.full(len(e), float(low)))
-        lows.append(np.full(len(e), float(low)))
-        tops.append(counts[own].astype(float))
+        out = out * _G + h[i:i + n - k + 1]
+    return np.unique(_mix(out), return_counts=True)
+
+
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
+    """The slots' earliest times for each multiset (inf in all for an empty one). The multisets run
+    through the rounds together."""
+    best = np.full((len(bags), slots), np.inf)
+    elements = np.concatenate([e for e, _ in bags]) if bags else np.empty(0, np.uint64)
+    counts = np.concatenate([c for _, c in bags]).astype(float) if bags else np.empty(0)
+    owner = np.repeat(np.arange(len(bags)), [len(e) for e, _ in bags])
+    parts = [(_mix(elements), np.ones(len(elements)), np.zeros(len(elements)), counts, owner)]
+    low = 1.0
+    while (own := counts > low).any():  # the interval (low, 2 low]
+        elements, counts, owner = elements[own], counts[own], owner[own]
+        parts.append((_mix(_mix(elements) ^ np.uint64(int(low))), np.full(len(elements), low),
+                      np.full(len(elements), low), counts, owner))
         low *= 2
-    key, rate, low_, top = map(np.concatenate, (keys, rates, lows, tops))
+    key, rate, low_, top, owner = map(np.concatenate, zip(*parts))
     time = np.zeros(len(key))
     while len(key):
         key = _mix(key)
@@ -99,10 +102,10 @@ def signature(elements: np.ndarray, counts: np.ndarray, slots: int = SLOTS) -> n
         draw = _mix(key ^ _G)
         slot = (draw % np.uint64(slots)).astype(np.int64)
         inside = (rate == 1) | (low_ + (draw >> np.uint64(40)).astype(float) * 2.0 ** -24 * rate < top)
-        np.minimum.at(best, slot[inside], time[inside])
-        live = time < best.max()
-        if not live.all():
-            key, rate, low_, top, time = key[live], rate[live], low_[live], top[live], time[live]
+        at = owner * slots + slot
+        np.minimum.at(best.reshape(-1), at[inside], time[inside])
+        live = np.flatnonzero(time < best.max(axis=1)[owner])
+        key, rate, low_, top, owner, time = (x[live] for x in (key, rate, low_, top, owner, time))
     return best
 
 
@@ -115,30 +118,61 @@ def overlap(a: tuple, b: tuple) -> float:
 
 def signed(docs: DataFrame) -> DataFrame:
     """``docs`` (id, text) to id, digest, sig (null without words) and bands."""
+    at_once = 100_000  # shingles
+
+    def columns(bags: list) -> tuple[list, list]:
+        best = signatures(bags)
+        bits = _mix(best.view(np.uint64))
+        short = (bits >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        key = np.arange(BANDS, dtype=np.uint64)[None, :]
+        for r in range(ROWS):
+            key = _mix(key ^ bits[:, r::ROWS])
+        empty = np.isinf(best[:, 0])
+        return ([None if e else x for e, x in zip(empty, short)],
+                [None if e else x for e, x in zip(empty, key.view(np.int64))])
 
     @F.pandas_udf("sig array<int>, bands array<long>")
     def sign(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for s in texts:
-            sigs, bands = [], []
+            sigs, bands, bags, n = [], [], [], 0
             for t in s:
-                best = signature(*shingles(t or "", known))
-                if np.isinf(best[0]):
-                    sigs.append(None)
-                    bands.append(None)
-                    continue
-                bits = _mix(best.view(np.uint64))
-                sigs.append((bits >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                key = np.arange(BANDS, dtype=np.uint64)
-                for r in range(ROWS):
-                    key = _mix(key ^ bits[r::ROWS])
-                bands.append(key.view(np.int64))
-            yield pd.DataFrame({"sig": sigs, "bands": bands})
+                bags.append(shingles(t or "", known))
+                n += len(bags[-1][0])
+                if n >= at_once:
+                    more = columns(bags)
+                    sigs, bands, bags, n = sigs + more[0], bands + more[1], [], 0
+            more = columns(bags)
+            yield pd.DataFrame({"sig": sigs + more[0], "bands": bands + more[1]})
 
     return (docs.select("id", F.md5("text").alias("digest"), sign("text").alias("s"))
             .select("id", "digest", "s.sig", "s.bands"))
 
 
+def rare_tokens(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``nodes`` (node, class) to (node, class, size, token, rank): the shingles of each, the n-th
+    occurrence as a token of its own, ranked from the rarest among these nodes; only ranks that a pair at
+    the threshold can need, and only tokens that two nodes share."""
+    @F.pandas_udf("array<long>")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _Words()
+        for s in batches:
+            out = []
+            for t in s:
+                e, c = shingles(t, known)
+                nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+                out.append(_mix(np.repeat(e, c) ^ nth.astype(np.uint64)).view(np.int64))
+            yield pd.Series(out, dtype="object")
+
+    bags = nodes.join(texts, "node").select("node", "class", tokens("text").alias("t"))
+    each = staged(bags.select("node", "class", F.size("t").alias("size"), F.explode("t").alias("token")),
+                  "tokens")
+    shared = each.groupBy("token").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "token"))
+    return (each.join(shared, "token").withColumn("rank", rank)
+            .where("rank <= floor(size / 5) + 1 and n > 1").drop("n"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of node ids whose similarity reaches the threshold. ``texts``: node, text."""
 
@@ -154,6 +188,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(overlap(last[a], shingles(b, known)))
             yield pd.Series(out, dtype="float64")
 
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts.join(small(needed), "node", "left_semi")
     left = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     return (pairs.join(left, "b").join(right, "a")
@@ -199,30 +235,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = (docs.where("id is not null and text is not null")
              .select(F.col("id").alias("node"), "text"))
     members = nodes.select("node", F.explode("bands").alias("band"))
-    centre = (members.groupBy("band")
-              .agg(F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("c"),
-                   F.min("node").alias("lo"), F.max("node").alias("hi"))
-              .where("lo < hi").select("band", F.col("c.node").alias("centre")))
-    crowded = staged(members.join(centre, "band"), "buckets")
-    tried = staged(_ordered(crowded.select(F.col("centre").alias("a"), F.col("node").alias("b"))),
-                   "pairs")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lo"),
+                                        F.max("node").alias("hi")).where("lo < hi")
+    crowded = staged(members.join(sizes.select("band", "n"), "band"), "buckets")
+    central = crowded.groupBy("node").agg(F.sum("n").alias("central"))
+    centre = (crowded.join(central, "node").groupBy("band")
+              .agg(F.max(F.struct("central", F.xxhash64("node").alias("h"), "node")).alias("c"))
+              .select("band", F.col("c.node").alias("centre")))
+    tried = staged(_ordered(crowded.join(centre, "band")
+                            .select(F.col("centre").alias("a"), F.col("node").alias("b"))), "pairs")
     links = staged(verified(tried, texts), "verified")
     classes = components(links)
 
-    # Buckets that still hold several components.
+    # Buckets that still hold several components; those of two members were already compared.
     labelled = (crowded.join(classes, "node", "left")
-                .select("band", "node", F.coalesce("class", "node").alias("class")))
-    split = (labelled.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"),
-                                          F.count("*").alias("n"))
-             .where("lo < hi and n > 2").select("band"))  # two members were already compared
-    open_ = labelled.join(split, "band").join(nodes.select("node", "sig"), "node")
-    open_ = staged(open_, "open-buckets")
-    x, y = open_.alias("x"), open_.alias("y")
+                .select("band", "n", "node", F.coalesce("class", "node").alias("class")))
+    split = (labelled.where("n > 2").groupBy("band")
+             .agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+             .where("lo < hi").select("band"))
+    open_ = staged(labelled.join(split, "band"), "open-buckets")
+    few = open_.where(F.col("n") <= FEW).join(nodes.select("node", "sig"), "node")
+    x, y = few.alias("x"), few.alias("y")
     agree = F.size(F.filter(F.zip_with("x.sig", "y.sig", lambda p, q: p == q), lambda e: e))
-    more = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node"))
-                   & (F.col("x.class") != F.col("y.class")) & (agree >= MIN_AGREE))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-            .join(tried, ["a", "b"], "left_anti"))
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node"))
+                  & (F.col("x.class") != F.col("y.class")) & (agree >= MIN_AGREE))
+    many = rare_tokens(open_.where(F.col("n") > FEW).select("node", "class").distinct(), texts)
+    x, y = many.alias("x"), many.alias("y")
+    # Pairs at 0.8 share at least 4/9 of both sizes together, hence a token among these first ranks.
+    least = F.ceil((F.col("x.size") + F.col("y.size")) * 4 / 9)
+    rare = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
+                  & (F.col("x.class") != F.col("y.class"))
+                  & (F.col("x.rank") <= F.col("x.size") - least + 1)
+                  & (F.col("y.rank") <= F.col("y.size") - least + 1))
+    more = near.select("x.node", F.col("y.node").alias("b")).union(
+        rare.select("x.node", F.col("y.node").alias("b"))).toDF("a", "b").distinct()
+    more = staged(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
     extra = staged(verified(more, texts), "verified-more")
     if not extra.isEmpty():
         classes = components(links.union(extra))
