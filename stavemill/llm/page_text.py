@@ -105,12 +105,14 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def close_like(self, tag: str) -> None:
-        """A new item ends an open one of its kind, unless a container lies between."""
+        """A new item ends an open one of its kind, unless another block lies between (a paragraph
+        does not count for other items)."""
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+            own = self.open[i][0]
+            if own == tag:
                 del self.open[i:]
                 return
-            if self.open[i][0] in CONTAINERS or self.open[i][0] in ("ul", "ol", "dl", "blockquote"):
+            if own in BLOCKS and (own != "p" or tag == "p"):
                 return
 
     def handle_endtag(self, tag):

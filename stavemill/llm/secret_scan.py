@@ -1,7 +1,8 @@
 """Secret scans: base patterns, and character Markov models of random strings and ordinary identifiers.
 
 Two first-order Markov chains over characters are trained from labelled samples: strings that the base
-patterns find are random, other tokens of sampled documents are ordinary. A token of at least ``MIN_TOKEN``
+patterns find are random, other tokens of sampled documents are ordinary; those that look random to the
+first models are left out and the models trained once more. A token of at least ``MIN_TOKEN``
 characters outside the base spans is reported as ``markov`` when it has a letter and its log-likelihood
 ratio exceeds ``MIN_RATIO`` (a prior of one secret in a thousand tokens).
 
@@ -139,6 +140,9 @@ def scan(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
         F.lit(True).alias("random"), F.col("s.value").alias("token"))
     plain = rows.select(F.explode("words").alias("token")).select(F.lit(False).alias("random"), "token")
     ratios = log_ratios(pair_counts(random.unionByName(plain)).collect())
+    if ratios is not None:  # secrets among the sampled tokens would pass for ordinary
+        plain = plain.where(log_ratio(F.col("token"), ratios) <= 0)
+        ratios = log_ratios(pair_counts(random.unionByName(plain)).collect()) or ratios
     if ratios is None:
         return rows.select("doc_id", "assign", "access", "hex",
                            F.filter("long", lambda t: F.lit(False)).alias("markov"))
