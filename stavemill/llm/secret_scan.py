@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and character Markov models of random strings and ordinary identifiers.
 
 Two first-order Markov chains over characters are trained from labelled samples: strings that the base
-patterns find are random, other tokens of sampled documents are ordinary; those that look random to the
-first models are left out and the models trained once more. A token of at least ``MIN_TOKEN``
+patterns find are random, other tokens of sampled documents are ordinary; those that look
+random by their characters alone are left out. A token of at least ``MIN_TOKEN``
 characters outside the base spans is reported as ``markov`` when it has a letter and its log-likelihood
 ratio exceeds ``MIN_RATIO`` (a prior of one secret in a thousand tokens).
 
@@ -42,7 +42,8 @@ SAMPLE_TOKEN = 8
 MAX_SAMPLE = 4000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # 0: the start, and any other character
-SMOOTHING = 0.5
+#: Pseudo-counts of characters, and the weight of their shares in the pairs after a character.
+SMOOTHING, BACK_OFF = 0.5, 20.0
 
 _SPAN = "struct<start:bigint,end:bigint,value:string>"
 
@@ -110,18 +111,20 @@ def pair_counts(tokens: DataFrame) -> DataFrame:
     return at.groupBy("random", pair.alias("pair")).agg(F.count("*").alias("n"))
 
 
-def log_ratios(counts: list) -> list[float] | None:
+def log_ratios(counts: list, back_off: float = BACK_OFF) -> list[float] | None:
     """Log of random over ordinary probability for each pair; None without both samples."""
     models = []
     for random in (True, False):
-        n = [SMOOTHING] * (STATES * STATES)
-        own = [r for r in counts if r["random"] == random]
+        own = {r["pair"]: r["n"] for r in counts if r["random"] == random}
         if not own:
             return None
-        for r in own:
-            n[r["pair"]] += r["n"]
-        models.append([math.log(n[i] / sum(n[i - i % STATES:i - i % STATES + STATES]))
-                       for i in range(len(n))])
+        here, before = [SMOOTHING] * STATES, [back_off] * STATES
+        for pair, n in own.items():
+            here[pair % STATES] += n
+            before[pair // STATES] += n
+        total = sum(here)
+        models.append([math.log((own.get(p, 0) + back_off * here[p % STATES] / total)
+                                / before[p // STATES]) for p in range(STATES * STATES)])
     return [a - b for a, b in zip(*models)]
 
 
@@ -139,10 +142,11 @@ def scan(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
     random = rows.select(F.explode(F.concat("assign", "access", "hex")).alias("s")).select(
         F.lit(True).alias("random"), F.col("s.value").alias("token"))
     plain = rows.select(F.explode("words").alias("token")).select(F.lit(False).alias("random"), "token")
-    ratios = log_ratios(pair_counts(random.unionByName(plain)).collect())
-    if ratios is not None:  # secrets among the sampled tokens would pass for ordinary
+    # Secrets among the sampled tokens would teach their own pairs, so characters alone sort them out.
+    ratios = log_ratios(pair_counts(random.unionByName(plain)).collect(), 1e9)
+    if ratios is not None:
         plain = plain.where(log_ratio(F.col("token"), ratios) <= 0)
-        ratios = log_ratios(pair_counts(random.unionByName(plain)).collect()) or ratios
+        ratios = log_ratios(pair_counts(random.unionByName(plain)).collect())
     if ratios is None:
         return rows.select("doc_id", "assign", "access", "hex",
                            F.filter("long", lambda t: F.lit(False)).alias("markov"))
