@@ -12,15 +12,23 @@ from pyspark.sql import functions as F
 from ..functions.vocab import EOS_ID, PAD_ID, SOS_ID
 from .sequence import flag, split_systems
 
-MODULUS = 2147483647  # fixed value: the Mersenne prime 2^31 - 1
-MULTIPLIER = 48271
-BUCKETS = 4096
+MODULUS = 1 << 32
+# Fixed values: (shift, multiplier) rounds of a 32-bit mix; every product stays below 2^63.
+ROUNDS, LAST_SHIFT = ((16, 0x21F0AAAD), (15, 0x735A2D97)), 15
+HALF = MODULUS - 1
+
+
+def _mixed(x: Column) -> Column:
+    for shift, factor in ROUNDS:
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor)).bitwiseAND(F.lit(HALF))
+    return x.bitwiseXOR(F.shiftright(x, LAST_SHIFT))
 
 
 def hash_of(key: Column, seed: int) -> Column:
-    """0 .. 2^31 - 2, spread over the whole range for consecutive ids (two mixing rounds)."""
-    once = F.pmod(F.pmod(key, F.lit(MODULUS)) * MULTIPLIER + seed, F.lit(MODULUS))
-    return F.pmod(once * 69621 + seed * 7919 + 12345, F.lit(MODULUS))
+    """0 .. 2^32 - 1: both halves of the 64-bit key go through a nonlinear mix with the seed."""
+    key = key.cast("bigint")
+    high = _mixed(F.shiftright(key, 32).bitwiseAND(F.lit(HALF)).bitwiseXOR(F.lit(seed).cast("bigint")))
+    return _mixed(key.bitwiseAND(F.lit(HALF)).bitwiseXOR(high))
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -28,58 +36,80 @@ def uniform(key: Column, seed: int) -> Column:
     return hash_of(key, seed) / float(MODULUS)
 
 
-def explode_samples(scores: DataFrame, max_seq: int) -> DataFrame:
+def explode_samples(scores: DataFrame) -> DataFrame:
     """``scores(score_id, tokens, n_staves, breaks)`` to one sample per system (grand score
-    on an even number of staves) or per staff row; at most ``max_seq`` tokens before and after
-    the split. Scores without a detected staff give none."""
+    on an even number of staves) or per staff row, of any length. Scores without a detected staff
+    give none."""
     usable = scores.filter(F.col("n_staves") > 0).withColumn(
         "by_system", F.array_contains("tokens", "staff-bass") & (F.col("n_staves") >= 2)
         & (F.col("n_staves") % 2 == 0))
     n = F.when(F.col("by_system"), (F.col("n_staves") / 2).cast("int")).otherwise(F.col("n_staves"))
     rows = usable.select(
         "score_id", n.alias("n_systems"), F.when(F.col("by_system"), F.col("breaks")).alias("breaks"),
-        F.posexplode(F.slice("tokens", 1, max_seq)).alias("pos", "token"))
-    parts = split_systems(rows).filter(F.col("pos") < max_seq)
-    return parts.withColumnRenamed("system_idx", "sample_idx")
+        F.posexplode("tokens").alias("pos", "token"))
+    return split_systems(rows).withColumnRenamed("system_idx", "sample_idx")
+
 
+def overlong_samples(samples: DataFrame, max_seq: int) -> DataFrame:
+    """Samples of more than ``max_seq`` tokens, with their length; nothing is cut."""
+    return samples.groupBy("score_id", "sample_idx").agg(F.count("*").alias("n_tokens")).filter(
+        F.col("n_tokens") > max_seq)
 
-def pick_first(rows: DataFrame, key: str, seed: int, k: Column) -> DataFrame:
-    """The ``k`` rows with the smallest (hash, key), exactly, without a global sort.
 
-    Rows are counted per hash bucket; only the bucket holding the k-th row is ranked. ``k`` is an
-    expression over ``n``, the row count. The bucket table has a fixed size and is broadcast.
+def kth_smallest(rows: DataFrame, key: str, seed: int, k) -> tuple[int, int] | None:
+    """The k-th smallest (hash, key); ``k`` is a function of the row count. None for no row.
+
+    Two grouped counts of 2^12 buckets each narrow the place down to 2^8 hash values, and only the rows
+    of those are sorted. The driver sees counts and one row.
     """
+    df, below, prefix, shift = rows.select(key).withColumn("_h", hash_of(F.col(key), seed)), 0, None, 32
+    want = None
+    for _ in range(2):
+        shift -= 12
+        inside = df if prefix is None else df.filter(F.shiftright("_h", shift + 12) == prefix)
+        counts = sorted((r["b"], r["count"]) for r in
+                        inside.groupBy(F.shiftright("_h", shift).alias("b")).count().collect())
+        if want is None:
+            n = sum(c for _, c in counts)
+            want = min(k(n), n)
+            if want <= 0:
+                return None
+        for prefix, c in counts:
+            if below + c >= want:
+                break
+            below += c
+    last = df.filter(F.shiftright("_h", shift) == prefix).orderBy("_h", key).offset(want - below - 1)
+    r = last.limit(1).first()
+    return r["_h"], r[key]
+
+
+def in_first(rows: DataFrame, key: str, seed: int, k) -> Column:
+    """Whether a row is among the ``k`` with the smallest (hash, key); keys are unique. A row-local
+    test: no join, no shuffle of the rows."""
+    top = kth_smallest(rows, key, seed, k)
+    if top is None:
+        return F.lit(False)
     h = hash_of(F.col(key), seed)
-    df = rows.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") * BUCKETS / MODULUS))
-    counts = df.groupBy("_b").agg(F.count("*").alias("_c"))
-    one = Window.partitionBy(F.lit(0))  # BUCKETS rows at most
-    counts = counts.select(
-        "_b", "_c", F.sum("_c").over(one).alias("n"),
-        (F.sum("_c").over(one.orderBy("_b").rowsBetween(Window.unboundedPreceding,
-                                                        Window.currentRow)) - F.col("_c"))
-        .alias("_before")).withColumn("_k", k)
-    joined = df.join(F.broadcast(counts), "_b")
-    sure = joined.filter(F.col("_before") + F.col("_c") <= F.col("_k"))
-    edge = joined.filter((F.col("_before") < F.col("_k"))
-                         & (F.col("_before") + F.col("_c") > F.col("_k")))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    edge = edge.withColumn("_r", rank).filter(F.col("_before") + F.col("_r") <= F.col("_k"))
-    return sure.select(*rows.columns).unionByName(edge.select(*rows.columns))
+    return (h < top[0]) | ((h == top[0]) & (F.col(key) <= top[1]))
+
+
+def pick_first(rows: DataFrame, key: str, seed: int, k: int) -> DataFrame:
+    """The ``k`` rows with the smallest (hash, key), exactly, without a global sort."""
+    return rows.filter(in_first(rows, key, seed, lambda n: k))
 
 
 def replay_sample(current: DataFrame, replay: DataFrame, key: str, k: int, seed: int = 42
                   ) -> DataFrame:
     """The current set plus ``k`` seeded rows of an earlier one (all of it if smaller)."""
-    chosen = pick_first(replay, key, seed, F.lit(k))
+    chosen = pick_first(replay, key, seed, k)
     return current.withColumn("replayed", F.lit(False)).unionByName(
         chosen.withColumn("replayed", F.lit(True)))
 
 
 def split_dataset(rows: DataFrame, key: str, ratio: float = 0.1, seed: int = 42) -> DataFrame:
     """D3: adds ``split``; validation takes max(1, floor(n * ratio)) seeded rows."""
-    n_val = F.greatest(F.lit(1), F.floor(F.col("n") * ratio))
-    val = pick_first(rows.select(key), key, seed, n_val).withColumn("split", F.lit("val"))
-    return rows.join(val, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    val = in_first(rows, key, seed, lambda n: max(1, int(n * ratio)))
+    return rows.withColumn("split", F.when(val, "val").otherwise("train"))
 
 
 def shift_targets(samples: DataFrame, ids: str = "ids") -> DataFrame:

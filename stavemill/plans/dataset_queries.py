@@ -16,33 +16,45 @@ from .sequence_queries import _split_sql, split_input
 _M = DS.MODULUS
 
 
+def _mixed_sql(x: str) -> str:
+    for shift, factor in DS.ROUNDS:
+        x = f"((xor({x}, {x} >> {shift}) * {factor}) & {DS.HALF})"
+    return f"xor({x}, {x} >> {DS.LAST_SHIFT})"
+
+
 def hash_sql(key: str, seed: int) -> str:
-    return (f"((((({key}) % {_M} + {_M}) % {_M} * {DS.MULTIPLIER} + {seed}) % {_M}) * 69621 + "
-            f"{seed * 7919 + 12345}) % {_M}")
+    key = f"({key})::BIGINT"
+    # The upper half of the keys here is zero, so its mix is a constant.
+    high = seed
+    for shift, factor in DS.ROUNDS:
+        high = ((high ^ (high >> shift)) * factor) & DS.HALF
+    high ^= high >> DS.LAST_SHIFT
+    return f"({_mixed_sql(f'xor({key} & {DS.HALF}, {high}::BIGINT)')})"
 
 
 def uniform_sql(key: str, seed: int) -> str:
     return f"({hash_sql(key, seed)} / {_M}.0::DOUBLE)"
 
 
-MAX_SEQ = 300
-# The truncated scores go through the same splitting SQL under their own names.
-add_cte("hdr300", f"SELECT * FROM hdr WHERE pos < {MAX_SEQ}", "hdr")
-add_cte("body300", f"SELECT * FROM body WHERE pos < {MAX_SEQ}", "body")
-add_cte("tot300", "SELECT score_id, max(measure_idx) + 1 AS total FROM body300 GROUP BY 1", "body300")
-add_cte("m300", """
+add_cte("msys", """
 SELECT score_id, n_staves, CASE WHEN is_grand AND n_staves >= 2 AND n_staves % 2 = 0 THEN n_staves // 2
   ELSE n_staves END AS n_systems, CASE WHEN is_grand AND n_staves >= 2 AND n_staves % 2 = 0 THEN brk END
   AS brk FROM meta JOIN grand USING (score_id) WHERE n_staves > 0""", "meta", "grand")
 
 
-@register("d01_explode_samples", "SELECT score_id, system_idx AS sample_idx, pos, token FROM (" +
-          _split_sql("n_systems", True).replace("FROM hdr", "FROM hdr300").replace(
-              "JOIN totals", "JOIN tot300").replace("JOIN body", "JOIN body300").replace(
-              "FROM m)", "FROM m300)") + f") WHERE pos < {MAX_SEQ}",
-          ("hdr300", "body300", "tot300", "m300"))
+_SAMPLES = ("SELECT score_id, system_idx AS sample_idx, pos, token FROM ("
+            + _split_sql("n_systems", True).replace("FROM m)", "FROM msys)") + ")")
+
+
+@register("d01_explode_samples", _SAMPLES, ("hdr", "body", "totals", "msys"))
 def explode_samples(spark, d):
-    return DS.explode_samples(fx.score_meta(spark, d), MAX_SEQ)
+    return DS.explode_samples(fx.score_meta(spark, d))
+
+
+@register("d01_overlong_samples", f"SELECT score_id, sample_idx, count(*) AS n_tokens FROM ({_SAMPLES}) "
+          "GROUP BY 1, 2 HAVING count(*) > 300", ("hdr", "body", "totals", "msys"))
+def overlong_samples(spark, d):
+    return DS.overlong_samples(DS.explode_samples(fx.score_meta(spark, d)), 300)
 
 
 @register("d02_replay_sample", f"""
@@ -125,22 +137,24 @@ def weighted_pick(spark, d):
 
 
 def vocabularies(spark, d):
-    """Two vocabularies: first words of English + German and of English + French documents."""
-    docs = fx.table(spark, d, "documents").select(
-        F.split_part("text", F.lit(" "), F.lit(1)).alias("token"), "doc_id", "lang")
+    """Two vocabularies: all words of English, German and Spanish documents, and of English, French and
+    Spanish ones."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "lang", F.explode(F.split("text", " ")).alias(
+        "token")).groupBy("token", "lang").agg(F.min("doc_id").alias("id"))
     by = lambda langs: docs.filter(F.col("lang").isin(*langs)).groupBy("token").agg(
-        F.min("doc_id").alias("id"))
+        F.min("id").alias("id"))
     emb = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"),
                                                   F.col("embedding").alias("vector"))
-    old = by(("en", "de")).join(emb, "id", "left")
-    return old, by(("en", "fr"))
+    old = by(("en", "de", "es")).join(emb, "id", "left")
+    return old, by(("en", "fr", "es"))
 
 
+add_cte("docwords", "SELECT DISTINCT doc_id, lang, unnest(string_split(text, ' ')) AS token FROM documents")
 add_cte("voc", """
-SELECT o.token AS ot, n.token AS nt, o.id AS oid, n.id AS nid FROM (SELECT split_part(text, ' ', 1) AS
-  token, min(doc_id) AS id FROM documents WHERE lang IN ('en', 'de') GROUP BY 1) o
-FULL JOIN (SELECT split_part(text, ' ', 1) AS token, min(doc_id) AS id FROM documents
-  WHERE lang IN ('en', 'fr') GROUP BY 1) n ON o.token = n.token""")
+SELECT o.token AS ot, n.token AS nt, o.id AS oid, n.id AS nid
+FROM (SELECT token, min(doc_id) AS id FROM docwords WHERE lang IN ('en', 'de', 'es') GROUP BY 1) o
+FULL JOIN (SELECT token, min(doc_id) AS id FROM docwords WHERE lang IN ('en', 'fr', 'es') GROUP BY 1) n
+  ON o.token = n.token""", "docwords")
 
 
 @register("j03_vocab_remap", """

@@ -202,19 +202,17 @@ def micro_recall(spark, d):
 
 add_cte("vp1", _orphan_sql("pred"), "pred")
 add_cte("vp2", _span_sql("vp1"), "vp1")
-add_cte("v50", """
+add_cte("vall", """
 SELECT score_id, pos, token, 'g' AS side FROM tok WHERE score_id IN (SELECT score_id FROM vp2)
-  AND score_id IN (SELECT DISTINCT score_id FROM tok ORDER BY score_id LIMIT 50)
-UNION ALL SELECT score_id, pos, token, 'p' FROM vp2
-WHERE score_id IN (SELECT DISTINCT score_id FROM tok ORDER BY score_id LIMIT 50)""", "tok", "vp2")
-add_cte("v50c", coded_sql("v50", True), "v50", "vocab")
+UNION ALL SELECT score_id, pos, token, 'p' FROM vp2 WHERE score_id IN (SELECT score_id FROM tok)""", "tok", "vp2")
+add_cte("vallc", coded_sql("vall", True), "vall", "vocab")
 
 
 @register("e09_validation_summary", f"""
 SELECT count(*) AS n_val, round(avg({RATE}), 6) AS val_ter,
   round(greatest(0.0, 1 - avg({RATE})) * 100, 6) AS val_acc
 FROM (SELECT score_id, sum(dist) AS dist, sum(gt_len) AS gt_len, sum(pred_len) AS pred_len
-  FROM ({dist_sql(f"({measured_sql('v50c')})", "score_id, measure_idx")}) GROUP BY 1)""", ("v50c",))
+  FROM ({dist_sql(f"({measured_sql('vallc')})", "score_id, measure_idx")}) GROUP BY 1)""", ("vallc",))
 def validation_summary(spark, d):
     return _round(EV.validation_summary(fx.predictions(spark, d), fx.tokens(spark, d)), "val_ter",
                   "val_acc")

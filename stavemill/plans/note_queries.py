@@ -446,8 +446,9 @@ def leaderboard_topk(spark, d):
 SELECT score_id, CAST(onset_ticks AS BIGINT) AS onset_ticks, staff, note_idx, pitch FROM sched
 ORDER BY score_id, onset_ticks, staff DESC, note_idx, tone""", ("sched",))
 def time_merge(spark, d):
+    """Both staves of a score on one clock; a score's tones lie together in one partition, in order."""
     return (PR.merged_schedule(notes_of(spark, d))
-            .orderBy("score_id", "onset_ticks", F.desc("staff"), "note_idx", "tone")
+            .sortWithinPartitions("score_id", "onset_ticks", F.desc("staff"), "note_idx", "tone")
             .select("score_id", "onset_ticks", "staff", "note_idx", "pitch"))
 
 

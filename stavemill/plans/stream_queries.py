@@ -15,8 +15,9 @@ from ..sources import midi as MD
 from ..sources import performances as PF
 from ..sources.jobs import JOBS_SQL, job_events
 from ..sources.storage import new_path
+from ..streaming import folds as FO
 from ..streaming import sessions as SS
-from .base import add_cte, register
+from .base import add_cte, midi_sql, register
 from .dataset_queries import epoch_log
 from .evaluate_queries import _round
 from .note_queries import leaderboard
@@ -135,8 +136,8 @@ def append_leaderboard(spark, d):
         F.count("*").alias("n"), F.max("entry_id").alias("last_entry"))
 
 
-@register("s13_valid_uploads", "SELECT source || '_' || doc_id AS stem FROM documents WHERE doc_id % 5 <> 1 "
-          "AND n_chars * 4096 <= 10485760")
+@register("s13_valid_uploads", "SELECT source || '_' || doc_id AS stem FROM documents WHERE "
+          "n_chars * 4096 <= 10485760")
 def valid_uploads(spark, d):
     images, _ = manifest_files(spark, d)
     ok = LB.valid_uploads(images.withColumn("length", F.col("length") * 4096))
@@ -184,15 +185,73 @@ def _stored_stream(spark, rows, name):
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
-@register("r03_grade_performance")
+add_cte("psteps", """
+SELECT score_id AS session_id, staff, measure, row_number() OVER (PARTITION BY score_id, staff, measure ORDER BY
+  note_idx) - 1 AS step, beat, string_split(pitches, ',') AS tones FROM steps
+WHERE score_id % 4 <> 3 OR staff = 'treble'""", "steps")
+add_cte("ptones", """
+SELECT *, (measure * 31 + step * 7 + tone * 3 + session_id) % 37 AS code FROM (SELECT session_id, staff, measure,
+  step, unnest(tones) AS pitch, unnest(range(len(tones))) AS tone FROM psteps)""", "psteps")
+add_cte("pmsg", """
+SELECT session_id, 1 + row_number() OVER (PARTITION BY session_id ORDER BY measure, step, phase, staff DESC, tone)
+  AS seq, kind, pitch
+FROM (SELECT session_id, measure, step, staff, tone, phase, CASE WHEN phase % 2 = 0 THEN 'on' ELSE 'off' END AS
+    kind, CASE WHEN phase < 2 THEN 'C1' ELSE pitch END AS pitch
+  FROM ptones, (VALUES (0), (1), (2), (3)) AS v(phase)
+  WHERE NOT (session_id % 5 = 4 AND code = 3) AND (phase >= 2 OR code = 5))""", "ptones")
+add_cte("phands", f"""
+SELECT session_id, staff, i, measure, beat, list(DISTINCT p) AS tones, arg_max(p, {midi_sql('p')}) AS high
+FROM (SELECT session_id, staff, measure, beat, unnest(tones) AS p, row_number() OVER (PARTITION BY session_id, staff
+    ORDER BY measure, step) - 1 AS i FROM psteps) GROUP BY 1, 2, 3, 4, 5""", "psteps")
+add_cte("pcount", """
+SELECT session_id, count(*) FILTER (staff = 'treble') AS nr, count(*) FILTER (staff = 'bass') AS nl FROM phands
+GROUP BY 1""", "phands")
+# The rules over rows: one row per message, with what it did.
+add_cte("perffold", """
+SELECT session_id, CAST(1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS l, CAST([] AS VARCHAR[])
+  AS held, CAST(0 AS BIGINT) AS correct, CAST(0 AS BIGINT) AS wrong, CAST('' AS VARCHAR) AS mark, CAST('' AS VARCHAR)
+  AS pitch FROM pcount
+UNION ALL
+SELECT session_id, seq, r + CASE WHEN hit AND side <> 'l' THEN 1 ELSE 0 END,
+  l + CASE WHEN hit AND side IN ('l', 'both') THEN 1 ELSE 0 END, held, correct + CASE WHEN hit THEN len(want) ELSE 0 END,
+  wrong + CASE WHEN live AND NOT hit AND NOT has THEN 1 ELSE 0 END,
+  CASE WHEN NOT live THEN '' WHEN hit THEN 'hit' WHEN has THEN 'wait' ELSE 'wrong' END, pitch
+FROM (SELECT *, list_contains(want, pitch) AS has, live AND list_contains(want, pitch) AND CASE
+    WHEN side <> 'both' AND session_id % 4 = 3 AND len(want) > 1 THEN pitch = high
+    ELSE list_has_all(held, want) END AS hit
+  FROM (SELECT session_id, seq, r, l, correct, wrong, pitch, kind = 'on' AND NOT over_ AS live, high, side,
+      CASE WHEN kind = 'off' THEN list_filter(held, lambda h: h <> pitch) WHEN over_ THEN held
+        ELSE list_append(list_filter(held, lambda h: h <> pitch), pitch) END AS held,
+      CASE side WHEN 'both' THEN list_concat(mine, other) WHEN 'r' THEN mine WHEN 'l' THEN other ELSE [] END AS want
+    FROM (SELECT *, CASE WHEN side_ = 'both' THEN 'both' WHEN list_contains(mine, pitch) THEN 'r'
+        WHEN list_contains(other, pitch) THEN 'l' ELSE 'none' END AS side,
+        CASE WHEN list_contains(mine, pitch) THEN ah ELSE bh END AS high
+      FROM (SELECT f.session_id, k.seq, f.r, f.l, f.held, f.correct, f.wrong, k.kind, k.pitch, a.high AS ah,
+          b.high AS bh, f.r >= c.nr AND f.l >= c.nl AS over_,
+          CASE WHEN a.measure = b.measure AND a.beat = b.beat THEN 'both' ELSE '' END AS side_,
+          CASE WHEN a.measure <= coalesce(b.measure, a.measure) THEN a.tones ELSE [] END AS mine,
+          CASE WHEN b.measure <= coalesce(a.measure, b.measure) THEN b.tones ELSE [] END AS other
+        FROM perffold f JOIN pmsg k ON k.session_id = f.session_id AND k.seq = f.seq + 1
+        JOIN pcount c ON c.session_id = f.session_id
+        LEFT JOIN phands a ON a.session_id = f.session_id AND a.staff = 'treble' AND a.i = f.r
+        LEFT JOIN phands b ON b.session_id = f.session_id AND b.staff = 'bass' AND b.i = f.l))))""",
+        "pmsg", "pcount", "phands")
+add_cte("pgrades", """
+SELECT f.session_id, f.seq AS seen, correct, wrong, r >= nr AND l >= nl AS done FROM perffold f
+JOIN pcount c ON c.session_id = f.session_id
+JOIN (SELECT session_id, max(seq) AS m FROM pmsg GROUP BY 1) k ON k.session_id = f.session_id AND k.m = f.seq""",
+        "perffold", "pcount", "pmsg")
+
+
+@register("r03_grade_performance", "SELECT * FROM pgrades", ("pgrades",))
 def grade_performance(spark, d):
-    return SS.grade_batch(PF.performance_messages(spark, d), "performance")
+    return FO.grades(PF.performance_messages(spark, d), "performance")
 
 
-@register("r03_grade_performance_stream")
+@register("r03_grade_performance_stream", "SELECT * FROM pgrades", ("pgrades",))
 def grade_performance_stream(spark, d):
     stream = _stored_stream(spark, PF.performance_messages(spark, d), "messages")
-    return SS.latest_results(SS.run_available(SS.grade_stream(stream, "performance"), "graded", "update"))
+    return FO.latest_results(SS.run_available(FO.grades(stream, "performance"), "graded", "update"))
 
 
 # Wait mode as a fold over presses.
@@ -220,12 +279,17 @@ JOIN (SELECT session_id, max(seq) AS m FROM wkeys GROUP BY 1) k ON k.session_id
 JOIN (SELECT session_id, count(*) AS n FROM wnotes GROUP BY 1) c ON c.session_id = f.session_id""",
           ("waitfold", "wkeys", "wnotes"))
 def wait_mode_grade(spark, d):
-    return SS.grade_batch(PF.wait_messages(spark, d), "wait")
+    return FO.grades(PF.wait_messages(spark, d), "wait")
 
 
+add_cte("qnotes", "SELECT session_id * 10000 + i // 3 AS session_id, note_idx, pitch FROM wnotes", "wnotes")
 add_cte("qplan", """
 SELECT session_id, CASE session_id % 3 WHEN 0 THEN 'note' WHEN 1 THEN 'chord' ELSE 'sequence' END AS mode,
-  list(pitch ORDER BY i) AS ns FROM wnotes WHERE i < 3 GROUP BY 1""", "wnotes")
+  list(pitch ORDER BY note_idx) AS ns FROM qnotes GROUP BY 1""", "qnotes")
+add_cte("qkeys", """
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY note_idx, j) AS seq, p AS pitch FROM (
+  SELECT session_id, note_idx, 1 AS j, pitch AS p FROM qnotes UNION ALL
+  SELECT session_id, note_idx, 0, 'C1' FROM qnotes WHERE (note_idx * 7 + session_id) % 11 = 4)""", "qnotes")
 add_cte("quizfold", """
 SELECT session_id, CAST(0 AS BIGINT) AS seq, 0 AS i, CAST([] AS VARCHAR[]) AS pressed, 0 AS correct, 0 AS wrong,
   false AS done FROM qplan
@@ -237,22 +301,26 @@ FROM (SELECT *, CASE WHEN done THEN pressed WHEN h = 1 AND mode = 'chord' THEN l
   FROM (SELECT f.session_id, k.seq, f.i, f.pressed, f.correct, f.wrong, f.done, p.mode, p.ns, k.pitch,
       CASE WHEN NOT f.done AND CASE p.mode WHEN 'note' THEN k.pitch = p.ns[1] WHEN 'chord' THEN
         list_contains(p.ns, k.pitch) ELSE k.pitch = p.ns[f.i + 1] END THEN 1 ELSE 0 END AS h
-    FROM quizfold f JOIN wkeys k ON k.session_id = f.session_id AND k.seq = f.seq + 1
-    JOIN qplan p ON p.session_id = f.session_id))""", "qplan", "wkeys")
+    FROM quizfold f JOIN qkeys k ON k.session_id = f.session_id AND k.seq = f.seq + 1
+    JOIN qplan p ON p.session_id = f.session_id))""", "qplan", "qkeys")
 
 
 @register("r05_quiz_grade", """
 SELECT f.session_id, f.seq + 1 AS seen, CAST(correct AS BIGINT) AS correct, CAST(wrong AS BIGINT) AS wrong, done
-FROM quizfold f JOIN (SELECT session_id, max(seq) AS m FROM wkeys GROUP BY 1) k
-  ON k.session_id = f.session_id AND k.m = f.seq""", ("quizfold", "wkeys"))
+FROM quizfold f JOIN (SELECT session_id, max(seq) AS m FROM qkeys GROUP BY 1) k
+  ON k.session_id = f.session_id AND k.m = f.seq""", ("quizfold", "qkeys"))
 def quiz_grade(spark, d):
-    return SS.grade_batch(PF.quiz_messages(spark, d), "quiz")
+    return FO.grades(PF.quiz_messages(spark, d), "quiz")
 
 
-@register("p05_performance_scores")
+@register("p05_performance_scores", """
+SELECT session_id, correct, wrong, CASE WHEN session_id % 7 <> 0 THEN CASE WHEN session_id % 5 = 0 THEN
+  greatest(0.0, floor((base - 10) * 10 + 0.5) / 10.0) ELSE base END END AS score
+FROM (SELECT *, CASE WHEN correct + wrong > 0 THEN floor(correct / (correct + wrong) * CASE WHEN session_id % 3 = 0
+  THEN 100 ELSE 150 END * 10 + 0.5) / 10.0 ELSE 0.0 END AS base FROM pgrades)""", ("pgrades",))
 def performance_scores(spark, d):
     """Grades, final scores (P5) and the song they rank under."""
-    g = SS.grade_batch(PF.performance_messages(spark, d), "performance")
+    g = FO.grades(PF.performance_messages(spark, d), "performance")
     score = PR.final_score(F.col("correct"), F.col("wrong"),
                            F.when(F.col("session_id") % 3 == 0, 100).otherwise(150),
                            F.col("session_id") % 5 == 0, F.col("session_id") % 7 != 0)
@@ -272,21 +340,36 @@ add_cte("checks", "SELECT session_id, t_ms + 1000 AS check_ms, CASE WHEN session
         "'G3' END AS target FROM midi WHERE seq % 128 = 0", "midi")
 
 
-@register("r06_connection_check", """
+_CHECKED = """
 SELECT c.session_id, check_ms, target, coalesce(bool_or(pitch = target), false) AS ok,
   count(pitch) AS n_heard
 FROM checks c LEFT JOIN presses p ON p.session_id = c.session_id AND kind = 'on' AND t_ms BETWEEN check_ms
-  AND check_ms + 6000 GROUP BY 1, 2, 3""", ("checks", "presses"))
+  AND check_ms + 6000 GROUP BY 1, 2, 3"""
+
+
+@register("r06_connection_check", _CHECKED, ("checks", "presses"))
 def connection_check(spark, d):
     return SS.connection_check(checks(MD.midi_messages(spark, d)), presses(spark, d))
 
 
-@register("r06_connection_check_stream")
-def connection_check_stream(spark, d):
+#: Far beyond any event time here.
+END_MS = 4_102_444_800_000
+END = {"session_id": -1, "seq": 0, "t_ms": END_MS, "status": 0x90, "d1": 0, "d2": 1}
+
+
+def closed_midi(spark, d, closing):
+    """The keyboard stream, and the row that closes it."""
     raw = MD.midi_stream(spark, d)
-    c = checks(raw).withColumn("ts", F.timestamp_millis("check_ms"))
-    p = SS.with_ts(MD.decode_midi(MD.midi_stream(spark, d)))
-    return SS.run_available(SS.connection_check_stream(c, p), "checks")
+    return raw.unionByName(closing.select(*raw.columns))
+
+
+@register("r06_connection_check_stream", _CHECKED, ("checks", "presses"))
+def connection_check_stream(spark, d):
+    def make(closing):
+        c = checks(closed_midi(spark, d, closing)).withColumn("ts", F.timestamp_millis("check_ms"))
+        return SS.connection_check_stream(c, SS.with_ts(MD.decode_midi(closed_midi(spark, d, closing))))
+    heard = SS.run_to_end(make, spark, MD.MIDI_SCHEMA, END, "checks")
+    return SS.check_results(heard.filter("session_id >= 0"))
 
 
 def job_rows(rows):
@@ -295,19 +378,28 @@ def job_rows(rows):
                        normalize_job_status("status", "output").alias("status"))
 
 
-@register("r07_job_tracker", """
+_JOBS = """
 SELECT job_id, coalesce(e, 'FAILED') AS status, e IS NULL AS timed_out FROM (
   SELECT job_id, arg_min(status, (t_ms, event_id)) FILTER (status IN ('COMPLETED', 'FAILED') AND
     t_ms <= s + 300000) AS e
-  FROM (SELECT *, min(t_ms) OVER (PARTITION BY job_id) AS s FROM jobst) GROUP BY 1)""", ("jobst",))
+  FROM (SELECT *, min(t_ms) OVER (PARTITION BY job_id) AS s FROM jobst) GROUP BY 1)"""
+
+
+@register("r07_job_tracker", _JOBS, ("jobst",))
 def job_tracker(spark, d):
     return SS.job_tracker(job_rows(job_events(spark, d)))
 
 
-@register("r07_job_tracker_stream")
+@register("r07_job_tracker_stream", _JOBS, ("jobst",))
 def job_tracker_stream(spark, d):
-    ev = spark.sql(JOBS_SQL, events=MD.file_stream(spark, d, "events", MD.EVENT_SCHEMA))
-    return SS.run_available(SS.job_tracker_stream(SS.with_ts(job_rows(ev))), "jobs")
+    def make(closing):
+        ev = spark.sql(JOBS_SQL, events=MD.file_stream(spark, d, "events", MD.EVENT_SCHEMA))
+        rows = SS.with_ts(job_rows(ev))
+        return SS.job_tracker_stream(rows.unionByName(SS.with_ts(closing.select(
+            *[c for c in rows.columns if c != "ts"]))))
+    out = SS.run_to_end(make, spark, "job_id bigint, event_id bigint, t_ms bigint, status string",
+                        {"job_id": -1, "event_id": -1, "t_ms": END_MS, "status": "UNKNOWN"}, "jobs")
+    return out.filter("job_id >= 0")
 
 
 ORDER_SCHEMA = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
@@ -315,16 +407,19 @@ ORDER_SCHEMA = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_to
 
 
 @register("r08_live_leaderboard", """
-SELECT song, nickname, score, entry_id, CAST(rank AS INT) AS rank FROM (SELECT o_orderpriority AS song,
-  'p' || o_custkey AS nickname, floor(o_totalprice)::BIGINT % 1500 / 10.0::DOUBLE AS score,
-  o_orderkey AS entry_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY
-    floor(o_totalprice)::BIGINT % 1500 DESC, o_orderdate, o_orderkey) AS rank FROM orders)
+WITH e AS (SELECT o_orderpriority AS song, CASE WHEN o_custkey % 11 = 0 THEN '익명' ELSE 'p' || o_custkey END AS
+    nickname, floor(o_totalprice)::BIGINT % 1500 / 10.0::DOUBLE AS score, o_orderkey AS entry_id, o_orderdate
+  FROM orders),
+f AS (SELECT *, row_number() OVER (PARTITION BY song, nickname ORDER BY o_orderdate, entry_id) AS nth FROM e)
+SELECT song, nickname, score, entry_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (
+    PARTITION BY song ORDER BY score DESC, o_orderdate, entry_id) AS rank FROM f WHERE nth = 1 OR nickname = '익명')
 WHERE rank <= 3""")
 def live_leaderboard(spark, d):
     o = MD.file_stream(spark, d, "orders", ORDER_SCHEMA)
     entries = o.select(
         F.col("o_orderkey").alias("entry_id"), F.col("o_orderpriority").alias("song"),
-        F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("nickname"),
+        F.when(F.col("o_custkey") % 11 == 0, L.ANONYMOUS).otherwise(
+            F.concat(F.lit("p"), F.col("o_custkey").cast("string"))).alias("nickname"),
         (F.floor("o_totalprice") % 1500 / 10.0).alias("score"), F.col("o_orderdate").alias("created_at"))
     return SS.live_leaderboard(entries).select("song", "nickname", "score", "entry_id", "rank")
 
@@ -345,29 +440,31 @@ def press_windows_stream(spark, d):
     return updates.groupBy("from_ms", "to_ms").agg(F.max("n").alias("n"))
 
 
-@register("r09_press_sessions", """
+_BURSTS = """
 SELECT session_id, min(t_ms) AS from_ms, max(t_ms) + 5000 AS to_ms, count(*) AS n
 FROM (SELECT *, sum(CASE WHEN t_ms - p < 5000 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY t_ms)
     AS burst
   FROM (SELECT *, lag(t_ms) OVER (PARTITION BY session_id ORDER BY t_ms) AS p FROM presses
-        WHERE kind = 'on')) GROUP BY session_id, burst""", ("presses",))
+        WHERE kind = 'on')) GROUP BY session_id, burst"""
+
+
+@register("r09_press_sessions", _BURSTS, ("presses",))
 def press_sessions(spark, d):
     return SS.press_sessions(SS.with_ts(presses(spark, d)))
 
 
-@register("r09_press_sessions_stream")
+@register("r09_press_sessions_stream", _BURSTS, ("presses",))
 def press_sessions_stream(spark, d):
-    w = SS.press_sessions(SS.with_ts(MD.decode_midi(MD.midi_stream(spark, d))))
-    return SS.run_available(w, "bursts")
+    def make(closing):
+        return SS.press_sessions(SS.with_ts(MD.decode_midi(closed_midi(spark, d, closing))))
+    return SS.run_to_end(make, spark, MD.MIDI_SCHEMA, END, "bursts").filter("session_id >= 0")
 
 
-@register("j08_expected_step_presses")
+@register("j08_expected_step_presses", "SELECT session_id, seq, pitch, mark FROM perffold WHERE mark <> ''",
+          ("perffold",))
 def expected_step_presses(spark, d):
-    """Expected steps against pressed notes, through the keyed state of the grader."""
-    g = SS.grade_batch(PF.performance_messages(spark, d), "performance")
-    n = PF.steps_of(spark, d).groupBy(F.col("score_id").alias("session_id")).agg(
-        F.sum(F.size("pitches")).alias("expected_tones"))
-    return g.join(n, "session_id").select("session_id", "expected_tones", "correct", "wrong")
+    """Every press against the step expected at that moment."""
+    return FO.press_marks(PF.performance_messages(spark, d))
 
 
 @register("j09_target_heard", """

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 LABEL_SCHEMA = "id string, tokens array<string>, system_breaks array<int>, _corrupt_record string"
 LOG_SCHEMA = "epoch int, phase int, train_loss double, val_ter double, val_acc double, lr double"
+# File endings of the media types image/*.
+ANY_IMAGE_PATTERN = (r"(?i)\.(apng|avif|bmp|gif|heic|heif|ico|jfif|jpeg|jpg|jxl|pjp|pjpeg|png|svg|svgz|tif|tiff|"
+                     r"webp)$")
 IMAGE_PATTERN = r"(?i)\.(png|jpg|jpeg)$"
 MAX_UPLOAD = 10 * 1024 * 1024  # fixed value: ten mebibytes
 
@@ -70,8 +73,8 @@ def pair_manifest(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def valid_uploads(files: DataFrame) -> DataFrame:
-    """Images of at most ten mebibytes."""
-    return files.filter(F.col("path").rlike(IMAGE_PATTERN) & (F.col("length") <= MAX_UPLOAD))
+    """Images of any type, of at most ten mebibytes; the type comes from the file name."""
+    return files.filter(F.col("path").rlike(ANY_IMAGE_PATTERN) & (F.col("length") <= MAX_UPLOAD))
 
 
 def write_markov(table: DataFrame, path: str, max_interval: int = 14) -> None:

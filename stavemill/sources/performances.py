@@ -12,7 +12,13 @@ from ..operators.notes import tokens_to_notes
 from ..operators.practice import performance_steps
 from .fixtures import tokens
 
-MESSAGE_SCHEMA = "session_id bigint, seq bigint, kind string, pitch string, plan string"
+MESSAGE_SCHEMA = ("session_id bigint, seq bigint, kind string, pitch string, plan string, "
+                  "started_at timestamp")
+
+
+def started(rows: DataFrame) -> DataFrame:
+    """Sessions start a second apart; every message carries its session's start."""
+    return rows.withColumn("started_at", F.timestamp_millis((F.col("session_id") + 1) * 1000))
 
 
 def steps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +85,7 @@ def performance_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         played)
     rows = tones.select("session_id", "plan", "measure", "step", "staff", "tone", F.inline(acts))
     rows = _order(rows, "measure", "step", "phase", F.desc("staff"), "tone")
-    return rows.select("session_id", "seq", "kind", "pitch", "plan")
+    return started(rows.select("session_id", "seq", "kind", "pitch", "plan"))
 
 
 def _upper_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +105,7 @@ def _with_wrong_keys(notes: DataFrame) -> DataFrame:
 def _with_plans(rows: DataFrame, plans: DataFrame) -> DataFrame:
     start = plans.select("session_id", F.lit(0).cast("bigint").alias("seq"),
                          F.lit("start").alias("kind"), F.lit(None).cast("string").alias("pitch"), "plan")
-    return rows.unionByName(start)
+    return started(rows.unionByName(start))
 
 
 def wait_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,12 +119,15 @@ def wait_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quiz_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quiz: the first three notes as one note, a chord or a sequence; presses follow the score."""
-    n = _upper_notes(spark, sf_dir)
+    """Quizzes of three notes each through the whole upper staff, as one note, a chord or a sequence;
+    presses follow the score."""
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("note_idx")) - 1
+    n = _upper_notes(spark, sf_dir).withColumn("quiz", F.floor(place / 3)).select(
+        (F.col("session_id") * 10000 + F.col("quiz")).alias("session_id"), "note_idx", "pitch")
     pitches = F.transform(F.array_sort(F.collect_list(F.struct("note_idx", "pitch"))),
                           lambda x: x["pitch"])
     mode = F.when(F.col("session_id") % 3 == 0, "note").when(
         F.col("session_id") % 3 == 1, "chord").otherwise("sequence")
-    plans = n.groupBy("session_id").agg(F.slice(pitches, 1, 3).alias("notes")).select(
+    plans = n.groupBy("session_id").agg(pitches.alias("notes")).select(
         "session_id", F.to_json(F.struct(mode.alias("mode"), "notes")).alias("plan"))
     return _with_plans(_with_wrong_keys(n), plans)

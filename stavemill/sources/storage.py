@@ -17,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="stavemill-")

@@ -1,54 +1,21 @@
-"""Batch and streaming drivers of the graders, held notes, checks, trackers and windows."""
+"""Held notes, checks, trackers, live boards and windows, in batch and as streams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.library import nickname_taken
+from ..operators.library import ANONYMOUS
 from ..operators.practice import leaderboard_topk
 from ..sources.storage import new_path
-from .graders import play
 
-RESULT_SCHEMA = "session_id bigint, seen bigint, correct bigint, wrong bigint, done boolean"
 CHECK_MS = 6000  # fixed value: time to hear the target note
 JOB_LIMIT_MS = 5 * 60 * 1000  # fixed value: a job without an end by then has failed
-
-
-def _result(key, state: dict) -> pd.DataFrame:
-    return pd.DataFrame([{"session_id": key, "seen": state["seen"], "correct": state["correct"],
-                          "wrong": state["wrong"], "done": state["done"]}])
-
-
-def grade_batch(rows: DataFrame, mode: str) -> DataFrame:
-    """R3-R5 over ``(session_id, seq, kind, pitch, plan)``; one short session per group."""
-    def grade(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        _, state = play(mode, None, zip(pdf["kind"], pdf["pitch"], pdf["plan"]))
-        return _result(key[0], state)
-    return rows.groupBy("session_id").applyInPandas(grade, RESULT_SCHEMA)
-
-
-def grade_stream(rows: DataFrame, mode: str) -> DataFrame:
-    """The same graders as keyed state: every micro-batch emits the session's totals so far."""
-    def grade(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        stored, result = play(mode, state.get[0] if state.exists else None,
-                              zip(pdf["kind"], pdf["pitch"], pdf["plan"]))
-        state.update((stored,))
-        yield _result(key[0], result)
-    return rows.groupBy("session_id").applyInPandasWithState(
-        grade, RESULT_SCHEMA, "memory string", "update", GroupStateTimeout.NoTimeout)
-
-
-def latest_results(results: DataFrame) -> DataFrame:
-    """Final totals of each session from the emitted updates."""
-    return results.groupBy("session_id").agg(F.max(
-        F.struct("seen", "correct", "wrong", "done")).alias("r")).select("session_id", "r.*")
+JOB_KEEP_MS = 24 * 3600 * 1000  # event time for which a closed job ignores further rows
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append", path: str | None = None
@@ -73,6 +40,19 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", path: str
     return spark.read.schema(schema).parquet(out)
 
 
+def run_to_end(make, spark, schema: str, row: dict, name: str, mode: str = "append") -> DataFrame:
+    """Runs ``make(closing)`` over everything available and closes its tails: ``closing`` is a stream of
+    rows of ``schema`` to union with the input. It is empty at first; once the input has been read, the same
+    query resumes with the one row ``row`` in it, whose far event time lets the watermark pass all others."""
+    path, end = new_path(spark, name), new_path(spark, name + "-end")
+    spark.createDataFrame([], schema).write.parquet(end)
+    stream = lambda: make(spark.readStream.schema(schema).parquet(end))
+    run_available(stream(), name, mode, path)
+    (spark.range(1).select(*[F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in
+                             spark.createDataFrame([], schema).schema]).write.mode("append").parquet(end))
+    return run_available(stream(), name, mode, path)
+
+
 # -- R2 ----------------------------------------------------------------------------------------
 
 def held_notes(presses: DataFrame) -> DataFrame:
@@ -98,7 +78,10 @@ def held_notes_stream(presses: DataFrame) -> DataFrame:
             elif kind == "off" and since >= 0:
                 out.append((key[0], key[1], since, int(t)))
                 since = -1
-        state.update((since,))
+        if since >= 0:
+            state.update((since,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["session_id", "pitch", "from_ms", "to_ms"])
     return presses.groupBy("session_id", "pitch").applyInPandasWithState(
         track, "session_id bigint, pitch string, from_ms bigint, to_ms bigint", "since bigint",
@@ -119,15 +102,21 @@ def connection_check(checks: DataFrame, presses: DataFrame) -> DataFrame:
 
 
 def connection_check_stream(checks: DataFrame, presses: DataFrame) -> DataFrame:
-    """R6 as a stream-stream interval join: the first column set marks success, NULLs failure once
-    the watermark has passed the six seconds. Both inputs carry ``ts``."""
+    """R6 as a stream-stream interval join: a row for every press heard within six seconds of a check,
+    one without a press once the watermark shows that there was none. Both inputs carry ``ts``."""
     c = checks.withWatermark("ts", "10 seconds").alias("c")
     p = presses.filter("kind = 'on'").withWatermark("ts", "10 seconds").alias("p")
-    cond = F.expr("c.session_id = p.session_id AND c.target = p.pitch AND p.ts >= c.ts AND "
-                  "p.ts <= c.ts + INTERVAL 6 SECONDS")
+    cond = F.expr("c.session_id = p.session_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 6 SECONDS")
     return c.join(p, cond, "leftOuter").select(
         F.col("c.session_id").alias("session_id"), F.col("c.check_ms").alias("check_ms"),
-        F.col("c.target").alias("target"), F.col("p.t_ms").alias("heard_ms"))
+        F.col("c.target").alias("target"), F.col("p.pitch").alias("pitch"))
+
+
+def check_results(heard: DataFrame) -> DataFrame:
+    """One row per check from the rows of the stream."""
+    return heard.groupBy("session_id", "check_ms", "target").agg(
+        F.coalesce(F.bool_or(F.col("pitch") == F.col("target")), F.lit(False)).alias("ok"),
+        F.count("pitch").alias("n_heard"))
 
 
 # -- R7 ----------------------------------------------------------------------------------------
@@ -151,14 +140,17 @@ def job_tracker(events: DataFrame, now_ms: int | None = None) -> DataFrame:
 
 def job_tracker_stream(events: DataFrame) -> DataFrame:
     """R7 as keyed state with an event-time timer. ``events`` carries ``ts``; a job is reported
-    once, at its end or when the watermark passes its limit; later rows are ignored."""
+    once, at its end or when the watermark passes its limit. Its closed mark stays for ``JOB_KEEP_MS``, so
+    that later rows do not open it again."""
     def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         closed, start = state.get if state.exists else (False, None)
-        out = []
+        out, gone = [], False
+        now = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
+            gone = closed
             if not closed:
                 out.append((key[0], "FAILED", True))
-            state.remove()
+                closed = True
         else:
             pdf = pd.concat(list(batches)).sort_values(["t_ms", "event_id"])
             first = int(pdf["t_ms"].min())
@@ -167,11 +159,15 @@ def job_tracker_stream(events: DataFrame) -> DataFrame:
                 if not closed and status in ("COMPLETED", "FAILED") and t <= start + JOB_LIMIT_MS:
                     out.append((key[0], status, False))
                     closed = True
-            if not closed and state.getCurrentWatermarkMs() > start + JOB_LIMIT_MS:
+            if not closed and now > start + JOB_LIMIT_MS:
                 out.append((key[0], "FAILED", True))  # data came after the limit had passed
                 closed = True
+        if gone:
+            state.remove()
+        else:
             state.update((closed, start))
-            state.setTimeoutTimestamp(max(start + JOB_LIMIT_MS, state.getCurrentWatermarkMs() + 1))
+            due = start + JOB_LIMIT_MS + (JOB_KEEP_MS if closed else 0)
+            state.setTimeoutTimestamp(max(due, now + 1))
         yield pd.DataFrame(out, columns=["job_id", "status", "timed_out"])
     return events.withWatermark("ts", "1 minute").groupBy("job_id").applyInPandasWithState(
         track, "job_id bigint, status string, timed_out boolean", "closed boolean, start bigint",
@@ -180,23 +176,22 @@ def job_tracker_stream(events: DataFrame) -> DataFrame:
 
 # -- R8 ----------------------------------------------------------------------------------------
 
+def first_entries(entries: DataFrame) -> DataFrame:
+    """The earliest entry of each name in its song, by time, then id; entries under the shared default
+    name all count. In batch and as a stream (update mode: an entry again whenever an earlier one comes)."""
+    name = F.coalesce("nickname", F.lit(ANONYMOUS))
+    own = F.when(name == ANONYMOUS, F.concat(F.lit("#"), F.col("entry_id").cast("string"))).otherwise(
+        F.concat(F.lit("@"), name))
+    first = F.min(F.struct("created_at", "entry_id", "score", "nickname")).alias("e")
+    return entries.groupBy("song", own.alias("name")).agg(first).select("song", "name", "e.*")
+
+
 def live_leaderboard(entries: DataFrame, k: int = 3) -> DataFrame:
-    """Every micro-batch drops names taken in its song by earlier batches and adds the rest to
-    the board; returns the top ``k`` per song. A batch owns one folder, so repeats are harmless."""
-    spark: SparkSession = entries.sparkSession
-    path = new_path(spark, "leaderboard")
-    board, schema = f"{path}/board", entries.schema
-
-    def add(df: DataFrame, batch_id: int) -> None:
-        fresh = df
-        if batch_id > 0:
-            known = spark.read.parquet(board).filter(F.col("batch") < batch_id)
-            fresh = nickname_taken(df, known).filter("NOT taken").select(*df.columns)
-        fresh.write.mode("overwrite").parquet(f"{board}/batch={batch_id}")
-
-    (entries.writeStream.option("checkpointLocation", f"{path}/cp").foreachBatch(add)
-     .trigger(availableNow=True).start().awaitTermination())
-    return leaderboard_topk(spark.read.schema(schema).parquet(board).select(*schema.names), k)
+    """The top ``k`` of each song while entries arrive. The keyed state is the first entry of every
+    name, which is what a name check has to know; how entries fall into batches changes nothing."""
+    updates = run_available(first_entries(entries), "leaderboard", "update")
+    firsts = first_entries(updates.select("song", "created_at", "entry_id", "score", "nickname"))
+    return leaderboard_topk(firsts.drop("name"), k)
 
 
 # -- R9 ----------------------------------------------------------------------------------------

@@ -9,7 +9,8 @@ from stavemill.operators import notes as N
 from stavemill.operators import practice as PR
 from stavemill.operators import repair as R
 from stavemill.operators import sequence as S
-from stavemill.streaming import graders as G
+from stavemill.sources import performances as PF
+from stavemill.streaming import folds as FO
 from tests.conftest import sequences, token_table
 
 
@@ -137,42 +138,60 @@ def step(*pitches, beat=1):
     return {"beat": beat, "pitches": list(pitches)}
 
 
-def play(plan, script):
-    state = G.new_performance()
-    for move in script.split():
-        kind, pitch = ("off", move[1:]) if move[0] == "-" else ("on", move)
-        state = G.performance_step(plan, state, kind, pitch)
-    return state["correct"], state["wrong"], state["done"]
+def play(spark, mode, *cases):
+    """(plan, script) pairs, each a session, to (correct, wrong, done)."""
+    import json
+    rows = []
+    for i, (plan, script) in enumerate(cases):
+        rows.append((i, 0, "start", None, json.dumps(plan)))
+        for k, move in enumerate(script.split()):
+            kind, pitch = ("off", move[1:]) if move[0] == "-" else ("on", move)
+            rows.append((i, k + 1, kind, pitch, None))
+    df = PF.started(spark.createDataFrame(
+        rows, "session_id bigint, seq bigint, kind string, pitch string, plan string"))
+    got = FO.grades(df.repartition(3), mode).orderBy("session_id").collect()
+    return [(r.correct, r.wrong, r.done) for r in got]
 
 
-def test_grading_scripts():
+def test_grading_scripts(spark):
     both = {"both": True, "midi": True, "t": [[step("E4", "G4"), step("A4", beat=2)]],
             "b": [[step("C3"), step("D3", beat=3)]]}
-    # Same beat: all tones of both hands must be down together.
-    assert play(both, "E4 G4 C3 A4 D3") == (5, 0, True)
-    assert play(both, "E4 -E4 G4 C3") == (0, 0, False)
-    assert play(both, "E4 -E4 G4 C3 E4 A4 D3") == (5, 0, True)
-    assert play(both, "C9 E4 G4 C3") == (3, 1, False)
-    # A tone both hands need counts twice.
     shared = {"both": True, "midi": True, "t": [[step("C4")]], "b": [[step("C4")]]}
-    assert play(shared, "C4") == (2, 0, True)
-    # Touch input: the highest tone passes a chord, the others do nothing.
     touch = {"both": False, "midi": False, "t": [[step("C4", "E4")], [step("D4")]], "b": []}
-    assert play(touch, "C4 E4 D4 D4") == (3, 0, True)
-
-
-def test_quiz_and_wait_scripts():
-    def run(mode, new, fn, plan, keys):
-        s = new()
-        for k in keys.split():
-            s = fn(plan, s, "on", k)
-        return s["correct"], s["wrong"], s["done"]
-    quiz = lambda m, keys: run(m, G.new_quiz, G.quiz_step, {"mode": m, "notes": ["C4", "E4"]}, keys)
-    assert quiz("note", "D4 C4 C4") == (1, 1, True)
-    assert quiz("chord", "C4 D4 E4") == (2, 1, False)
-    assert quiz("chord", "C4 D4 E4 C4") == (3, 1, True)
-    assert quiz("sequence", "C4 D4 E4") == (2, 1, True)
-    assert run("w", G.new_wait, G.wait_step, {"notes": ["C4", "E4"]}, "E4 C4 C4 E4") == (2, 2, True)
+    gap = {"both": False, "midi": True, "t": [[step("C4")], [], [step("D4")]], "b": []}
+    twice = {"both": False, "midi": True, "t": [[step("C4", "C4"), step("D4")]], "b": []}
+    got = play(
+        spark, "performance",
+        # Same beat: all tones of both hands must be down together.
+        (both, "E4 G4 C3 A4 D3"), (both, "E4 -E4 G4 C3"), (both, "E4 -E4 G4 C3 E4 A4 D3"), (both, "C9 E4 G4 C3"),
+        # A tone both hands need counts twice.
+        (shared, "C4"),
+        # Touch input: the highest tone passes a chord, the others do nothing.
+        (touch, "C4 E4 D4 D4"),
+        # An empty measure passes by itself; equal tones of a step count once.
+        (gap, "C4 D4"), (twice, "C4 D4"), (both, ""))
+    assert got == [(5, 0, True), (0, 0, False), (5, 0, True), (3, 1, False), (2, 0, True), (3, 0, True),
+                   (2, 0, True), (2, 0, True), (0, 0, False)]
+
+
+def test_press_marks(spark):
+    both = {"both": True, "midi": True, "t": [[step("E4", "G4")]], "b": [[step("C3")]]}
+    import json
+    rows = [(1, 0, "start", None, json.dumps(both))] + [
+        (1, i + 1, "off" if k[0] == "-" else "on", k.strip("-"), None)
+        for i, k in enumerate("E4 D4 -D4 G4 C3 C3".split())]
+    df = PF.started(spark.createDataFrame(
+        rows, "session_id bigint, seq bigint, kind string, pitch string, plan string"))
+    assert [(r.seq, r.mark) for r in FO.press_marks(df).orderBy("seq").collect()] == [
+        (1, "wait"), (2, "wrong"), (4, "wait"), (5, "hit")]
+
+
+def test_quiz_and_wait_scripts(spark):
+    quiz = lambda m: {"mode": m, "notes": ["C4", "E4"]}
+    assert play(spark, "quiz", (quiz("note"), "D4 C4 C4"), (quiz("chord"), "C4 D4 E4"),
+                (quiz("chord"), "C4 D4 E4 C4"), (quiz("sequence"), "C4 D4 E4")) == [
+        (1, 1, True), (2, 1, False), (3, 1, True), (2, 1, True)]
+    assert play(spark, "wait", ({"notes": ["C4", "E4"]}, "E4 C4 C4 E4")) == [(2, 2, True)]
 
 
 def test_final_score_rounds_halves_up(spark):

@@ -127,9 +127,9 @@ def test_pick_first_is_exact_under_any_partitioning(spark):
     h = DS.hash_of(F.col("id"), 9)
     want = [r.id for r in df.orderBy(h, "id").limit(777).collect()]
     for parts in (1, 7):
-        got = DS.pick_first(df.repartition(parts), "id", 9, F.lit(777))
+        got = DS.pick_first(df.repartition(parts), "id", 9, 777)
         assert sorted(r.id for r in got.collect()) == sorted(want)
-    assert DS.pick_first(df, "id", 9, F.lit(99999)).count() == 5000
+    assert DS.pick_first(df, "id", 9, 99999).count() == 5000
     sizes = {r.split: r["count"] for r in DS.split_dataset(df, "id").groupBy("split").count().collect()}
     assert sizes == {"train": 4500, "val": 500}
     assert DS.split_dataset(spark.range(3), "id").filter("split = 'val'").count() == 1

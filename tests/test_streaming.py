@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from stavemill.sources import midi as MD
 from stavemill.sources import performances as PF
 from stavemill.sources.storage import new_path
+from stavemill.streaming import folds as FO
 from stavemill.streaming import sessions as SS
 
 SF = "/root/testdata/sf0.001"
@@ -19,12 +20,12 @@ def test_grading_survives_restarts_and_file_order(spark):
     src, path = new_path(spark, "src"), new_path(spark, "run")
     half = F.col("seq") < 60
     messages.filter(half).coalesce(1).write.mode("append").parquet(src)
-    stream = lambda: SS.grade_stream(spark.readStream.schema(messages.schema)
+    stream = lambda: FO.grades(spark.readStream.schema(messages.schema)
                                      .option("maxFilesPerTrigger", 1).parquet(src), "performance")
     SS.run_available(stream(), "run", "update", path)
     messages.filter(~half).coalesce(1).write.mode("append").parquet(src)
-    got = SS.latest_results(SS.run_available(stream(), "run", "update", path))
-    assert rows(got) == rows(SS.grade_batch(messages, "performance"))
+    got = FO.latest_results(SS.run_available(stream(), "run", "update", path))
+    assert rows(got) == rows(FO.grades(messages, "performance"))
 
 
 def test_wait_and_quiz_streams_equal_batch(spark):
@@ -32,8 +33,8 @@ def test_wait_and_quiz_streams_equal_batch(spark):
         src = new_path(spark, mode)
         messages.write.parquet(src)
         stream = spark.readStream.schema(messages.schema).parquet(src)
-        got = SS.latest_results(SS.run_available(SS.grade_stream(stream, mode), mode, "update"))
-        assert rows(got) == rows(SS.grade_batch(messages, mode))
+        got = FO.latest_results(SS.run_available(FO.grades(stream, mode), mode, "update"))
+        assert rows(got) == rows(FO.grades(messages, mode))
 
 
 def _files(spark, name, *batches):
@@ -80,24 +81,36 @@ def test_job_tracker(spark):
     assert rows(out) == [(1, "COMPLETED", False), (2, "FAILED", True), (3, "FAILED", True)]
 
 
-def test_leaderboard_names_are_taken_across_batches(spark):
-    schema = "entry_id bigint, song string, nickname string, score double, created_at timestamp"
-    src = new_path(spark, "entries")
-    e = lambda i, n, s: (i, "a", n, s, None)
-    for batch in ([e(1, "kim", 10.0), e(2, "익명", 5.0)], [e(3, "kim", 99.0), e(4, "익명", 7.0)]):
+def test_job_that_ends_after_its_limit_is_reported_once(spark):
+    schema = "job_id bigint, event_id bigint, t_ms bigint, status string"
+    src = new_path(spark, "jobs")
+    for batch in ([(1, 0, 500, "IN_QUEUE")], [(9, 1, 2_000_000, "IN_QUEUE")], [(9, 2, 2_010_000, "IN_QUEUE")],
+                  [(1, 3, 2_050_000, "COMPLETED")], [(9, 4, 2_060_000, "IN_QUEUE")]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    top = SS.live_leaderboard(stream, 3).orderBy("rank").collect()
-    assert [(r.nickname, r.score) for r in top] == [("kim", 10.0), ("익명", 7.0), ("익명", 5.0)]
+    out = SS.run_available(SS.job_tracker_stream(SS.with_ts(stream)), "jobs")
+    assert [r for r in rows(out) if r[0] == 1] == [(1, "FAILED", True)]
 
 
-def test_connection_check_stream_matches_batch_for_closed_checks(spark):
+def test_leaderboard_does_not_depend_on_batches(spark):
+    schema = "entry_id bigint, song string, nickname string, score double, created_at timestamp"
+    e = lambda i, n, s: (i, "a", n, s, None)
+    entries = [e(1, "kim", 10.0), e(2, "익명", 5.0), e(3, "kim", 99.0), e(4, "익명", 7.0), e(5, "lee", 1.0)]
+    want = [("kim", 10.0), ("익명", 7.0), ("익명", 5.0)]
+    for n in (1, 2, 5):
+        src = new_path(spark, "entries")
+        for start in range(0, 5, -(-5 // n)):
+            spark.createDataFrame(entries[start:start + -(-5 // n)], schema).coalesce(1).write.mode(
+                "append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        top = SS.live_leaderboard(stream, 3).orderBy("rank").collect()
+        assert [(r.nickname, r.score) for r in top] == want
+
+
+def test_closed_streams_match_batch(spark):
     from stavemill.plans.registry import QUERIES
-    batch = {r.session_id: r.ok for r in QUERIES["r06_connection_check"](spark, SF).collect()}
-    out = QUERIES["r06_connection_check_stream"](spark, SF).groupBy("session_id").agg(
-        F.max(F.col("heard_ms").isNotNull()).alias("ok"))
-    for r in out.collect():
-        assert batch[r.session_id] == r.ok
+    for name in ("r06_connection_check", "r07_job_tracker", "r09_press_sessions"):
+        assert rows(QUERIES[name + "_stream"](spark, SF)) == rows(QUERIES[name](spark, SF)), name
 
 
 def test_midi_decoding(spark):
