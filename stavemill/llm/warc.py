@@ -35,6 +35,8 @@ from .common import register, shared_path, staged, table
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
 SPLIT_BYTES = 4 << 20
+#: Reading tasks; beyond it a task reads several ranges.
+MAX_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 _MAGIC = b"\x1f\x8b\x08"
 RECORD = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
@@ -216,7 +218,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, step))
         .alias("start")).select("path", "start", F.least(F.col("start") + step, F.col("bytes"))
                                 .alias("end"))
-    return ranges.repartition("path", "start").mapInPandas(read, RECORD)
+    # Rows here are few bytes but much work, so their number decides, not their size.
+    total = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
+    return ranges.repartition(max(1, min(int(total), MAX_TASKS)), "path", "start").mapInPandas(read, RECORD)
 
 
 def _frame(rows: list, names: list[str]) -> pd.DataFrame:
