@@ -143,7 +143,7 @@ def _hits(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     high = F.least(size - F.col("m") + 1, F.col("p") - F.col("q") + 1 + reach)
     around = (starts.where(low <= high)
               .select("doc_id", "m", low.alias("low"), high.alias("high"),
-                      F.slice("hashes", low, high - low + F.col("m")).alias("part")).distinct())
+                      F.slice("hashes", low, high - low + F.col("m")).alias("part")))
     windows = (around.select("doc_id", "m", "low", "part",
                              F.explode(F.sequence("low", "high")).alias("start"))
                .select("doc_id", "m", "start", F.slice("part", F.col("start") - F.col("low") + 1,
