@@ -228,7 +228,15 @@ def _frame(rows: list, names: list[str]) -> pd.DataFrame:
     return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-@register("op6_warc")
+OP6_SQL = f"""
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END
+  AS record_type, refers_to, url
+FROM (SELECT *, CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+  FROM (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS
+      payload_digest, max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS top FROM pages))"""
+
+
+@register("op6_warc", OP6_SQL)
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     pages = with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     manifest = staged(write_archives(pages, shared_path(spark, "warc")), "manifest")
