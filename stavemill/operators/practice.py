@@ -113,12 +113,12 @@ def chord_top(notes: DataFrame) -> DataFrame:
 
 
 def stem_sets(images: DataFrame, labels: DataFrame) -> DataFrame:
-    """K5: membership of every stem: in both sets, only images, or only labels."""
-    a = images.select("stem").distinct()
-    b = labels.select("stem").distinct()
-    return (a.intersect(b).withColumn("side", F.lit("both"))
-            .unionByName(a.exceptAll(b).withColumn("side", F.lit("image_only")))
-            .unionByName(b.exceptAll(a).withColumn("side", F.lit("label_only"))))
+    """K5: membership of every stem: in both sets, only images, or only labels. One grouping over both."""
+    both = images.select("stem", F.lit(1).alias("i"), F.lit(0).alias("l")).unionByName(
+        labels.select("stem", F.lit(0).alias("i"), F.lit(1).alias("l")))
+    side = (F.when((F.max("i") == 1) & (F.max("l") == 1), "both").when(F.max("i") == 1, "image_only")
+            .otherwise("label_only"))
+    return both.groupBy("stem").agg(side.alias("side"))
 
 
 def shared_result(documents: DataFrame, key) -> DataFrame:

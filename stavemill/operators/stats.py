@@ -66,6 +66,7 @@ def markov_log_prob(tokens: DataFrame, table: DataFrame, max_interval: int = MAX
     floor = F.min("prob").over(Window.partitionBy(F.lit(0)))
     domain = tokens.sparkSession.range(-max_interval, max_interval + 1).select(
         F.col("id").cast("int").alias("interval"))
+    table = table.filter(F.abs("interval") <= max_interval)
     full = domain.join(F.broadcast(table.select("interval", "prob")), "interval", "left")
     lp = full.withColumn("log_prob", F.ln(F.coalesce("prob", floor))).select("interval", "log_prob")
     return melodic_intervals(tokens, max_interval).join(F.broadcast(lp), "interval", "left")
@@ -85,7 +86,7 @@ def distribution_audit(tokens: DataFrame, kind: str) -> DataFrame:
     dim = literal_dim(tokens.sparkSession, ["value", "target"], list(TARGETS[kind].items()))
     df = seen.join(dim, "value", "full").withColumn("n", F.coalesce("n", F.lit(0))).withColumn(
         "target", F.coalesce("target", F.lit(0.0)))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row per value
+    share = F.col("n") / seen.agg(F.sum("n")).scalar()
     return df.select(F.lit(kind).alias("kind"), "value", "n", share.alias("share"), "target",
                      F.abs(share - F.col("target")).alias("gap"))
 
@@ -185,6 +186,9 @@ def degree_transitions(tokens: DataFrame) -> DataFrame:
         "degree", "next_degree", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
+BUCKET = 4096  # values whose counts are summed up in one task
+
+
 def token_frequency(tokens: DataFrame, span_weight: float = 1.0) -> DataFrame:
     """Count and loss weight per token."""
     weight = F.when(F.col("token").isin(*WEIGHTED_SPANS), span_weight).otherwise(1.0)
@@ -193,12 +197,19 @@ def token_frequency(tokens: DataFrame, span_weight: float = 1.0) -> DataFrame:
 
 def value_counts(values: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """``(keys, v, c, n, cum)``: count of each distinct integer, the total, and the cumulative
-    count. Values are counted map-side; the cumulative sum runs over distinct values only."""
+    count. Values are counted map-side; sums run over buckets of ``BUCKET`` values, then within each
+    bucket, so no task holds all distinct values."""
     counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(
-        F.count("*").alias("c"))
+        F.count("*").alias("c")).withColumn("_b", F.floor(F.col("v") / BUCKET))
     one = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return counts.select("*", F.sum("c").over(one).alias("n"), F.sum("c").over(
-        one.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"))
+    before = one.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counts.groupBy(*keys, "_b").agg(F.sum("c").alias("_c")).select(
+        *keys, "_b", F.sum("_c").over(one).alias("n"),
+        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding,
+                                                                      Window.currentRow)
+    return counts.join(buckets, [*keys, "_b"]).select(
+        *keys, "v", "c", "n", (F.col("_before") + F.sum("c").over(inside)).alias("cum"))
 
 
 def quantile(p: float, when: Column | None = None) -> Column:
