@@ -101,12 +101,11 @@ def note_error_rate(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
     Spellings outside the vocabulary stay distinct.
     """
-    coded = _symbols(rows.filter(is_note_token("token")), exact=True)
-    everyone = rows.select("score_id", *keys).distinct()
-    per = coded.groupBy("score_id", *keys).agg(_text("p", "code").alias("p"), _text("g", "code").alias("g"))
-    df = everyone.join(per, ["score_id", *keys], "left").na.fill("", ["p", "g"])
-    return df.select("score_id", *keys, error_rate(F.levenshtein("p", "g"), F.length("g"),
-                                                   F.length("p")).alias("note_err"))
+    note = is_note_token("token")
+    per = _symbols(rows, exact=True).groupBy("score_id", *keys).agg(
+        _text("p", "code", note).alias("p"), _text("g", "code", note).alias("g"))
+    return per.select("score_id", *keys, error_rate(F.levenshtein("p", "g"), F.length("g"),
+                                                    F.length("p")).alias("note_err"))
 
 
 def category_recall(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -189,7 +188,16 @@ def analyze_scores(pred: DataFrame, truth: DataFrame) -> DataFrame:
         pick("treble", "note_err").alias("treble_note_err"),
         pick("bass", "note_err").alias("bass_note_err"), pick("bass", "ter").alias("bass_ter"),
         pick("treble", "error_pos").alias("treble_first"),
-        pick("bass", "error_pos").alias("bass_first"))
+        pick("bass", "error_pos").alias("bass_first"),
+        pick("treble", "gt_token").alias("treble_gt_token"),
+        pick("treble", "pred_token").alias("treble_pred_token"),
+        pick("bass", "gt_token").alias("bass_gt_token"),
+        pick("bass", "pred_token").alias("bass_pred_token"))
+
+
+def scope_recall(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """Category recall of whole scores and, for grand scores, of each staff."""
+    return category_recall(scoped_rows(stack(pred, truth)), ("scope",))
 
 
 def evaluation_report(analysis: DataFrame, pairs: DataFrame, compat: bool = False) -> DataFrame:
@@ -226,6 +234,13 @@ def micro_recall(rows: DataFrame) -> DataFrame:
         "recall", F.col("matched") / F.col("total"))
 
 
+def grand_recall(rows: DataFrame) -> DataFrame:
+    """Category recall over all grand scores (truth with a lower staff)."""
+    grand = F.max(flag((F.col("side") == "g") & (F.col("token") == "staff-bass"))).over(
+        Window.partitionBy("score_id"))
+    return micro_recall(rows.withColumn("_g", grand).filter("_g = 1").drop("_g"))
+
+
 def validation_summary(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Mean measure TER of all scores after the span and chord repairs."""
     fixed = drop_unmatched_spans(drop_orphan_chords(pred))

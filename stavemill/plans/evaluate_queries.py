@@ -101,15 +101,18 @@ SELECT score_id, {RATE} AS bass_ter FROM (SELECT score_id, sum(dist) AS dist, su
 add_cte("analysis", """
 SELECT m.score_id, m.gt_len, m.pred_len, m.ter AS overall_ter, is_grand, note_err, error_pos,
   gt_token, pred_token, t.note_err_t AS treble_note_err, b.note_err_b AS bass_note_err, bass_ter,
-  ft.error_pos_t AS treble_first, fb.error_pos_b AS bass_first
+  ft.error_pos_t AS treble_first, fb.error_pos_b AS bass_first, treble_gt_token, treble_pred_token,
+  bass_gt_token, bass_pred_token
 FROM mter m JOIN grand USING (score_id) JOIN noteerr USING (score_id)
 LEFT JOIN firsterr USING (score_id)
 LEFT JOIN (SELECT score_id, note_err AS note_err_t FROM verr WHERE voice = 'treble') t USING (score_id)
 LEFT JOIN (SELECT score_id, note_err AS note_err_b FROM verr WHERE voice = 'bass') b USING (score_id)
 LEFT JOIN bter USING (score_id)
-LEFT JOIN (SELECT score_id, error_pos AS error_pos_t FROM vfirst WHERE voice = 'treble') ft
+LEFT JOIN (SELECT score_id, error_pos AS error_pos_t, gt_token AS treble_gt_token, pred_token AS
+    treble_pred_token FROM vfirst WHERE voice = 'treble') ft
   USING (score_id)
-LEFT JOIN (SELECT score_id, error_pos AS error_pos_b FROM vfirst WHERE voice = 'bass') fb
+LEFT JOIN (SELECT score_id, error_pos AS error_pos_b, gt_token AS bass_gt_token, pred_token AS
+    bass_pred_token FROM vfirst WHERE voice = 'bass') fb
   USING (score_id)""", "mter", "grand", "noteerr", "firsterr", "verr", "vfirst", "bter")
 
 
@@ -208,6 +211,21 @@ UNION ALL SELECT score_id, pos, token, 'p' FROM vp2 WHERE score_id IN (SELECT sc
 add_cte("vallc", coded_sql("vall", True), "vall", "vocab")
 
 
+@register("e07_category_recalls", f"""
+SELECT score_id, 'all' AS scope, category, matched, total FROM recall
+UNION ALL SELECT score_id, voice, category, matched, total FROM ({recall_sql('vsides').replace(
+    'score_id,', 'score_id, voice,').replace('GROUP BY 1, 2', 'GROUP BY ALL')})""", ("recall", "vsides"))
+def category_recalls(spark, d):
+    return EV.scope_recall(fx.predictions(spark, d), fx.tokens(spark, d))
+
+
+@register("e08_grand_recall", "SELECT category, CAST(sum(matched) AS BIGINT) AS matched, "
+          "CAST(sum(total) AS BIGINT) AS total, round(sum(matched) / sum(total), 6) AS recall "
+          "FROM recall JOIN grand USING (score_id) WHERE is_grand GROUP BY 1", ("recall", "grand"))
+def grand_recall(spark, d):
+    return _round(EV.grand_recall(sides(spark, d)), "recall")
+
+
 @register("e09_validation_summary", f"""
 SELECT count(*) AS n_val, round(avg({RATE}), 6) AS val_ter,
   round(greatest(0.0, 1 - avg({RATE})) * 100, 6) AS val_acc
