@@ -54,6 +54,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a Python worker gets at once; texts can be long, and Spark's own 10,000 of them fill a worker.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of Python workers, unless the session has a setting of its own."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 #: Tables of at most so many narrow rows are broadcast.
 BROADCAST_ROWS = 200_000
 

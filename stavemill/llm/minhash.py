@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, register, small, staged, table
+from .common import packed, register, small, small_batches, staged, table
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -60,7 +60,7 @@ class _Words(dict):
     """Hashes of words seen in this task, forgotten when they grow too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -225,6 +225,7 @@ def _ordered(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` (id long, text) to (id, digest, class) for every row; digest is null for null texts."""
+    small_batches(docs.sparkSession)
     sigs = staged(signed(docs), "signatures")
     reps = (sigs.where("digest is not null").groupBy("digest")
             .agg(F.min("id").alias("node")))

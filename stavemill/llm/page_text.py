@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import register, table
+from .common import register, small_batches, table
 
 SIGMA, RADIUS = 1.0, 2
 BLOCKS = frozenset(
@@ -171,6 +171,7 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
         for s in batches:
             yield pd.Series([main_text(h) for h in s], dtype="object")
 
+    small_batches(pages.sparkSession)
     return pages.withColumn("text", extract(html)).drop(*({html} - {"text"}))
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, register, table
+from .common import packed, register, small_batches, table
 
 MAX_LABELLED = 1500
 MIN_SHARE = 0.5
@@ -212,6 +212,7 @@ def labelled_chains(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict | None:
     """Collects the features of the sample (bounded by ``most`` documents a label) and trains."""
+    small_batches(docs.sparkSession)
     rows = sorted((r["quality"], r["x"]) for r in labelled_chains(docs, labels, most).collect()
                   if r["x"])
     return train_on_documents([np.array(x).reshape(-1, len(FEATURES)) for _, x in rows],

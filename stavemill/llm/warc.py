@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import register, shared_path, staged, table
+from .common import register, shared_path, small_batches, staged, table
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -127,6 +127,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             done.append((f"{folder}/{name}", size, n))
         yield pd.DataFrame(done, columns=["path", "bytes", "records"])
 
+    small_batches(pages.sparkSession)
     return pages.mapInPandas(write, "path string, bytes long, records long")
 
 
