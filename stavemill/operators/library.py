@@ -17,7 +17,8 @@ def _latest(rows: DataFrame, rank: Column) -> DataFrame:
 def upsert_scores(library: DataFrame, new: DataFrame) -> DataFrame:
     """``(id, ..., list_pos, updated_at)``; a known id is replaced where it stands, an unknown
     one goes to the front (before every stored position, latest first)."""
-    latest = _latest(new, F.struct("updated_at"))
+    cols = [c for c in new.columns if c not in ("id", "updated_at")]
+    latest = _latest(new, F.struct("updated_at", F.xxhash64(*cols)))  # equal times: always the same one
     front = latest.join(library.select("id"), "id", "left_anti").withColumn(
         "list_pos", -F.col("updated_at"))
     old = library.alias("o").join(latest.alias("n"), "id", "left")

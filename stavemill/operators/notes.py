@@ -236,10 +236,18 @@ def mixed_clef(notes: DataFrame) -> DataFrame:
         (F.min("clef") != F.max("clef")).alias("has_mixed_clef"))
 
 
-def to_score_document(notes: DataFrame, attributes: DataFrame, tempo: int = 100) -> DataFrame:
+_NOTE = ("struct<pitch:string,duration:double,beat:int,chordNotes:array<string>,isRest:boolean,"
+         "dynamicMark:string,repeatMark:string,tuplet:boolean>")
+DOCUMENT = (f"id string, title string, tempo int, timeSignature array<int>, createdAt bigint, "
+            f"staves array<struct<clef:string,notes:array<{_NOTE}>>>, notes array<{_NOTE}>")
+
+
+def to_score_document(notes: DataFrame, attributes: DataFrame, meta: DataFrame | None = None,
+                      tempo: int = 100) -> DataFrame:
     """One JSON document per score; a lower staff adds ``staves`` and ``notes`` is the upper.
+    ``meta(score_id, title, created_at)`` adds a title and the creation time in milliseconds.
 
-    Both inputs are keyed by ``score_id``; the lists hold one score's notes.
+    All inputs are keyed by ``score_id``; the lists hold one score's notes.
     """
     null_if = lambda cond, c: F.when(cond, F.col(c))
     note = F.struct(
@@ -254,10 +262,31 @@ def to_score_document(notes: DataFrame, attributes: DataFrame, tempo: int = 100)
     per = notes.groupBy("score_id").agg(listed("treble").alias("upper"),
                                         listed("bass").alias("lower"))
     df = per.join(attributes, "score_id")
+    df = df.join(meta.select("score_id", "title", "created_at"), "score_id", "left") if meta is not None \
+        else df.withColumns({"title": F.lit(None).cast("string"), "created_at": F.lit(None).cast("bigint")})
     staves = F.when(F.size("lower") > 0, F.array(
         F.struct(F.col("clef_upper").alias("clef"), F.col("upper").alias("notes")),
         F.struct(F.col("clef_lower").alias("clef"), F.col("lower").alias("notes"))))
     return df.select("score_id", F.to_json(F.struct(
-        F.col("score_id").cast("string").alias("id"),
+        F.col("score_id").cast("string").alias("id"), "title",
         F.lit(tempo).alias("tempo"), F.array("time_num", "time_den").alias("timeSignature"),
-        staves.alias("staves"), F.col("upper").alias("notes"))).alias("document"))
+        F.col("created_at").alias("createdAt"), staves.alias("staves"), F.col("upper").alias("notes"))).alias("document"))
+
+
+def read_score_documents(documents: DataFrame, column: str = "document") -> DataFrame:
+    """JSON documents to note rows with their score's id, title, creation time, tempo and time
+    signature. Without ``staves`` the notes are the upper staff."""
+    j = documents.select(F.from_json(column, DOCUMENT).alias("j")).select("j.*")
+    upper = F.array(F.struct(F.lit("treble").alias("clef"), F.col("notes").alias("notes")))
+    rows = j.select(
+        "id", "title", F.col("createdAt").alias("created_at"), "tempo",
+        F.get("timeSignature", F.lit(0)).alias("time_num"), F.get("timeSignature", F.lit(1)).alias("time_den"),
+        F.posexplode(F.coalesce("staves", upper)).alias("s", "part"))
+    rows = rows.select("*", F.posexplode("part.notes").alias("note_idx", "n"))
+    return rows.select(
+        "id", "title", "created_at", "tempo", "time_num", "time_den",
+        F.when(F.col("s") == 0, "treble").otherwise("bass").alias("staff"), F.col("part.clef").alias("staff_clef"),
+        "note_idx", "n.pitch", F.round(F.col("n.duration") * TICKS_PER_QUARTER).cast("bigint").alias("ticks"),
+        "n.beat", F.coalesce("n.chordNotes", F.array().cast("array<string>")).alias("chord"),
+        F.coalesce("n.isRest", F.lit(False)).alias("is_rest"), F.col("n.dynamicMark").alias("dynamic"),
+        F.col("n.repeatMark").alias("repeat"), F.coalesce("n.tuplet", F.lit(False)).alias("tuplet"))

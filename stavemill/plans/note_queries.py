@@ -244,6 +244,26 @@ def score_document(spark, d):
         .cast("bigint").alias("upper_quarters"))
 
 
+def stored_documents(spark, d):
+    """Every score as the text of its document, with a title and a creation time."""
+    t = fx.tokens(spark, d)
+    meta = t.select("score_id").distinct().select(
+        "score_id", F.concat(F.lit('Étude "'), F.col("score_id").cast("string"), F.lit('"')).alias("title"),
+        (F.col("score_id") * 1000 + 7).alias("created_at"))
+    return N.to_score_document(N.tokens_to_notes(t), N.score_attributes(t), meta)
+
+
+@register("s15_read_documents", """
+SELECT CAST(n.score_id AS VARCHAR) AS id, 'Étude "' || n.score_id || '"' AS title, n.score_id * 1000 + 7 AS
+  created_at, time_num, time_den, staff, CASE WHEN NOT is_grand THEN 'treble' WHEN staff = 'bass' THEN clef_lower
+  ELSE clef_upper END AS staff_clef, note_idx, pitch, ticks, beat, chord, is_rest, dynamic, repeat, tuplet
+FROM notes n JOIN attrs USING (score_id) JOIN (SELECT score_id, bool_or(staff = 'bass') AS is_grand FROM notes
+  GROUP BY 1) g USING (score_id)""", ("notes", "attrs"))
+def read_documents(spark, d):
+    """Writes every score as a document and reads its notes back."""
+    return _flat(N.read_score_documents(stored_documents(spark, d)).drop("tempo"))
+
+
 # -- layout ------------------------------------------------------------------------------------
 
 add_cte("bm", """
