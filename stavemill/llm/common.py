@@ -38,7 +38,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     setting gets a folder of its own; on a cluster the setting is required."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="stavemill-llm-"))

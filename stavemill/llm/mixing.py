@@ -89,18 +89,20 @@ def solve_dual(cells: DataFrame, state: dict, cap: float = CAP, rounds: int = 80
                                     "key string, lam double, mean double")
         rate = _rate(F.col("lam"), F.col("size"), F.col("mean"), cap)
         took = F.col("n") * F.col("size") * rate
+        exact = lambda c: F.sum(c.cast("decimal(38,9)"))  # noqa: E731 - the same in any order, so reruns agree
         sums = (cells.join(F.broadcast(now), "key")
                 .groupBy("key")
-                .agg(F.sum(took).alias("f"),
-                     F.sum(F.when(rate < cap, took * F.col("size") / F.col("mean"))
+                .agg(exact(took).alias("f"),
+                     exact(F.when(rate < cap, took * F.col("size") / F.col("mean"))
                            .otherwise(0.0)).alias("d")).collect())
         for r in sums:
-            k, gap = r["key"], r["f"] - state[r["key"]]["target"]
+            k, slope = r["key"], float(r["d"])
+            gap = float(r["f"]) - state[k]["target"]
             if abs(gap) <= 1e-9 * state[k]["target"]:
                 live.discard(k)
                 continue
             (hi if gap > 0 else lo)[k] = lam[k]
-            step = lam[k] - gap / r["d"] if r["d"] > 0 else math.nan
+            step = lam[k] - gap / slope if slope > 0 else math.nan
             if not lo[k] < step < hi[k]:
                 if math.isinf(lo[k]):
                     step = lam[k] - max(1.0, abs(lam[k]))
