@@ -52,3 +52,15 @@ def test_scans_read_only_what_they_need(spark, name):
     assert "text:string" not in plan and "user_id:bigint" not in plan
     if name != "t01_explode_tokens":
         assert "PushedFilters: [" in plan
+
+
+@pytest.mark.parametrize("name", ["r03_grade_performance", "r04_wait_mode_grade", "r05_quiz_grade",
+                                  "p05_performance_scores", "j08_expected_step_presses"])
+def test_graders_run_in_the_jvm(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_split_labels_rows_where_they_are(spark):
+    plan = entry.queries()["d03_split_dataset"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Window" not in plan
