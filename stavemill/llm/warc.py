@@ -10,7 +10,8 @@ of all pages share is a skewed join side that adaptive execution splits, never o
 **Reading.** Archives are cut into byte ranges without looking inside. A task searches its range for the
 gzip magic, accepts a candidate when it inflates to a WARC header and its member ends at another member
 or the end of the file, and owns the records that start inside its range, reading past its end for the last
-of them. Payload digests are checked against the header.
+of them. Payload digests are checked against the header, and the records read from every archive against
+the manifest's number.
 
 Defined cases: null html is an empty payload; a null url has no target header; a null page id is written as
 such and read back as null, and revisits a page with an id where there is one; rows that repeat the
@@ -39,6 +40,7 @@ SPLIT_BYTES = 4 << 20
 MAX_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 _MAGIC = b"\x1f\x8b\x08"
+_HEAD = b"WARC/1."
 RECORD = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
           "refers_to long")
 
@@ -152,7 +154,7 @@ class _Window:
 
 def _member(win: _Window, at: int) -> tuple[bytes, int] | None:
     """The content and end of the gzip member at ``at``; None if there is no record."""
-    unpack, out, pos = zlib.decompressobj(31), [], at
+    unpack, out, pos, head = zlib.decompressobj(31), [], at, b""
     try:
         while not unpack.eof:
             if not win.upto(pos + 1):
@@ -160,8 +162,10 @@ def _member(win: _Window, at: int) -> tuple[bytes, int] | None:
             piece = win.data[pos - win.start:pos - win.start + 65536]
             out.append(unpack.decompress(piece))
             pos += len(piece)
-            if len(out) == 1 and not out[0].startswith(b"WARC/1."):
-                return None
+            if len(head) < len(_HEAD):  # the first bytes of a member may inflate to nothing yet
+                head += out[-1][:len(_HEAD) - len(head)]
+                if not _HEAD.startswith(head) or unpack.eof and head != _HEAD:
+                    return None
     except zlib.error:
         return None
     end = pos - len(unpack.unused_data)
@@ -197,7 +201,8 @@ def range_records(file, start: int, end: int) -> Iterator[bytes]:
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """``manifest`` (path, bytes) to the records' columns of ``RECORD``."""
+    """``manifest`` (path, bytes, records) to the records' columns of ``RECORD``; an error if an archive
+    gives another number of records."""
     names = [c.split()[0] for c in RECORD.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,10 +214,10 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                     for data in range_records(file, row.start, row.end):
                         rows.append(parsed(data))
                         if len(rows) == 1000:
-                            yield _frame(rows, names)
+                            yield _frame(rows, names).assign(path=row.path)
                             rows = []
                 if rows:
-                    yield _frame(rows, names)
+                    yield _frame(rows, names).assign(path=row.path)
 
     step = F.lit(split_bytes).cast("long")
     ranges = manifest.where("bytes > 0").select(
@@ -221,7 +226,14 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                                 .alias("end"))
     # Rows here are few bytes but much work, so their number decides, not their size.
     total = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
-    return ranges.repartition(max(1, min(int(total), MAX_TASKS)), "path", "start").mapInPandas(read, RECORD)
+    found = staged(ranges.repartition(max(1, min(int(total), MAX_TASKS)), "path", "start")
+                   .mapInPandas(read, f"{RECORD}, path string"), "records")
+    counts = found.groupBy("path").agg(F.count("*").alias("found"))
+    wrong = (manifest.select("path", "records").join(counts, "path", "left")
+             .where(~F.col("records").eqNullSafe(F.coalesce("found", F.lit(0))))).first()
+    if wrong:
+        raise ValueError(f"{wrong['path']}: {wrong['found'] or 0} of {wrong['records']} records read")
+    return found.drop("path")
 
 
 def _frame(rows: list, names: list[str]) -> pd.DataFrame:

@@ -3,6 +3,7 @@ import hashlib
 import io
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from stavemill.llm import warc as W
 from stavemill.llm.common import staged
@@ -28,6 +29,33 @@ def test_any_split_reads_every_record_once():
         assert ids == list(range(40))
 
 
+def test_members_just_before_a_border_of_large_archives():
+    rng = random.Random(4)
+    words = ["<div class=x>", "<p>some text</p>", "<a href=/y>", "page", "é"]
+    parts = []
+    for i in range(60):
+        payload = rng.randbytes(100_000) + " ".join(rng.choice(words) for _ in range(2000)).encode()
+        parts.append(W.record(i, f"http://h/{i}", payload, hashlib.sha1(payload).hexdigest(), None))
+    data = b"".join(parts)
+    starts = [sum(map(len, parts[:i])) for i in range(60)]
+    assert len(data) > W.SPLIT_BYTES + (1 << 20)
+    member = next(a for a in starts if a > W.SPLIT_BYTES)
+    for before in range(1, 81):
+        end = member + before
+        borders = [0, end - W.SPLIT_BYTES, end, len(data)]
+        ids = [W.parsed(r)[0] for a, b in zip(borders, borders[1:])
+               for r in W.range_records(io.BytesIO(data), a, b)]
+        assert ids == list(range(60)), before
+
+
+def test_missing_records_are_an_error(spark):
+    from stavemill.llm.common import shared_path
+    df = spark.createDataFrame([(i, "u", "x" * i) for i in range(5)], "page_id long, url string, html string")
+    manifest = staged(W.write_archives(W.with_revisits(df), shared_path(spark, "t")), "m")
+    with pytest.raises(ValueError, match="records read"):
+        W.read_archives(manifest.withColumn("records", F.col("records") + 1)).count()
+
+
 def test_false_magic_is_rejected():
     inner = gzip.compress(b"not a record") + W._MAGIC + b"\x00" * 9
     good = records(2, 3)
