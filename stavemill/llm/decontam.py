@@ -11,15 +11,15 @@ their weighted shingle similarity (sum of smaller counts over sum of larger coun
   23 bits agree in some block up to 2 bits (8 blocks with 3 or more differing bits make 24), so items are
   indexed under all values within 2 bits of each of their blocks and windows look up their own blocks:
   nothing within the radius is missed. At similarity 0.8 about 10 of 64 bits differ.
-* **Which windows.** A window that shares no shingle with an item has similarity 0. Windows are therefore
-  anchored: shingles of documents are looked up among the items' shingles, the first of every run of hits
-  on one alignment gives a start, and all starts within a fifth of the item's shingles around it are
-  fingerprinted. A window at 0.8 shares a shingle whose alignment is that near, so none is lost.
+* **Which windows.** Two bags of m shingles at 0.8 share at least 8/9 of m, in any order. Shingles of
+  documents are looked up among the shingles of all items of m shingles; every window with that many hits
+  is fingerprinted, so no window at 0.8 is left out before the fingerprints are compared.
 
-Everything is one narrow pass over the documents with lookups in item tables, which are broadcast only
-while they hold at most ``common.BROADCAST_ROWS`` rows (else they are joined by shuffle). Documents are never
-grouped, so hot sources, copies and common passages need no care; hits shrink to (document, item) at the
-end with sums before the shuffle.
+Looking up is a narrow pass over the documents; hits are grouped by text digest and item size into ranges of
+starts (combined before the shuffle, so copies shrink in their own task), and a second narrow pass
+fingerprints the windows of texts that have any. Item tables and ranges are broadcast only while they hold
+at most ``common.BROADCAST_ROWS`` rows (else they are joined by shuffle). Verified windows shrink to (document,
+item) at the end with maxima before the shuffle.
 
 Defined cases: null and blank texts and items have no words and match nothing; null ids stay null; equal
 rows give one result row for each (doc_id, item_id); equal items are reported each; items longer than
@@ -108,6 +108,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     first_word): the best window of each pair, the first of equals."""
     items = prepared_items(items)
     ks = [r["k"] for r in items.select("k").distinct().collect()]
+    docs = docs.select("doc_id", "text", F.md5("text").alias("digest"))
     found = [_hits(docs, items.where(F.col("k") == k), k) for k in sorted(ks)]
     if not found:
         return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"),
@@ -119,35 +120,48 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                     (-F.col("best.s") - 1).alias("first_word")))
 
 
+def _ranges(hits: DataFrame) -> DataFrame:
+    """``hits`` (digest, n, m, p: positions from 0 that hold a shingle of an item with m shingles) to
+    ranges (digest, m, size, low, high) of starts from 1 without overlap: all windows of ``size``
+    shingles with as many hits as the similarity needs."""
+    found = (hits.groupBy("digest", "n", "m").agg(F.array_sort(F.collect_set(F.col("p") + 1)).alias("at"))
+             .withColumn("size", F.col("m")).where("size <= n")
+             .withColumn("least", F.expr("cast((4 * (size + m) + 8) div 9 as int)"))
+             .where("size(at) >= least"))
+    # The j-th hit and the one that completes it bound the starts; those up to the hit before are others'.
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("at") - F.col("least") + 1, F.lit(1))),
+                       lambda j: F.struct(
+        F.greatest(F.try_element_at("at", j + F.col("least") - 1) - F.col("size") + 1, F.lit(1),
+                   F.when(j > 1, F.try_element_at("at", F.greatest(j - 1, F.lit(1))) + 1)).alias("low"),
+        F.least(F.try_element_at("at", j), F.col("n") - F.col("size") + 1).alias("high")))
+    return (found.select("digest", "m", "size", F.explode(each).alias("r"))
+            .select("digest", "m", "size", "r.low", "r.high").where("low <= high"))
+
+
 def _hits(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Verified windows for items with shingles of ``k`` words."""
+    """Verified windows of ``docs`` (doc_id, text, digest) for items with shingles of ``k`` words."""
     size = F.size("hashes")
-    anchors = (items.select(size.alias("m"), F.col("hashes").alias("own"),
-                            F.posexplode("hashes").alias("q", "hash"))
-               # the shingle before it on this alignment: a run of hits is reported once
-               .select("hash", "m", "q", F.when(F.col("q") > 0, F.element_at("own", F.greatest(
-                   F.col("q"), F.lit(1)))).alias("before")).distinct())
+    anchors = items.select(size.alias("m"), F.explode("hashes").alias("hash")).distinct()
     anchors = small(staged(anchors, "anchors"))
     # A blank text gives one empty word here, which no item has.
     tokens = F.split(F.btrim(F.lower(F.coalesce("text", F.lit(""))), F.lit(BLANKS)), GAP)
-    hashed = (docs.select("doc_id", tokens.alias("w"))
-              .select("doc_id", shingle_hashes(F.col("w"), k).alias("hashes")))
+
+    def hashed(rows: DataFrame, *keep: str) -> DataFrame:  # in two steps: else words are cut for each shingle
+        return (rows.select(*keep, tokens.alias("w"))
+                .select(*keep, shingle_hashes(F.col("w"), k).alias("hashes")))
+
     # The outer form: for the other Spark would test the array's size first, and compute it twice.
-    at = hashed.select("doc_id", "hashes", F.posexplode_outer("hashes").alias("p", "hash"))
-    previous = F.when(F.col("p") > 0, F.element_at("hashes", F.greatest(F.col("p"), F.lit(1))))
-    starts = (at.join(anchors, "hash")
-              .where(F.col("before").isNull() | ~previous.eqNullSafe(F.col("before"))))
-    reach = F.ceil(F.col("m") / 5).cast("int") + 1
-    # Starts are 1-based; a window must lie inside the document.
-    low = F.greatest(F.lit(1), F.col("p") - F.col("q") + 1 - reach)
-    high = F.least(size - F.col("m") + 1, F.col("p") - F.col("q") + 1 + reach)
-    around = (starts.where(low <= high)
-              .select("doc_id", "m", low.alias("low"), high.alias("high"),
-                      F.slice("hashes", low, high - low + F.col("m")).alias("part")))
-    windows = (around.select("doc_id", "m", "low", "part",
+    at = hashed(docs, "digest").select("digest", "hashes", F.posexplode_outer("hashes").alias("p", "hash"))
+    ranges = staged(_ranges(at.join(anchors, "hash").withColumn("n", size)), "ranges")
+    matched = docs.join(small(ranges.select("digest").distinct()), "digest", "left_semi")
+    around = (hashed(matched, "doc_id", "digest").join(small(ranges), "digest")
+              .select("doc_id", "digest", "m", "size", "low", "high",
+                      F.slice("hashes", F.col("low"), F.col("high") - F.col("low") + F.col("size"))
+                      .alias("part")))
+    windows = (around.select("doc_id", "digest", "m", "size", "low", "part",
                              F.explode(F.sequence("low", "high")).alias("start"))
-               .select("doc_id", "m", "start", F.slice("part", F.col("start") - F.col("low") + 1,
-                                                       F.col("m")).alias("window")))
+               .select("doc_id", "digest", "m", "start",
+                       F.slice("part", F.col("start") - F.col("low") + 1, F.col("size")).alias("window")))
     windows = with_fingerprint(windows, "window")
     numbers = F.array(*[F.lit(i) for i in range(BLOCKS)])
     index = (items.select("item_id", size.alias("m"), F.col("fp").alias("item_fp"),
@@ -164,7 +178,7 @@ def _hits(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     own = items.select("item_id", F.col("fp").alias("item_fp"), F.col("hashes").alias("item_hashes"),
                        size.alias("m")).distinct()
     return (near.join(small(own), ["item_id", "item_fp", "m"])
-            .select("doc_id", "item_id", "start",
+            .select("doc_id", "digest", "item_id", "start",
                     similarity(F.col("window"), F.col("item_hashes")).alias("similarity"))
             .where(F.col("similarity") >= MIN_SIMILARITY))
 

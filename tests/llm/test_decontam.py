@@ -52,6 +52,27 @@ def test_against_all_windows(spark, docs):
         assert abs(r.similarity - want[r.doc_id, r.item_id]) < 1e-9
 
 
+def test_reordered_passages(spark, docs):
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([59, 40, 41, 50, 59])]
+    rows = []
+    for i, item in items:
+        v = item.split()
+        for half in (len(v) // 2, len(v) // 3, 7):
+            for pad in (0, 1, 70):
+                noise = [rng.choice(vocab) for _ in range(pad)]
+                rows.append((len(rows), " ".join(noise + v[half:] + v[:half] + noise)))
+        a, b = len(v) // 4, len(v) // 2
+        rows.append((len(rows), " ".join(["x"] * 30 + v[a:b] + v[:a] + v[b:])))
+    got = D.contaminated(docs(rows).select("doc_id", "text"),
+                         spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute(rows, items)
+    assert len(want) >= 30
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {
+        k: round(v, 9) for k, v in want.items()}
+
+
 def test_fingerprint_is_the_bitwise_majority(spark):
     rng = random.Random(2)
     hashes = [[rng.randrange(-2**63, 2**63) for _ in range(n)] for n in (1, 2, 7, 300)]
