@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows.
 
-Words are lower-cased; an item of ``L`` words is compared with windows of ``L`` words of a document,
+Words are lower-cased; an item of ``L`` words is compared with windows of ``L`` words of a document (a shorter
+document: all its words),
 both as multisets of five-word shingles (shorter items: one shingle of all their words). A document is
 contaminated by an item when some window's fingerprint lies within ``RADIUS`` bits of the item's and
 their weighted shingle similarity (sum of smaller counts over sum of larger counts) is at least 0.8.
@@ -13,7 +14,8 @@ their weighted shingle similarity (sum of smaller counts over sum of larger coun
   nothing within the radius is missed. At similarity 0.8 about 10 of 64 bits differ.
 * **Which windows.** Two bags of m shingles at 0.8 share at least 8/9 of m, in any order. Shingles of
   documents are looked up among the shingles of all items of m shingles; every window with that many hits
-  is fingerprinted, so no window at 0.8 is left out before the fingerprints are compared.
+  is fingerprinted, so no window at 0.8 is left out before the fingerprints are compared. A document with
+  n < m shingles is one window, which needs 4/9 of n + m hits.
 
 Looking up is a narrow pass over the documents; hits are grouped by text digest and item size into ranges of
 starts (combined before the shuffle, so copies shrink in their own task), and a second narrow pass
@@ -123,9 +125,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _ranges(hits: DataFrame) -> DataFrame:
     """``hits`` (digest, n, m, p: positions from 0 that hold a shingle of an item with m shingles) to
     ranges (digest, m, size, low, high) of starts from 1 without overlap: all windows of ``size``
-    shingles with as many hits as the similarity needs."""
+    shingles (m, or all n of a shorter document) with as many hits as the similarity needs."""
     found = (hits.groupBy("digest", "n", "m").agg(F.array_sort(F.collect_set(F.col("p") + 1)).alias("at"))
-             .withColumn("size", F.col("m")).where("size <= n")
+             .withColumn("size", F.least("n", "m"))  # a shorter document is one window
              .withColumn("least", F.expr("cast((4 * (size + m) + 8) div 9 as int)"))
              .where("size(at) >= least"))
     # The j-th hit and the one that completes it bound the starts; those up to the hit before are others'.

@@ -73,6 +73,27 @@ def test_reordered_passages(spark, docs):
         k: round(v, 9) for k, v in want.items()}
 
 
+def test_documents_shorter_than_the_item(spark, docs):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"u{rng.randrange(3000)}" for _ in range(n))) for i, n in enumerate([59, 40, 20, 9, 4])]
+    rows, want = [], {}
+    for i, item in items:
+        v = item.split()
+        for cut in range(1, min(16, len(v))):
+            for w in (v[:-cut], v[cut:], v[cut // 2:len(v) - cut + cut // 2]):
+                a, b = Counter(shingles(v, min(5, len(v)))), Counter(shingles(w, min(5, len(v))))
+                both = sum((a & b).values())
+                sim = both / (sum(a.values()) + sum(b.values()) - both)
+                if sim >= 0.8:
+                    want[len(rows), i] = round(sim, 9)
+                rows.append((len(rows), " ".join(w)))
+    got = D.contaminated(docs(rows).select("doc_id", "text"),
+                         spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) >= 50
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want
+    assert {r.first_word for r in got} == {0}
+
+
 def test_fingerprint_is_the_bitwise_majority(spark):
     rng = random.Random(2)
     hashes = [[rng.randrange(-2**63, 2**63) for _ in range(n)] for n in (1, 2, 7, 300)]
