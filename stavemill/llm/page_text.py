@@ -3,9 +3,10 @@
 Streaming events of the standard library's parser cut a page into lines: the text between block-level
 tags, with the number of tags met on the way. The ratio of characters to tags, smoothed by a Gaussian
 over neighbouring lines, is clustered by a threshold (its standard deviation): lines above are content.
-The content region is the element that holds them: the innermost ``article`` or ``main`` with at least
-half of their characters, else the innermost container with nine tenths. All lines of that region are the
-text, in page order, short ones included. Menus, headers, footers, sidebars, notices, adverts, forms,
+The first content region is the innermost ``article`` or ``main`` with at least half of their characters, else
+the innermost container with nine tenths. Content lines outside it make further regions: beside the first
+one and the elements around it, the innermost container of the content lines of each element (lines without
+one stand for themselves). All lines of the regions are the text, in page order, short ones included. Menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments, scripts, styles and hidden parts are left out by element, role or class, and neither
 count for the ratios.
 
@@ -161,7 +162,19 @@ def main_text(html: str | None) -> str:
     region = [i for i in held if page.parts[i] in ("article", "main") and held[i] >= total / 2] or \
         [i for i in held if held[i] >= 0.9 * total - 1e-9]
     inner = max(region, key=lambda i: (depth[i], i)) if region else None
-    return "\n".join(t for t, _, around in page.lines if inner is None or inner in around)
+    if inner is None:
+        return "\n".join(t for t, _, _ in page.lines)
+    # Content elsewhere: what its lines have around them below the elements around the region.
+    above = next(set(around[:around.index(inner)]) for _, _, around in page.lines if inner in around)
+    apart: dict[int, tuple[int, ...]] = {}
+    for (_, _, around), inside in zip(page.lines, content):
+        own = tuple(i for i in around if i not in above)
+        if inside and own and inner not in own:
+            known = apart.setdefault(own[0], own)
+            apart[own[0]] = tuple(i for i, j in zip(known, own) if i == j)
+    kept = {inner} | {own[-1] for own in apart.values()}
+    return "\n".join(t for (t, _, around), inside in zip(page.lines, content)
+                     if not kept.isdisjoint(around) or inside and above.issuperset(around))
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -26,6 +26,25 @@ def test_region_without_article_elements():
     assert got[0] == "H" and got.count("tiny") == 3 and len(got) == 7
 
 
+def test_all_content_regions_are_kept():
+    flat = " ".join(LONG.split())
+    big = f"<p>{LONG}</p>" * 6
+    many = f"<p>{LONG}</p>" * 11
+    nav = "<div><ul>" + "".join(f"<li><a href=/{i}>go</a></li>" for i in range(20)) + "</ul></div>"
+    part = f"<h2>Second</h2><p>{LONG}</p><p>tiny</p><p>{LONG}</p>"
+    want = ["Second", flat, "tiny", flat]
+    for html, n in ((f"<main><article>{big}</article><section>{part}</section></main>", 6),
+                    (f"<body>{nav}<article>{big}</article><article>{part}</article>{nav}</body>", 6),
+                    (f"<body>{nav}<div>{many}</div><div><p>{LONG}</p></div>{nav}</body>", 11)):
+        got = P.main_text(html).split("\n")
+        assert got[:n] == [flat] * n
+        if n == 6:
+            # a heading before the content lines belongs to their container
+            assert got[n:] == want
+        else:
+            assert got[n:] == [flat]
+
+
 def test_articles_made_of_random_blocks_come_back():
     rng = random.Random(3)
     for _ in range(50):
