@@ -24,7 +24,7 @@ at most ``common.BROADCAST_ROWS`` rows (else they are joined by shuffle). Verifi
 item) at the end with maxima before the shuffle.
 
 Defined cases: null and blank texts and items have no words and match nothing; null ids stay null; equal
-rows give one result row for each (doc_id, item_id); equal items are reported each; items longer than
+rows give one result row for each (doc_id, item_id), different texts of one doc_id one each; equal items are reported each; items longer than
 65,535 shingles are an error of the lanes and are refused.
 """
 
@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, GAP, register, small, staged, table, words
+from .common import BLANKS, GAP, packed, register, small, staged, table, words
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 23, 8, 8
@@ -105,20 +105,21 @@ def prepared_items(items: DataFrame) -> DataFrame:
     return staged(with_fingerprint(out, "hashes"), "items")
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, digests: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) and ``items`` (item_id, text) to (doc_id, item_id, similarity,
-    first_word): the best window of each pair, the first of equals."""
+    first_word): the best window of each text and item, the first of equals. ``digests`` adds the text's
+    digest."""
     items = prepared_items(items)
     ks = [r["k"] for r in items.select("k").distinct().collect()]
     docs = docs.select("doc_id", "text", F.md5("text").alias("digest"))
     found = [_hits(docs, items.where(F.col("k") == k), k) for k in sorted(ks)]
     if not found:
-        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"),
+        return docs.select("doc_id", *(["digest"] if digests else []), F.lit(None).cast("long").alias("item_id"),
                            F.lit(0.0).alias("similarity"), F.lit(0).alias("first_word")).limit(0)
     hits = reduce(DataFrame.unionByName, found)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best")
-    return (hits.groupBy("doc_id", "item_id").agg(best)
-            .select("doc_id", "item_id", F.col("best.similarity").alias("similarity"),
+    return (hits.groupBy("doc_id", "digest", "item_id").agg(best)
+            .select("doc_id", *(["digest"] if digests else []), "item_id", F.col("best.similarity").alias("similarity"),
                     (-F.col("best.s") - 1).alias("first_word")))
 
 
@@ -192,10 +193,10 @@ def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without benchmark passages (null ids are matched like any other)."""
+    """The documents without benchmark passages; they are told apart by their texts, so rows that share an id
+    (or have none) with a contaminated one stay."""
     found = contaminated(docs.select("doc_id", "text"),
-                         table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    bad = staged(found.select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return (rows.join(small(bad), F.col("row.doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
-            .select("row.*"))
+                         table(spark, sf_dir, "benchmark").select("item_id", "text"), digests=True)
+    bad = staged(found.select(F.col("digest").alias("bad")).distinct(), "contaminated")
+    rows = packed(docs, digest=F.md5("text"))
+    return rows.join(small(bad), F.col("digest") == F.col("bad"), "left_anti").select("row.*")

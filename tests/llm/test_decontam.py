@@ -129,3 +129,12 @@ def test_defined_cases(spark, docs, folder):
     assert D.pipeline_stage(spark, docs([]), sf).count() == 0
     none = D.contaminated(df.select("doc_id", "text"), bench.limit(0))
     assert none.count() == 0 and none.columns == ["doc_id", "item_id", "similarity", "first_word"]
+
+
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, docs, folder):
+    item = " ".join(f"i{k}" for k in range(15))
+    sf = folder(benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
+    rows = [(None, item), (None, "a clean text"), (None, None), (5, "x " + item), (5, "clean too"), (5, item)]
+    out = D.pipeline_stage(spark, docs(rows), sf).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in out) == [
+        ("5", "clean too"), ("None", "None"), ("None", "a clean text")]
