@@ -1,5 +1,5 @@
 """Imports every operator module, which fills the registry."""
 
 from .common import ORACLES, QUERIES  # noqa: F401
-from . import (chat, decontam, langid, minhash, mixing, page_text, quality, secret_scan,  # noqa: F401
-               sharding, warc)  # noqa: F401
+from . import (chat, decontam, exact_dedup, langid, minhash, mixing, page_text, quality,  # noqa: F401
+               secret_scan, sharding, warc)  # noqa: F401
