@@ -43,7 +43,8 @@ def frequent(rows: DataFrame, tracked: int = TRACKED) -> DataFrame:
     merge = F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch")
     groups = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("part")).agg(sketch)
     items = F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("x")
-    return groups.agg(merge).select(items).select(F.col("x.item").alias("digest"))
+    # Grouped, as there is no table of counters to estimate from if there are no rows.
+    return groups.groupBy(F.lit("all")).agg(merge).select(items).select(F.col("x.item").alias("digest"))
 
 
 def winners(rows: DataFrame, tracked: int = TRACKED) -> DataFrame:
