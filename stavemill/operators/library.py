@@ -29,6 +29,21 @@ def upsert_scores(library: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(front.select(*kept.columns))
 
 
+def merge_saves(library: DataFrame, new: DataFrame) -> DataFrame:
+    """S8 for saves that come in batches: the same library whatever the batches and their order. The latest
+    save of an id counts; an unknown id goes to the front at its first save and keeps that place."""
+    cols = [c for c in new.columns if c not in ("id", "list_pos")]
+    saves = new.select("id", *cols, F.lit(None).cast("long").alias("stored"),
+                       (-F.col("updated_at")).alias("at"), F.lit(True).alias("new"))
+    # Stored places are not negative; a place in front is minus the time of the first save.
+    stored = library.select("id", *cols, F.when(F.col("list_pos") >= 0, F.col("list_pos")).alias("stored"),
+                            F.when(F.col("list_pos") < 0, F.col("list_pos")).alias("at"), F.lit(False).alias("new"))
+    best = F.max_by(F.struct(*cols), F.struct("updated_at", "new", F.xxhash64(*cols)))
+    return stored.unionByName(saves).groupBy("id").agg(
+        best.alias("r"), F.coalesce(F.max("stored"), F.max("at")).alias("list_pos")).select(
+        "id", *[f"r.{c}" for c in cols], "list_pos")
+
+
 def delete_score(library: DataFrame, ids: DataFrame) -> DataFrame:
     """S9."""
     return library.join(ids.select("id"), "id", "left_anti")

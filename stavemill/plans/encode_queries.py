@@ -8,6 +8,8 @@ from ..operators import encode as E
 from ..operators import library as L
 from ..sources import elements as el
 from ..sources import fixtures as fx
+from ..sources.storage import new_path
+from ..sources.versioned import VersionedTable, merge_stream
 from .base import add_cte, register
 from .note_queries import leaderboard, notes_of
 
@@ -228,6 +230,34 @@ def upsert_scores(spark, d):
     return L.upsert_scores(library(spark, d), c.unionByName(again)).select("id", "title", "list_pos")
 
 
+def saves(spark, d, name: str):
+    """Saves as a stream of several micro-batches: new titles, then a second save of some."""
+    c = cloud(spark, d)
+    again = c.filter(F.col("id") % 5 == 0).withColumn("title", F.lit("second")).withColumn(
+        "updated_at", F.col("updated_at") + 5)
+    path = new_path(spark, name)
+    for rows in (c.filter("id % 4 < 2"), c.filter("id % 4 >= 2"), again):
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def saved_library(spark, d, name: str, stream) -> VersionedTable:
+    lib = library(spark, d)
+    table = VersionedTable(spark, new_path(spark, name), lib.schema, ["id"]).create(lib)
+    merge_stream(stream, table, new_path(spark, name + "-cp"), L.merge_saves)
+    return table
+
+
+@register("s08_upsert_stream", """
+SELECT coalesce(l.id, c.id) AS id, coalesce(c.title, l.title) AS title, coalesce(l.list_pos, -c.first_at) AS list_pos
+FROM lib l FULL JOIN (SELECT id, arg_max(title, updated_at) AS title, min(updated_at) AS first_at FROM (
+    SELECT * FROM cld UNION ALL SELECT id, 'second', updated_at + 5 FROM cld WHERE id % 5 = 0) GROUP BY 1) c
+  ON l.id = c.id""", ("lib", "cld"))
+def upsert_stream(spark, d):
+    """Saves merged batch by batch into a table that others read meanwhile."""
+    return saved_library(spark, d, "library", saves(spark, d, "saves")).read().select("id", "title", "list_pos")
+
+
 @register("s09_delete_score", "SELECT id, title FROM lib WHERE id NOT IN (SELECT id FROM cld)",
           ("lib", "cld"))
 def delete_score(spark, d):
@@ -245,6 +275,16 @@ def sync_library(spark, d):
     return L.sync_library(library(spark, d), cloud(spark, d)).select("id", "title", "list_pos")
 
 
+@register("s11_sync_stream", _SYNC.format(new="cld"), ("lib", "cld"))
+def sync_stream(spark, d):
+    """The cloud's scores arrive as a stream; the cloud wins by id."""
+    path = new_path(spark, "cloud")
+    rows = cloud(spark, d)
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    return saved_library(spark, d, "synced", stream).read().select("id", "title", "list_pos")
+
+
 @register("j07_nickname_taken", """
 SELECT o_orderkey AS request_id, r.song, r.nickname, r.nickname <> '익명' AND EXISTS (SELECT 1 FROM lb l
   WHERE l.song = r.song AND l.nickname = r.nickname) AS taken

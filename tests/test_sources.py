@@ -30,7 +30,7 @@ def test_manifest_and_uploads_from_a_folder(spark, tmp_path):
     assert got == {"a": "pair", "b": "image_only", "d": "label_only"}
     big = files.withColumn("length", F.when(F.col("path").endswith("a.png"), 10 * 1024 * 1024 + 1)
                            .otherwise(F.col("length")))
-    assert [LB_stem(r.path) for r in LB.valid_uploads(big).collect()] == ["b"]
+    assert [LB_stem(r.path) for r in LB.valid_uploads(big).collect()] == ["b", "c"]
 
 
 def LB_stem(path):
