@@ -248,10 +248,14 @@ def grade_performance(spark, d):
     return FO.grades(PF.performance_messages(spark, d), "performance")
 
 
+def _graded_stream(spark, messages, mode):
+    stream = _stored_stream(spark, messages, "messages")
+    return FO.latest_results(SS.run_available(FO.grades(stream, mode), "graded", "update"))
+
+
 @register("r03_grade_performance_stream", "SELECT * FROM pgrades", ("pgrades",))
 def grade_performance_stream(spark, d):
-    stream = _stored_stream(spark, PF.performance_messages(spark, d), "messages")
-    return FO.latest_results(SS.run_available(FO.grades(stream, "performance"), "graded", "update"))
+    return _graded_stream(spark, PF.performance_messages(spark, d), "performance")
 
 
 # Wait mode as a fold over presses.
@@ -273,15 +277,22 @@ FROM waitfold f JOIN wkeys k ON k.session_id = f.session_id AND k.seq = f.seq +
 LEFT JOIN wnotes n ON n.session_id = f.session_id AND n.i = f.i""", "wnotes", "wkeys")
 
 
-@register("r04_wait_mode_grade", """
+_WAIT = """
 SELECT f.session_id, f.seq + 1 AS seen, correct, wrong, i >= n AS done FROM waitfold f
 JOIN (SELECT session_id, max(seq) AS m FROM wkeys GROUP BY 1) k ON k.session_id = f.session_id AND k.m = f.seq
-JOIN (SELECT session_id, count(*) AS n FROM wnotes GROUP BY 1) c ON c.session_id = f.session_id""",
-          ("waitfold", "wkeys", "wnotes"))
+JOIN (SELECT session_id, count(*) AS n FROM wnotes GROUP BY 1) c ON c.session_id = f.session_id"""
+
+
+@register("r04_wait_mode_grade", _WAIT, ("waitfold", "wkeys", "wnotes"))
 def wait_mode_grade(spark, d):
     return FO.grades(PF.wait_messages(spark, d), "wait")
 
 
+@register("r04_wait_mode_grade_stream", _WAIT, ("waitfold", "wkeys", "wnotes"))
+def wait_mode_grade_stream(spark, d):
+    return _graded_stream(spark, PF.wait_messages(spark, d), "wait")
+
+
 add_cte("qnotes", "SELECT session_id * 10000 + i // 3 AS session_id, note_idx, pitch FROM wnotes", "wnotes")
 add_cte("qplan", """
 SELECT session_id, CASE session_id % 3 WHEN 0 THEN 'note' WHEN 1 THEN 'chord' ELSE 'sequence' END AS mode,
@@ -305,14 +316,22 @@ FROM (SELECT *, CASE WHEN done THEN pressed WHEN h = 1 AND mode = 'chord' THEN l
     JOIN qplan p ON p.session_id = f.session_id))""", "qplan", "qkeys")
 
 
-@register("r05_quiz_grade", """
+_QUIZ = """
 SELECT f.session_id, f.seq + 1 AS seen, CAST(correct AS BIGINT) AS correct, CAST(wrong AS BIGINT) AS wrong, done
 FROM quizfold f JOIN (SELECT session_id, max(seq) AS m FROM qkeys GROUP BY 1) k
-  ON k.session_id = f.session_id AND k.m = f.seq""", ("quizfold", "qkeys"))
+  ON k.session_id = f.session_id AND k.m = f.seq"""
+
+
+@register("r05_quiz_grade", _QUIZ, ("quizfold", "qkeys"))
 def quiz_grade(spark, d):
     return FO.grades(PF.quiz_messages(spark, d), "quiz")
 
 
+@register("r05_quiz_grade_stream", _QUIZ, ("quizfold", "qkeys"))
+def quiz_grade_stream(spark, d):
+    return _graded_stream(spark, PF.quiz_messages(spark, d), "quiz")
+
+
 @register("p05_performance_scores", """
 SELECT session_id, correct, wrong, CASE WHEN session_id % 7 <> 0 THEN CASE WHEN session_id % 5 = 0 THEN
   greatest(0.0, floor((base - 10) * 10 + 0.5) / 10.0) ELSE base END END AS score

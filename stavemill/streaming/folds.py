@@ -1,9 +1,8 @@
-"""Sessions graded by one fold over their ordered messages, in batch and as a stream.
+"""Sessions graded by one fold over their ordered messages.
 
 A session's messages are gathered in one array, ordered by ``seq`` whatever order they arrived in, and
-``F.aggregate`` carries a small state along it; no Python runs. As a stream, the gathering is the only state:
-every micro-batch emits a session's totals so far, and sessions that started longer than ``KEEP`` before the
-newest start leave the state store.
+``F.aggregate`` carries a small state along it; no Python runs. A stream keeps only that small state from batch
+to batch (``stateful.Grader``).
 """
 
 from __future__ import annotations
@@ -12,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pitch import pitch_to_midi
+from . import stateful
 
-KEEP = "2 hours"
 WAITED, RIGHT, WRONG, IGNORED = "wait", "hit", "wrong", ""
 
 _STEPS = "array<array<struct<beat:int,pitches:array<string>>>>"
@@ -24,8 +23,6 @@ PLANS = {"performance": f"struct<both:boolean,midi:boolean,t:{_STEPS},b:{_STEPS}
 def messages_of(rows: DataFrame, mode: str) -> DataFrame:
     """``rows(session_id, seq, kind, pitch, plan, started_at)`` to one row per session: the plan, the
     number of messages and the presses after the start in order."""
-    if rows.isStreaming:
-        rows = rows.withWatermark("started_at", KEEP)
     per = rows.groupBy("session_id", "started_at").agg(
         F.collect_list(F.struct("seq", "kind", "pitch")).alias("all"), F.max("plan").alias("plan"),
         F.count("*").alias("seen"), F.min(F.when(F.col("kind") == "start", F.col("seq"))).alias("first"))
@@ -160,7 +157,9 @@ def graded(rows: DataFrame, mode: str) -> DataFrame:
 
 
 def grades(rows: DataFrame, mode: str) -> DataFrame:
-    """Totals of each session; as a stream (update mode) the totals so far."""
+    """Totals of each session; as a stream (update mode) the totals so far, with the messages that came late."""
+    if rows.isStreaming:
+        return stateful.grades_stream(rows, mode)
     return graded(rows, mode).drop("presses")
 
 

@@ -2,41 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.library import ANONYMOUS
-from ..operators.practice import leaderboard_topk
 from ..sources.storage import new_path
+from ..sources.versioned import VersionedTable, merge_stream
+from . import stateful
 
 CHECK_MS = 6000  # fixed value: time to hear the target note
 JOB_LIMIT_MS = 5 * 60 * 1000  # fixed value: a job without an end by then has failed
 JOB_KEEP_MS = 24 * 3600 * 1000  # event time for which a closed job ignores further rows
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", path: str | None = None
-                  ) -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", path: str | None = None,
+                  progress: list | None = None) -> DataFrame:
     """Runs a stream over everything available and returns the sink table.
 
     The sink and its checkpoint live in the shared folder; an earlier run's ``path`` resumes it.
     Append streams use the file sink; update streams replace one folder per batch, so a repeated
-    batch writes the same rows again.
+    batch writes the same rows again. ``progress`` collects the reports of the batches.
     """
     spark = stream.sparkSession
     path = path or new_path(spark, name)
     out, writer = f"{path}/out", stream.writeStream.option("checkpointLocation", f"{path}/cp")
     schema = stream.schema
-    if mode == "append":
-        q = writer.format("parquet").outputMode("append").trigger(availableNow=True).start(out)
-    else:
-        def save(df: DataFrame, batch_id: int) -> None:
-            df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        q = writer.outputMode(mode).foreachBatch(save).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with stateful.rocksdb(spark):
+        if mode == "append":
+            q = writer.format("parquet").outputMode("append").trigger(availableNow=True).start(out)
+        else:
+            def save(df: DataFrame, batch_id: int) -> None:
+                df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            q = writer.outputMode(mode).foreachBatch(save).trigger(availableNow=True).start()
+        q.awaitTermination()
+    if progress is not None:
+        progress += q.recentProgress
     return spark.read.schema(schema).parquet(out)
 
 
@@ -67,25 +67,8 @@ def held_notes(presses: DataFrame) -> DataFrame:
 
 
 def held_notes_stream(presses: DataFrame) -> DataFrame:
-    """R2 as keyed state: emits each hold when it ends; ``held`` keeps the open ones."""
-    def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        since = state.get[0] if state.exists else -1
-        out = []
-        for kind, t in zip(pdf["kind"], pdf["t_ms"]):
-            if kind == "on" and since < 0:
-                since = int(t)
-            elif kind == "off" and since >= 0:
-                out.append((key[0], key[1], since, int(t)))
-                since = -1
-        if since >= 0:
-            state.update((since,))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["session_id", "pitch", "from_ms", "to_ms"])
-    return presses.groupBy("session_id", "pitch").applyInPandasWithState(
-        track, "session_id bigint, pitch string, from_ms bigint, to_ms bigint", "since bigint",
-        "append", GroupStateTimeout.NoTimeout)
+    """R2 as keyed state: emits each hold when it ends."""
+    return stateful.held_notes_stream(presses)
 
 
 # -- R6 ----------------------------------------------------------------------------------------
@@ -139,59 +122,40 @@ def job_tracker(events: DataFrame, now_ms: int | None = None) -> DataFrame:
 
 
 def job_tracker_stream(events: DataFrame) -> DataFrame:
-    """R7 as keyed state with an event-time timer. ``events`` carries ``ts``; a job is reported
-    once, at its end or when the watermark passes its limit. Its closed mark stays for ``JOB_KEEP_MS``, so
-    that later rows do not open it again."""
-    def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed, start = state.get if state.exists else (False, None)
-        out, gone = [], False
-        now = state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
-            gone = closed
-            if not closed:
-                out.append((key[0], "FAILED", True))
-                closed = True
-        else:
-            pdf = pd.concat(list(batches)).sort_values(["t_ms", "event_id"])
-            first = int(pdf["t_ms"].min())
-            start = first if start is None else min(start, first)
-            for t, status in zip(pdf["t_ms"], pdf["status"]):
-                if not closed and status in ("COMPLETED", "FAILED") and t <= start + JOB_LIMIT_MS:
-                    out.append((key[0], status, False))
-                    closed = True
-            if not closed and now > start + JOB_LIMIT_MS:
-                out.append((key[0], "FAILED", True))  # data came after the limit had passed
-                closed = True
-        if gone:
-            state.remove()
-        else:
-            state.update((closed, start))
-            due = start + JOB_LIMIT_MS + (JOB_KEEP_MS if closed else 0)
-            state.setTimeoutTimestamp(max(due, now + 1))
-        yield pd.DataFrame(out, columns=["job_id", "status", "timed_out"])
-    return events.withWatermark("ts", "1 minute").groupBy("job_id").applyInPandasWithState(
-        track, "job_id bigint, status string, timed_out boolean", "closed boolean, start bigint",
-        "append", GroupStateTimeout.EventTimeTimeout)
+    """R7 as keyed state with an event-time timer. ``events`` carries ``ts``; a job is reported once."""
+    return stateful.job_tracker_stream(events, JOB_LIMIT_MS, JOB_KEEP_MS)
 
 
 # -- R8 ----------------------------------------------------------------------------------------
 
-def first_entries(entries: DataFrame) -> DataFrame:
-    """The earliest entry of each name in its song, by time, then id; entries under the shared default
-    name all count. In batch and as a stream (update mode: an entry again whenever an earlier one comes)."""
+def named_entries(entries: DataFrame) -> DataFrame:
+    """Entries with the ``name`` they count under: one for each nickname, and an own one for every entry
+    under the shared default name."""
     name = F.coalesce("nickname", F.lit(ANONYMOUS))
-    own = F.when(name == ANONYMOUS, F.concat(F.lit("#"), F.col("entry_id").cast("string"))).otherwise(
-        F.concat(F.lit("@"), name))
-    first = F.min(F.struct("created_at", "entry_id", "score", "nickname")).alias("e")
-    return entries.groupBy("song", own.alias("name")).agg(first).select("song", "name", "e.*")
+    return entries.withColumn("name", F.when(name == ANONYMOUS, F.concat(
+        F.lit("#"), F.col("entry_id").cast("string"))).otherwise(F.concat(F.lit("@"), name)))
+
+
+def leaderboard_table(spark: SparkSession, path: str) -> VersionedTable:
+    """The stored board, replaced part by part."""
+    schema = spark.createDataFrame([], stateful.BOARD).schema
+    return VersionedTable(spark, path, schema, ["song", "part"], 8)
+
+
+def follow_leaderboard(entries: DataFrame, board: VersionedTable, checkpoint: str, k: int = 3) -> None:
+    """Brings the board up to date with the entries that have come. After every batch it holds the best of
+    the input so far; a repeated batch changes nothing."""
+    with stateful.rocksdb(entries.sparkSession):
+        merge_stream(stateful.board_changes(named_entries(entries), k), board, checkpoint,
+                     stateful.replaced_parts, "update")
 
 
 def live_leaderboard(entries: DataFrame, k: int = 3) -> DataFrame:
-    """The top ``k`` of each song while entries arrive. The keyed state is the first entry of every
-    name, which is what a name check has to know; how entries fall into batches changes nothing."""
-    updates = run_available(first_entries(entries), "leaderboard", "update")
-    firsts = first_entries(updates.select("song", "created_at", "entry_id", "score", "nickname"))
-    return leaderboard_topk(firsts.drop("name"), k)
+    """The top ``k`` of each song; the earliest entry of a name counts, by time, then id."""
+    spark = entries.sparkSession
+    board = leaderboard_table(spark, new_path(spark, "leaderboard")).create()
+    follow_leaderboard(entries, board, new_path(spark, "leaderboard-cp"), k)
+    return stateful.board_top(board.read(), k)
 
 
 # -- R9 ----------------------------------------------------------------------------------------
