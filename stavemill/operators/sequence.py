@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pitch as P
 from ..functions.tokens import (duration_ticks, is_barline, is_chord, is_header, is_note, is_rest)
-
+from .ranges import interval_join
 
 
 SCORE_KEY = ("score_id",)
@@ -143,6 +143,30 @@ def _bounds(n: Column, total: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n), lambda i: F.floor(i * total / n).cast("int"))
 
 
+#: Measures of a bin of the range join below; a line holds about as many.
+LINE = 4
+
+
+def system_bounds(n: Column, total: Column, breaks: Column | None) -> Column:
+    """The first measure of each of ``n`` systems, then ``total``. Explicit ``breaks`` count only if there are
+    exactly ``n - 1`` and all lie inside the score; otherwise systems are even."""
+    if breaks is None:
+        return _bounds(n, total)
+    usable = F.coalesce((F.size(breaks) == n - 1) & F.forall(breaks, lambda x: (x > 0) & (x < total)), F.lit(False))
+    return F.when(usable, F.concat(F.array(F.lit(0)), breaks, F.array(total))).otherwise(_bounds(n, total))
+
+
+def measure_systems(measures: DataFrame, scores: DataFrame) -> DataFrame:
+    """``(score_id, measure_idx, system_idx)`` of ``measures(score_id, measure_idx)``; ``scores`` hold
+    ``(score_id, total, n_systems, breaks)``. Breaks out of order make ranges that overlap or are empty."""
+    n = F.greatest(F.col("n_systems"), F.lit(1))
+    ranges = scores.select("score_id", system_bounds(n, F.col("total"), F.col("breaks")).alias("b")).select(
+        "score_id", F.posexplode(F.transform(F.slice("b", 1, F.size("b") - 1), lambda x, i: F.struct(
+            x.alias("lo"), (F.get(F.col("b"), i + 1) - 1).alias("hi")))).alias("system_idx", "r"))
+    met = interval_join(ranges, measures, ["score_id"], F.col("r.lo"), F.col("r.hi"), "measure_idx", LINE)
+    return met.select("score_id", "measure_idx", "system_idx")
+
+
 def split_systems(tokens: DataFrame, n: str = "n_systems", breaks: str | None = "breaks"
                   ) -> DataFrame:
     """Q14 / Q15: distributes measures over ``n`` parts, each repeating the header.
@@ -153,12 +177,7 @@ def split_systems(tokens: DataFrame, n: str = "n_systems", breaks: str | None =
     """
     df = _body_measures(tokens)
     nn, total, m = F.greatest(F.col(n), F.lit(1)), F.col("total"), F.col("measure_idx")
-    bounds = _bounds(nn, total)
-    if breaks is not None:
-        b = F.col(breaks)
-        usable = F.coalesce((F.size(b) == nn - 1)
-                            & F.forall(b, lambda x: (x > 0) & (x < total)), F.lit(False))
-        bounds = F.when(usable, F.concat(F.array(F.lit(0)), b, F.array(total))).otherwise(bounds)
+    bounds = system_bounds(nn, total, None if breaks is None else F.col(breaks))
     df = df.withColumn("_b", F.when(total.isNotNull(), bounds))
     parts = F.sequence(F.lit(0), nn - 1)
     lo = lambda s: F.get(F.col("_b"), s)

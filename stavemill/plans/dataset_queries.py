@@ -212,6 +212,26 @@ def measure_systems(spark, d):
     return df.select("score_id", "measure_idx", s.alias("system_idx")).distinct()
 
 
+def _bound_sql(s: str) -> str:
+    """Where system ``s`` starts."""
+    return (f"CASE WHEN brk > 0 AND brk < total AND n_systems = 2 THEN CASE {s} WHEN 0 THEN 0 WHEN 1 THEN brk "
+            f"ELSE total END ELSE {s} * total // n_systems END")
+
+
+@register("j10_system_ranges", f"""
+SELECT DISTINCT b.score_id, b.measure_idx, CAST(s AS INT) AS system_idx
+FROM body b JOIN totals USING (score_id) JOIN (SELECT score_id, n_systems, brk, unnest(range(n_systems)) AS s
+  FROM m) p ON p.score_id = b.score_id AND b.measure_idx >= {_bound_sql('s')}
+  AND b.measure_idx < {_bound_sql('(s + 1)')}""",
+          ("body", "totals", "m"))
+def system_ranges(spark, d):
+    """Measures in the systems of the score, explicit line breaks first."""
+    body = S._body_measures(split_input(spark, d)).filter(~F.col("in_header"))
+    scores = body.groupBy("score_id").agg(F.max("total").alias("total"), F.max("n_systems").alias("n_systems"),
+                                          F.max("breaks").alias("breaks"))
+    return S.measure_systems(body.select("score_id", "measure_idx").distinct(), scores)
+
+
 # -- training logs -----------------------------------------------------------------------------
 
 def epoch_log(spark, d):

@@ -491,8 +491,4 @@ SELECT c.session_id, min(t_ms) - check_ms AS after_ms FROM checks c JOIN presses
   p.session_id = c.session_id AND p.pitch = c.target AND kind = 'on' AND t_ms BETWEEN check_ms AND
   check_ms + 6000 GROUP BY c.session_id, check_ms""", ("checks", "presses"))
 def target_heard(spark, d):
-    c, p = checks(MD.midi_messages(spark, d)).alias("c"), presses(spark, d).filter("kind = 'on'").alias("p")
-    cond = ((F.col("c.session_id") == F.col("p.session_id")) & (F.col("target") == F.col("pitch"))
-            & F.col("t_ms").between(F.col("check_ms"), F.col("check_ms") + SS.CHECK_MS))
-    return c.join(p, cond).groupBy(F.col("c.session_id").alias("session_id"), "check_ms").agg(
-        (F.min("t_ms") - F.col("check_ms")).alias("after_ms")).select("session_id", "after_ms")
+    return SS.target_heard(checks(MD.midi_messages(spark, d)), presses(spark, d)).select("session_id", "after_ms")

@@ -79,8 +79,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf_dir: str, specials: bool = False) -> DataFrame:
-    """``(score_id, tokens)``: one array row per score; the only exchange most plans need."""
-    ev = spark.sql(EVENT_TOKENS_SQL, events=table(spark, sf_dir, "events"))
+    """``(score_id, tokens)``: one array row per score; the only exchange most plans need. The number of its
+    partitions is given, as label rows are compact: merged by their size, they would leave cores without work
+    once the tokens are exploded."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ev = spark.sql(EVENT_TOKENS_SQL, events=table(spark, sf_dir, "events")).repartition(n, "score_id")
     toks = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "toks"))),
                                  lambda e: F.split(e["toks"], " ")))
     if specials:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.library import ANONYMOUS
+from ..operators.ranges import bin_of, covered, interval_join
 from ..sources.storage import new_path
 from ..sources.versioned import VersionedTable, merge_stream
 from . import stateful
@@ -73,23 +74,35 @@ def held_notes_stream(presses: DataFrame) -> DataFrame:
 
 # -- R6 ----------------------------------------------------------------------------------------
 
+def heard(checks: DataFrame, presses: DataFrame, how: str = "left") -> DataFrame:
+    """The presses within six seconds of each check, met on the session and on bins of six seconds."""
+    on = presses.filter("kind = 'on'").select("session_id", "t_ms", "pitch")
+    return interval_join(checks, on, ["session_id"], F.col("check_ms"), F.col("check_ms") + CHECK_MS, "t_ms",
+                         CHECK_MS, how)
+
+
 def connection_check(checks: DataFrame, presses: DataFrame) -> DataFrame:
     """``checks(session_id, check_ms, target)``: was the target, or any note, heard
     within six seconds."""
-    on = presses.filter("kind = 'on'").select(F.col("session_id").alias("s"), "t_ms", "pitch")
-    cond = (F.col("session_id") == F.col("s")) & F.col("t_ms").between(
-        F.col("check_ms"), F.col("check_ms") + CHECK_MS)
-    return checks.join(on, cond, "left").groupBy("session_id", "check_ms", "target").agg(
-        F.coalesce(F.bool_or(F.col("pitch") == F.col("target")), F.lit(False)).alias("ok"),
-        F.count("pitch").alias("n_heard"))
+    return check_results(heard(checks.select("session_id", "check_ms", "target"), presses))
+
+
+def target_heard(checks: DataFrame, presses: DataFrame) -> DataFrame:
+    """How long after its start a check first heard its target."""
+    hits = heard(checks.select("session_id", "check_ms", "target"), presses, "inner").where("pitch = target")
+    return hits.groupBy("session_id", "check_ms").agg((F.min("t_ms") - F.col("check_ms")).alias("after_ms"))
 
 
 def connection_check_stream(checks: DataFrame, presses: DataFrame) -> DataFrame:
-    """R6 as a stream-stream interval join: a row for every press heard within six seconds of a check,
-    one without a press once the watermark shows that there was none. Both inputs carry ``ts``."""
-    c = checks.withWatermark("ts", "10 seconds").alias("c")
-    p = presses.filter("kind = 'on'").withWatermark("ts", "10 seconds").alias("p")
-    cond = F.expr("c.session_id = p.session_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 6 SECONDS")
+    """R6 as a stream-stream interval join on session and bin: a row for every press heard within six seconds
+    of a check, and one without a press for each bin in which the watermark shows that there was none. Both
+    inputs carry ``ts``."""
+    bins = covered(F.col("check_ms"), F.col("check_ms") + CHECK_MS, CHECK_MS)
+    c = checks.withWatermark("ts", "10 seconds").withColumn("bin", F.explode(bins)).alias("c")
+    p = presses.filter("kind = 'on'").withWatermark("ts", "10 seconds").withColumn(
+        "bin", bin_of(F.col("t_ms"), CHECK_MS)).alias("p")
+    cond = F.expr("c.session_id = p.session_id AND c.bin = p.bin AND p.ts >= c.ts "
+                  "AND p.ts <= c.ts + INTERVAL 6 SECONDS")
     return c.join(p, cond, "leftOuter").select(
         F.col("c.session_id").alias("session_id"), F.col("c.check_ms").alias("check_ms"),
         F.col("c.target").alias("target"), F.col("p.pitch").alias("pitch"))
