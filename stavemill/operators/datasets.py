@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocab import EOS_ID, PAD_ID, SOS_ID
+from .ranges import interval_join
 from .sequence import flag, split_systems
 
 MODULUS = 1 << 32
@@ -152,6 +153,26 @@ def weighted_pick(rows: DataFrame, key: str, weights: dict, name: str, seed: int
                            else F.lit(items[-1][0]))
 
 
+PICK_BIN = MODULUS // 64
+
+
+def weighted_pick_by(rows: DataFrame, key: str, group: str, weights: DataFrame, name: str, seed: int = 42) -> DataFrame:
+    """D7 with a table: adds ``name``, a category drawn by the weights of the row's ``group``; null where the
+    group has none. ``weights`` are ``(group, name, weight)``; weights that are not positive count as none. A
+    category owns a range of hashes as wide as its share, and rows meet their range in a join on group and bin:
+    any number of categories, and a hot group is spread over its bins."""
+    order = Window.partitionBy("_g").orderBy(name)
+    upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cum = weights.where("weight > 0").select(F.col(group).alias("_g"), name, "weight").withColumn("_upto", upto)
+    total = F.max("_upto").over(Window.partitionBy("_g"))
+    bound = lambda c: F.floor(c / F.col("_total") * float(MODULUS)).cast("bigint")
+    own = cum.withColumn("_total", total).withColumn("_from", F.lag("_upto", 1, 0).over(order)).select(
+        "_g", name, bound(F.col("_from")).alias("_lo"), (bound(F.col("_upto")) - 1).alias("_hi"))
+    drawn = rows.withColumn("_g", F.col(group)).withColumn("_u", hash_of(F.col(key), seed))
+    met = interval_join(own, drawn, ["_g"], F.col("_lo"), F.col("_hi"), "_u", PICK_BIN, "right")
+    return met.select(*rows.columns, name)
+
+
 def vocab_remap(old: DataFrame, new: DataFrame) -> DataFrame:
     """``old(token, id, vector)`` rows move to the ids of ``new(token, id)``; new tokens
     keep a NULL vector (the default initialisation)."""

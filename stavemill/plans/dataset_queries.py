@@ -136,6 +136,21 @@ def weighted_pick(spark, d):
     return DS.weighted_pick(ev, "event_id", ST.DURATION_WEIGHTS, "dur", 3)
 
 
+@register("d07_source_pick", f"""
+SELECT doc_id, source, picked FROM (SELECT doc_id, source, {hash_sql('doc_id', 3)} AS h FROM documents) d
+JOIN (SELECT source AS g, lang AS picked, floor((upto - w) / total * 4294967296) AS lo,
+    floor(upto / total * 4294967296) AS hi
+  FROM (SELECT *, CAST(sum(w) OVER (PARTITION BY source ORDER BY lang) AS DOUBLE) AS upto,
+      CAST(sum(w) OVER (PARTITION BY source) AS DOUBLE) AS total
+    FROM (SELECT source, lang, sum(n_chars) AS w FROM documents GROUP BY 1, 2))) c
+  ON g = source AND h >= lo AND h < hi""")
+def source_pick(spark, d):
+    """A language for every document, drawn by the characters of each language in its source."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    weights = docs.groupBy("source", F.col("lang").alias("picked")).agg(F.sum("n_chars").alias("weight"))
+    return DS.weighted_pick_by(docs.select("doc_id", "source"), "doc_id", "source", weights, "picked", 3)
+
+
 def vocabularies(spark, d):
     """Two vocabularies: all words of English, German and Spanish documents, and of English, French and
     Spanish ones."""

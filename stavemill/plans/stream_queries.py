@@ -14,6 +14,7 @@ from ..sources import labels as LB
 from ..sources import midi as MD
 from ..sources import performances as PF
 from ..sources.jobs import JOBS_SQL, job_events
+from ..sources.raw_midi import RawMidi
 from ..sources.storage import new_path
 from ..streaming import folds as FO
 from ..streaming import sessions as SS
@@ -149,6 +150,30 @@ def midi_stream(spark, d):
     return SS.run_available(MD.midi_stream(spark, d), "midi")
 
 
+def raw_files(spark, d) -> str:
+    """The messages as raw bytes in the shared folder; the path."""
+    spark.dataSource.register(RawMidi)
+    path = new_path(spark, "raw")
+    MD.midi_messages(spark, d).select("session_id", "t_ms", "status", "d1", "d2").write.format("raw_midi").mode(
+        "append").save(path)
+    return path
+
+
+_RAW = "SELECT session_id, t_ms, status, d1, d2 FROM midi"
+
+
+@register("s14_raw_bytes", _RAW, ("midi",))
+def raw_bytes(spark, d):
+    """Written as raw bytes and read back in ranges."""
+    return spark.read.format("raw_midi").option("rangeBytes", 1 << 20).load(raw_files(spark, d)).drop("file", "at")
+
+
+@register("s14_raw_bytes_stream", _RAW, ("midi",))
+def raw_bytes_stream(spark, d):
+    raw = raw_files(spark, d)
+    return SS.run_available(spark.readStream.format("raw_midi").load(raw), "raw").drop("file", "at")
+
+
 # -- keyed state -------------------------------------------------------------------------------
 
 def presses(spark, d):

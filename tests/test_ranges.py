@@ -71,3 +71,28 @@ def test_one_long_session_is_many_tasks(spark):
     bins = presses.repartition(8, "session_id", F.floor(F.col("t_ms") / SS.CHECK_MS)).groupBy(
         F.spark_partition_id().alias("p")).count().collect()
     assert len(bins) == 8 and max(r["count"] for r in bins) < 100_000
+
+
+def test_shares_of_a_weights_table(spark):
+    from stavemill.operators import datasets as DS
+    weights = {"a": {"x": 1, "y": 3, "z": 0}, "b": {"x": 5.5, "w": 4.5}, "one": {"q": 2}, "many": {
+        f"c{i:03}": 1 + i % 3 for i in range(500)}}
+    table = [(g, c, float(w)) for g, ws in weights.items() for c, w in ws.items()] + [("none", "x", -1.0), ("b", "v", None)]
+    groups = ["a", "a", "a", "b", "one", "many", "none", None]
+    rows = [(i, groups[i % 8], "t") for i in range(16_000)]
+    df = spark.createDataFrame(rows, "id bigint, g string, name string")
+    w = spark.createDataFrame(table, "g string, pick string, weight double")
+    got = DS.weighted_pick_by(df, "id", "g", w, "pick")
+    assert got.columns == ["id", "g", "name", "pick"]
+    found = got.groupBy("g", "pick").count().collect()
+    assert sum(r["count"] for r in found) == 16_000
+    assert {r.pick for r in found if r.g in (None, "none")} == {None}
+    for g, ws in weights.items():
+        n, total = sum(r["count"] for r in found if r.g == g), sum(ws.values())
+        counts = {r.pick: r["count"] for r in found if r.g == g}
+        assert set(counts) <= {c for c, x in ws.items() if x > 0} and n == 2000 * groups.count(g)
+        for c, x in ws.items():
+            p = x / total
+            assert abs(counts.get(c, 0) - n * p) <= 4 * (n * p * (1 - p)) ** 0.5 + 1, (g, c)
+    again = DS.weighted_pick_by(df.repartition(3), "id", "g", w, "pick")
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
