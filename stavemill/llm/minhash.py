@@ -14,18 +14,21 @@ weighted Jaccard similarity.
 
 **Bands.** 20 bands of 4 slots: a pair at 0.8 shares no band with probability (1 - 0.8^4)^20 < 3e-5.
 
-**Links.** Equal texts collapse first (grouped by digest). In every bucket each text is compared with
-one centre, the text whose buckets are largest (of a group of near copies the one with the fewest edits):
-linear in the bucket. Verified links join into components. Buckets that then still hold two components or
+**Links.** Equal texts collapse first (grouped by digest) and are nodes of their own numbering, whatever their
+ids. In every bucket each text is compared with one centre, the text whose buckets are largest (of a group of
+near copies the one with the fewest edits): linear in the bucket, and large buckets are cut into parts. Texts
+are fetched once, and only pairs whose signatures agree in ``MIN_AGREE`` slots (a pair at 0.8 fails that with
+probability < 1e-7) are verified. Verified links join into components. Buckets that then still hold two components or
 more are completed across components, so no class depends on the choice of centres: in those of at most
-``FEW`` texts, pairs whose signatures agree in ``MIN_AGREE`` slots are verified (a pair at 0.8 fails that
-with probability < 1e-7); for the texts of larger ones an exact prefix filter proposes the pairs. Shingles
-are ranked from the rarest; two texts at 0.8 share one among their first ranks, and in a large group of
-near copies the first ranks are the edits, which few share. So a large group never becomes pairs.
-
-Defined cases: a null text is its own class; equal texts without words are copies; a null id is never a
-class id (a class of null ids only has none); rows that share an id share a class; of equal rows one
-is kept; long texts are read whole; empty tables give empty results.
+``FEW`` texts, pairs that agree likewise are verified; for the texts of larger ones an exact prefix filter
+proposes the pairs, each once. Shingles are ranked from the rarest; two texts at 0.8 share one among their
+first ranks, and in a large group of near copies the first ranks are the edits, which few share. So a large
+group never becomes pairs.
+
+Defined cases: a null text is its own class; equal texts without words are copies; a null id is a class id
+only of a class without other ids, whose texts are compared like all others; rows that share an id but not
+their text are compared each for itself; of equal rows the pipeline keeps one; long texts are read whole; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -46,6 +49,10 @@ SLOTS = BANDS * ROWS
 MIN_AGREE = 44
 #: Buckets of at most so many texts are completed by comparing signatures.
 FEW = 32
+#: Larger buckets are compared with their centre in parts of about so many members.
+PART = 512
+#: Prefixes of at most so many tokens are carried along to propose a pair once.
+CARRIED = 256
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,7 +130,7 @@ def signed(docs: DataFrame) -> DataFrame:
     def columns(bags: list) -> tuple[list, list]:
         best = signatures(bags)
         bits = _mix(best.view(np.uint64))
-        short = (bits >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        short = (bits >> np.uint64(48)).astype(np.uint16).view(np.int16)
         key = np.arange(BANDS, dtype=np.uint64)[None, :]
         for r in range(ROWS):
             key = _mix(key ^ bits[:, r::ROWS])
@@ -131,7 +138,7 @@ def signed(docs: DataFrame) -> DataFrame:
         return ([None if e else x for e, x in zip(empty, short)],
                 [None if e else x for e, x in zip(empty, key.view(np.int64))])
 
-    @F.pandas_udf("sig array<int>, bands array<long>")
+    @F.pandas_udf("sig array<short>, bands array<long>")
     def sign(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for s in texts:
@@ -150,9 +157,10 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def rare_tokens(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``nodes`` (node, class) to (node, class, size, token, rank): the shingles of each, the n-th
+    """``nodes`` (node, class) to (node, class, size, token, rank, before): the shingles of each, the n-th
     occurrence as a token of its own, ranked from the rarest among these nodes; only ranks that a pair at
-    the threshold can need, and only tokens that two nodes share."""
+    the threshold can need, and only tokens that two nodes share. ``before`` are the node's tokens of lower
+    rank, none for nodes with more than ``CARRIED`` of them."""
     @F.pandas_udf("array<long>")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = _Words()
@@ -164,13 +172,19 @@ def rare_tokens(nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(_mix(np.repeat(e, c) ^ nth.astype(np.uint64)).view(np.int64))
             yield pd.Series(out, dtype="object")
 
-    bags = nodes.join(texts, "node").select("node", "class", tokens("text").alias("t"))
+    # Staged before the tokens are made, or they would be made of every text that the join reads.
+    bags = staged(nodes.join(texts, "node").select("node", "class", "text"), "open-texts")
+    bags = bags.select("node", "class", tokens("text").alias("t"))
     each = staged(bags.select("node", "class", F.size("t").alias("size"), F.explode("t").alias("token")),
                   "tokens")
     shared = each.groupBy("token").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "token"))
-    return (each.join(shared, "token").withColumn("rank", rank)
-            .where("rank <= floor(size / 5) + 1 and n > 1").drop("n"))
+    order = Window.partitionBy("node").orderBy("n", "token")
+    ranked = (each.join(shared, "token").withColumn("rank", F.row_number().over(order))
+              .where("rank <= floor(size / 5) + 1 and n > 1"))
+    few = F.count("*").over(Window.partitionBy("node")) <= CARRIED
+    before = F.collect_list(F.when(F.col("few"), F.col("token"))).over(
+        order.rowsBetween(Window.unboundedPreceding, -1))
+    return ranked.withColumn("few", few).withColumn("before", before).drop("few", "n")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -188,8 +202,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(overlap(last[a], shingles(b, known)))
             yield pd.Series(out, dtype="float64")
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts.join(small(needed), "node", "left_semi")
     left = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     return (pairs.join(left, "b").join(right, "a")
@@ -197,7 +209,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Links (a, b) to (node, class): the smallest node of its component, for every linked node.
+    """Links (a, b) to (node, class): the smallest node of its component, for every other node of it.
     Alternating star contractions; every round is written to the shared folder."""
     edges = staged(_ordered(links), "links")
     done = None
@@ -215,6 +227,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == done:
             break
         done = now
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("class"))
 
 
@@ -223,29 +237,48 @@ def _ordered(links: DataFrame) -> DataFrame:
             .where("a < b").distinct())
 
 
+def _agree(x: str, y: str):
+    """In how many slots two signatures agree."""
+    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e))
+
+
+def centre_pairs(crowded: DataFrame) -> DataFrame:
+    """(a, b): every member of a bucket with the bucket's centre. Buckets are cut into parts of about ``PART``
+    members and the centre copied to each, so that a large bucket is no single task."""
+    central = crowded.groupBy("node").agg(F.sum("n").alias("central"))
+    centre = (crowded.join(central, "node").groupBy("band", "n")
+              .agg(F.max(F.struct("central", F.xxhash64("node").alias("h"), "node")).alias("c"))
+              .select("band", F.col("c.node").alias("centre"), F.explode(F.sequence(
+                  F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / PART))).alias("part")))
+    parts = F.pmod(F.xxhash64("node"), F.floor((F.col("n") - 1) / PART) + 1)
+    return _ordered(crowded.withColumn("part", parts).join(centre, ["band", "part"])
+                    .select(F.col("centre").alias("a"), F.col("node").alias("b")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` (id long, text) to (id, digest, class) for every row; digest is null for null texts."""
+    """``docs`` (id long, text) to (id, digest, class, stays) for every row; digest is null for null texts,
+    ``stays`` marks the rows of the text that stands for its class."""
     small_batches(docs.sparkSession)
     sigs = staged(signed(docs), "signatures")
-    reps = (sigs.where("digest is not null").groupBy("digest")
-            .agg(F.min("id").alias("node")))
-    # One signature row for each distinct text.
-    nodes = (sigs.where("sig is not null").join(reps, "digest").where("id = node")
-             .select("node", "digest", "sig", "bands").dropDuplicates(["node", "digest"]))
-    nodes = staged(nodes, "nodes")
-    texts = (docs.where("id is not null and text is not null")
-             .select(F.col("id").alias("node"), "text"))
+    reps = sigs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"))
+    # One signature row for each distinct text; ids may be null or repeated, nodes are not.
+    nodes = staged(sigs.where("sig is not null").groupBy("digest").agg(
+        F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lo"),
-                                        F.max("node").alias("hi")).where("lo < hi")
-    crowded = staged(members.join(sizes.select("band", "n"), "band"), "buckets")
-    central = crowded.groupBy("node").agg(F.sum("n").alias("central"))
-    centre = (crowded.join(central, "node").groupBy("band")
-              .agg(F.max(F.struct("central", F.xxhash64("node").alias("h"), "node")).alias("c"))
-              .select("band", F.col("c.node").alias("centre")))
-    tried = staged(_ordered(crowded.join(centre, "band")
-                            .select(F.col("centre").alias("a"), F.col("node").alias("b"))), "pairs")
-    links = staged(verified(tried, texts), "verified")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = staged(members.join(small(sizes), "band"), "buckets")
+    asked = nodes.join(small(crowded.select("node").distinct()), "node", "left_semi")
+    asked = staged(asked.select("node", "digest", "id", "sig"), "asked")
+    # Their texts, each once: of equal texts the row with the least id, and of equal rows one.
+    keys = small(asked.select("node", F.col("digest").alias("d"), F.col("id").alias("i")))
+    texts = staged(docs.select("id", F.md5("text").alias("digest"), "text").join(
+        keys, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")))
+        .select("node", "text").dropDuplicates(["node"]), "texts")
+    tried = staged(centre_pairs(crowded), "pairs")
+    sig = asked.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+    alike = tried.join(sig, "b").join(sig.toDF("a", "sig_a"), "a").where(_agree("sig_a", "sig_b") >= MIN_AGREE)
+    links = staged(verified(staged(alike.select("a", "b"), "alike"), texts), "verified")
     classes = components(links)
 
     # Buckets that still hold several components; those of two members were already compared.
@@ -254,46 +287,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     split = (labelled.where("n > 2").groupBy("band")
              .agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
              .where("lo < hi").select("band"))
-    open_ = staged(labelled.join(split, "band"), "open-buckets")
-    few = open_.where(F.col("n") <= FEW).join(nodes.select("node", "sig"), "node")
+    open_ = staged(labelled.join(small(split), "band"), "open-buckets")
+    few = open_.where(F.col("n") <= FEW).join(asked.select("node", "sig"), "node")
     x, y = few.alias("x"), few.alias("y")
-    agree = F.size(F.filter(F.zip_with("x.sig", "y.sig", lambda p, q: p == q), lambda e: e))
     near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node"))
-                  & (F.col("x.class") != F.col("y.class")) & (agree >= MIN_AGREE))
+                  & (F.col("x.class") != F.col("y.class")) & (_agree("x.sig", "y.sig") >= MIN_AGREE))
     many = rare_tokens(open_.where(F.col("n") > FEW).select("node", "class").distinct(), texts)
     x, y = many.alias("x"), many.alias("y")
-    # Pairs at 0.8 share at least 4/9 of both sizes together, hence a token among these first ranks.
+    # Pairs at 0.8 share at least 4/9 of both sizes together, hence a token among these first ranks. A pair is
+    # proposed at the first token it shares; where that is not known, at each, and made distinct afterwards.
     least = F.ceil((F.col("x.size") + F.col("y.size")) * 4 / 9)
     rare = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
                   & (F.col("x.class") != F.col("y.class"))
                   & (F.col("x.rank") <= F.col("x.size") - least + 1)
-                  & (F.col("y.rank") <= F.col("y.size") - least + 1))
+                  & (F.col("y.rank") <= F.col("y.size") - least + 1)
+                  & ~F.arrays_overlap("x.before", "y.before"))
     more = near.select("x.node", F.col("y.node").alias("b")).union(
         rare.select("x.node", F.col("y.node").alias("b"))).toDF("a", "b").distinct()
     more = staged(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
     extra = staged(verified(more, texts), "verified-more")
     if not extra.isEmpty():
         classes = components(links.union(extra))
-    label = (reps.join(classes, "node", "left")
-             .select("digest", F.coalesce("class", "node").alias("class")))
+
+    # A class is named by its least id; of the texts with that id, the one of the least digest stays.
+    roots = classes.select("class", "class").distinct().toDF("node", "class")
+    linked = classes.union(roots).join(asked.select("node", "id", "digest"), "node")
+    best = linked.groupBy("class").agg(F.min(F.struct(
+        F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
+    named = linked.join(small(best), "class").select("digest", F.col("best.id").alias("class"),
+                                                     F.col("best.digest").alias("stay"))
+    label = (reps.join(named, "digest", "left").select(
+        "digest", F.when(F.col("stay").isNull(), F.col("id")).otherwise(F.col("class")).alias("class"),
+        F.coalesce("stay", "digest").alias("stay")))
+    null = F.col("digest").isNull()
     return (sigs.select("id", "digest").join(label, "digest", "left")
-            .withColumn("class", F.when(F.col("digest").isNull(), F.col("id")).otherwise(
-                F.col("class"))))
+            .withColumn("class", F.when(null, F.col("id")).otherwise(F.col("class")))
+            .withColumn("stays", null | ((F.col("digest") == F.col("stay"))
+                                         & F.col("id").eqNullSafe(F.col("class")))).drop("stay"))
 
 
 @register("op7_minhash_near_dedup")
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return near_duplicates(docs).select(
-        F.col("id").alias("doc_id"), F.col("class").alias("class_id"),
-        F.col("id").eqNullSafe(F.col("class")).alias("kept"))
+        F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.col("stays").alias("kept"))
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the row of its smallest id."""
     found = near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"))
-    stay = (found.where(F.col("id").eqNullSafe(F.col("class")))
-            .select(_key(F.col("id"), F.col("digest")).alias("key")).distinct())
+    stay = found.where("stays").select(_key(F.col("id"), F.col("digest")).alias("key")).distinct()
     rows = packed(docs, key=_key(F.col("doc_id"), F.md5("text")))
     first = F.row_number().over(Window.partitionBy("key").orderBy("key"))
     return rows.join(stay, "key").withColumn("n", first).where("n = 1").select("row.*")

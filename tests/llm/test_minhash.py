@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from stavemill.llm import minhash as M
 
@@ -120,3 +121,31 @@ def test_defined_cases(spark, docs):
                   for r in out.collect())
     assert kept == [(-1, "only here"), (1, ""), (2, ""), (3, ""), (5, "q r s"), (6, "t t t t t")]
     assert M.pipeline_stage(spark, docs([]), "").count() == 0
+
+
+def test_ids_do_not_decide_what_is_compared(spark, docs):
+    words = [f"w{i}" for i in range(80)]
+    text, near = " ".join(words), " ".join(words[:-2] + ["x", "y"])
+    far, far_near = " ".join(f"v{i}" for i in range(70)), " ".join(f"v{i}" for i in range(71))
+    # Near copies under null ids, and two unlike texts under one id, each with a near copy.
+    rows = [(None, text), (None, near), (5, far), (5, "quite another text of a few words"), (3, far_near)]
+    out = M.pipeline_stage(spark, docs(rows), "").collect()
+    assert sorted(((r.doc_id or -1), r.text[:3]) for r in out) in (
+        [(-1, "w0 "), (3, "v0 "), (5, "qui")],)
+    got = {(r.id, r.text[:2]): r["class"] for r in M.near_duplicates(docs(rows).select(
+        F.col("doc_id").alias("id"), "text")).join(docs(rows).select(F.md5("text").alias("digest"), "text"), "digest").collect()}
+    assert got[5, "v0"] == 3 and got[5, "qu"] == 5 and got[None, "w0"] is None
+
+
+def test_large_buckets_are_cut_and_the_prefix_proposes_once(spark, docs):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, edited(rng, base, rng.randint(0, 4))) for i in range(700)]
+    got = M.near_duplicates(docs(rows).select(F.col("doc_id").alias("id"), "text"))
+    assert {r.id: r["class"] for r in got.collect()} == brute_classes(rows)
+
+
+def test_components_that_do_not_end_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        M.components(links, rounds=2)
