@@ -11,7 +11,7 @@ start is broken up (``<|`` becomes ``<\\!|``), so no text can form a control str
 ends, and reading back restores it exactly.
 
 The machine checks turn order: one entry per allowed step, and the states that may end a conversation.
-A conversation that it rejects is still formatted, and its first bad turn is reported.
+A conversation that it rejects is still formatted, and its first bad turn is reported (the query returns both).
 
 Defined cases: null text and null role are empty; a null conversation id is one conversation; turns are
 ordered by turn, nulls first, ties by role, then text; equal rows stay as they are; an empty table gives
@@ -127,6 +127,14 @@ def read_back(formatted: Column, t: Template = TEMPLATE) -> Column:
     return F.transform(parts, turn)
 
 
+def read_loss(formatted: Column, segments: Column, t: Template = TEMPLATE) -> Column:
+    """All text under the loss mask, read from the formatted conversation: its turns, each kept if the flag of
+    its text, the second of a turn's three segments, says so."""
+    flags = F.transform(F.filter(segments, lambda s, i: i % 3 == 1), lambda s: s["loss"])
+    kept = F.zip_with(read_back(formatted, t), flags, lambda x, loss: F.when(loss, x["text"]).otherwise(""))
+    return F.array_join(kept, "")
+
+
 #: The conversation that the query adds.
 EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -137,14 +145,19 @@ WITH rows_ AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 esc AS (
   SELECT *, replace(replace(role, '\', '\\'), '<|', '<\!|') AS role_out,
-    replace(replace(text, '\', '\\'), '<|', '<\!|') AS text_out FROM rows_)
+    replace(replace(text, '\', '\\'), '<|', '<\!|') AS text_out,
+    row_number() OVER turns - 1 AS i, lead(role) OVER turns IS NULL AS last,
+    coalesce(lag(role) OVER turns, 'start') || '>' || role NOT IN ('start>system', 'start>user', 'system>user',
+      'user>assistant', 'assistant>user') AS bad
+  FROM rows_ WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text))
     AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, ''
     ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
-  CAST(sum(length(role_out) + length(text_out) + 23) AS BIGINT) AS formatted_chars
+  CAST(sum(length(role_out) + length(text_out) + 23) AS BIGINT) AS formatted_chars,
+  NOT bool_or(bad) AND bool_or(last AND role = 'assistant') AS valid, CAST(min(i) FILTER (bad) AS INTEGER) AS bad_turn
 FROM esc GROUP BY conv_id"""
 
 
@@ -154,8 +167,7 @@ def op9_chat_formatting(spark, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")
     out = format_chats(conversations(rows.unionByName(extra)))
     t = TEMPLATE
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]),
-                                    lambda s: unescaped(s["text"], t)), "")
+    loss = read_loss(F.col("formatted"), F.col("segments"), t)
     seen = F.array_join(F.transform("turns", lambda x: F.concat(
         x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return (out.withColumn("turns", read_back(F.col("formatted"), t)).withColumn("loss", loss)
@@ -163,4 +175,5 @@ def op9_chat_formatting(spark, sf_dir: str) -> DataFrame:
                     F.sha2(seen, 256).alias("turns_sha256"),
                     F.char_length("loss").cast("long").alias("loss_chars"),
                     F.sha2("loss", 256).alias("loss_sha256"),
-                    F.char_length("formatted").cast("long").alias("formatted_chars")))
+                    F.char_length("formatted").cast("long").alias("formatted_chars"),
+                    "valid", F.col("bad_turn").cast("int").alias("bad_turn")))

@@ -34,6 +34,26 @@ def test_machine_and_loss(spark):
     assert [s.text for s in out[2].segments if s.loss] == ["assistant2", "assistant4"]
 
 
+def test_loss_is_read_from_the_output_by_the_mask(spark):
+    rows = [(1, 0, "user", "<|end|>q"), (1, 1, "assistant", "<|end|>a\\"), (1, 2, "tool", "t"), (1, 3, "assistant", "b")]
+    f = C.F
+    out = formatted(spark, rows)
+    assert out.select(C.read_loss(f.col("formatted"), f.col("segments"))).first()[0] == "<|end|>a\\b"
+    # Other output or another mask: another loss.
+    other = out.withColumn("formatted", f.replace("formatted", f.lit("b<|end|>"), f.lit("c<|end|>")))
+    assert other.select(C.read_loss(f.col("formatted"), f.col("segments"))).first()[0] == "<|end|>a\\c"
+    none = f.transform("segments", lambda s: f.struct(s["text"].alias("text"), f.lit(False).alias("loss")))
+    assert out.select(C.read_loss(f.col("formatted"), none)).first()[0] == ""
+
+
+def test_the_machine_runs_in_the_query(spark, folder):
+    d = folder(conversations=spark.createDataFrame([(1, 0, "user", "a")], ROWS))
+    out = C.op9_chat_formatting(spark, d)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "assistant>user" in plan
+    assert {(r.conv_id, r.valid, r.bad_turn) for r in out.collect()} == {(1, False, None), (-7, True, None)}
+
+
 def test_defined_cases(spark):
     assert formatted(spark, []).count() == 0
     rows = [(None, 1, None, None), (None, None, "user", "x" * 300_000), (7, 0, "user", "a"),
