@@ -1,5 +1,8 @@
+import math
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 from stavemill.llm import page_text as P
 
@@ -70,3 +73,49 @@ def test_defined_cases(spark):
     assert sorted((str(r.page_id), len(r.text)) for r in got.collect()) == [
         ("1", 0), ("2", 1), ("2", 1), ("3", 39_999), ("None", 1)]
     assert P.extracted(df.limit(0)).count() == 0
+
+
+def test_innocent_class_names_keep_their_text():
+    text = "A sentence of the article that is long enough to be content. " * 3
+    for name in ("content-with-ads", "article-header-text", "has-sidebar", "post-with-comments-open", "no-footer",
+                 "download social-science"):
+        assert P.main_text(f'<article><div class="{name}"><p>{text}</p></div></article>') == text.strip(), name
+    for name in ("ad", "ad-box", "sidebar-left", "site_footer", "top-nav", "cookie-notice", "wide advert"):
+        assert P.main_text(f'<body><div class="{name}"><p>No.</p></div><p>{text}</p></body>') == text.strip(), name
+
+
+def test_broken_declarations_do_not_stop_a_page():
+    rng = random.Random(5)
+    pieces = ["<![", "<!", "<![ x ]>", "<![CDATA[", "]]>", "<![if !IE]>", "<![endif]-->", "<!DOCTYPE", "<?", ">", "<", "</",
+              "</p", "<p>", "<article>", "</article>", "<div", " class='ad'", "&#x;", "&amp", "-->", "<!--", "text ", "\x00",
+              "<![%", "<![IGNORE[", "<!ELEMENT [", "\"", "'"]
+    for _ in range(3000):
+        P.main_text("".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))))
+    assert P.main_text("<article><p>One two.</p><![ x ]><p>Three.</p></article>") == "One two.\nThree."
+
+
+def test_deep_nesting_takes_linear_time():
+    for html in ("<div>a" * 50_000, "<div>" * 50_000 + "</x>" * 50_000 + "a", "<span>" * 20_000 + "<p>a" * 20_000,
+                 "<div><p>a</p>" * 30_000 + "</div>" * 30_000):
+        start = time.perf_counter()
+        assert "a" in P.main_text(html)
+        assert time.perf_counter() - start < 20
+
+
+def test_ratios_smoothing_and_threshold_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        lines = [(rng.choice([1, 5, 90, 300]) * rng.randint(1, 5), rng.randint(0, 6)) for _ in range(rng.randint(1, 30))]
+        ratio = [n / max(1, tags) for n, tags in lines]
+        smooth = []
+        for i in range(len(ratio)):
+            near = [(math.exp(-(j - i) ** 2 / 2), ratio[j]) for j in range(max(0, i - 2), min(len(ratio), i + 3))]
+            smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        mean = sum(smooth) / len(smooth)
+        edge = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+        want = [x >= edge for x in smooth]
+        if not any(want):
+            want = [n == max(n for n, _ in lines) for n, _ in lines]
+        size, tags = (np.array(x, float) for x in zip(*lines))
+        assert np.allclose(P.smoothed(size / np.maximum(1, tags)), smooth)
+        assert list(P.content_lines(size, tags)) == want
