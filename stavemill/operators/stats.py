@@ -268,3 +268,32 @@ def job_stats(last: DataFrame) -> DataFrame:
         (F.sum(F.when(of("failed"), F.col("v") * F.col("c"))) / n_jobs).alias("failure_share"),
         quantile(0.5, of("delay")).alias("delay_p50"), quantile(0.95, of("delay")).alias("delay_p95"),
         quantile(0.5, of("exec")).alias("exec_p50"), quantile(0.95, of("exec")).alias("exec_p95"))
+
+
+#: KLL size: ranks are within about ``1 / 150`` of the exact ones, however many values and merges.
+KLL_K, KLL_ERROR = 400, 1 / 150
+
+
+def quantile_sketches(values: DataFrame, value: str, *parts: str) -> DataFrame:
+    """E20 / E22 in a form that can be stored and merged: ``(parts, n, sketch)``, a KLL sketch of a few kilobytes
+    for every part; parts that come later are merged without reading the earlier rows."""
+    return values.where(F.col(value).isNotNull()).groupBy(*parts).agg(
+        F.count("*").alias("n"), F.kll_sketch_agg_bigint(F.col(value).cast("bigint"), F.lit(KLL_K)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, probs: dict[str, float], *keys: str) -> DataFrame:
+    """``(keys, n, one column for each quantile)`` of all parts of a key together; nothing for no rows."""
+    merged = sketches.groupBy(*(keys or [F.lit("all").alias("_all")])).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", F.lit(KLL_K)).alias("sketch"))
+    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(p)).alias(name)
+                                       for name, p in probs.items()])
+
+
+def rank_errors(values: DataFrame, value: str, quantiles: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """``(name, p, error)``: how far the rank of each sketched quantile (one row of them) lies from ``p``."""
+    counts = value_counts(values, value).crossJoin(F.broadcast(quantiles.limit(1).drop("n")))
+    least = lambda name: F.coalesce(F.sum(F.when(F.col("v") < F.col(name), F.col("c"))), F.lit(0)) / F.max("n")
+    most = lambda name: F.coalesce(F.sum(F.when(F.col("v") <= F.col(name), F.col("c"))), F.lit(0)) / F.max("n")
+    rows = [F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), F.greatest(
+        F.lit(0.0), least(name) - p, F.lit(p) - most(name)).alias("error")) for name, p in probs.items()]
+    return counts.agg(F.array(*rows).alias("r")).select(F.inline("r"))

@@ -9,6 +9,7 @@ from ..functions.vocab import values_sql
 from ..operators import stats as ST
 from ..sources import fixtures as fx
 from ..sources.jobs import job_events
+from ..sources.storage import new_path
 from .base import SHARP_SQL, add_cte, midi_sql, register
 from .evaluate_queries import _round
 
@@ -176,6 +177,33 @@ def length_profile(spark, d):
                   "over_max")
 
 
+_PROBS = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+def _sketched(spark, values, value: str, part: str):
+    """Sketches stored part by part, merged, and their ranks against the exact ones."""
+    path = new_path(spark, "sketches")
+    ST.quantile_sketches(values, value, part).write.parquet(path)
+    merged = ST.merged_quantiles(spark.read.parquet(path), _PROBS)
+    return ST.rank_errors(values, value, merged, _PROBS).select(
+        "name", "p", (F.col("error") <= ST.KLL_ERROR).alias("within"))
+
+
+_WITHIN = "SELECT * FROM (VALUES ('p10', 0.1::DOUBLE, true), ('p50', 0.5, true), ('p90', 0.9, true), " \
+          "('p99', 0.99, true)) AS t(name, p, within) WHERE EXISTS (SELECT * FROM events)"
+
+
+@register("e20_length_sketches", _WITHIN)
+def length_sketches(spark, d):
+    lens = fx.labels(spark, d).select((F.col("score_id") % 8).alias("part"), F.size("tokens").alias("len"))
+    return _sketched(spark, lens, "len", "part")
+
+
+@register("e22_delay_sketches", _WITHIN)
+def delay_sketches(spark, d):
+    return _sketched(spark, _last_status(spark, d), "delay_ms", "status")
+
+
 @register("e21_vocab_coverage", """
 SELECT score_id, count(*) AS n_tokens, count(*) FILTER (v.token IS NULL) AS n_unknown,
   round(count(*) FILTER (v.token IS NULL) / count(*), 6) AS unknown_share,

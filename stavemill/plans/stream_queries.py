@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions.tokens import normalize_job_status
@@ -49,6 +50,33 @@ def read_labels(spark, d):
                     F.size("tokens").alias("n_tokens"), "skipped")
 
 
+def _metrics(spark, rows, count, name: str):
+    """The metrics of writing ``rows``, as a row."""
+    seen = Observation(name)
+    count(rows, seen).write.parquet(new_path(spark, name))
+    got = seen.get
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} bigint" for k in got))
+
+
+@register("s01_label_counts", "SELECT count(DISTINCT score_id) AS rows, count(DISTINCT score_id) FILTER (score_id % 4 <> "
+          "1) AS read, CAST(0 AS BIGINT) AS unreadable, count(DISTINCT score_id) FILTER (score_id % 4 = 1) AS empty "
+          "FROM tok", ("tok",))
+def label_counts(spark, d):
+    """Every fourth label is empty; counted while the labels are read."""
+    path = new_path(spark, "labels")
+    LB.write_labels(fx.tokens(spark, d).withColumn("token", F.when(F.col("score_id") % 4 == 1, "<PAD>").otherwise(
+        F.col("token"))), path)
+    return _metrics(spark, LB.read_labels(spark, path).drop("system_breaks"), LB.counted_labels, "label-counts")
+
+
+@register("s03_pair_counts", """
+SELECT count(*) AS rows, count(*) FILTER (i.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS pair,
+  count(*) FILTER (l.doc_id IS NULL) AS image_only, count(*) FILTER (i.doc_id IS NULL) AS label_only
+FROM (SELECT doc_id FROM documents WHERE doc_id % 5 <> 1) i FULL JOIN (SELECT doc_id FROM labels) l USING (doc_id)""")
+def pair_counts(spark, d):
+    return _metrics(spark, LB.pair_manifest(*manifest_files(spark, d)), LB.counted_pairs, "pair-counts")
+
+
 @register("s02_write_labels", "SELECT score_id, string_agg(token, ' ' ORDER BY pos) AS toks, CASE WHEN "
           "score_id % 2 = 0 THEN '1' END AS breaks FROM tok GROUP BY 1", ("tok",))
 def write_labels(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,11 +19,11 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def read_labels(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, one_per_file: bool = False, stream: bool = False) -> DataFrame:
     """``(score_id, tokens, system_breaks, skipped)``. ``one_per_file`` reads whole JSON files
     named after the score; otherwise every line is a label carrying its id. Unreadable or empty
     labels stay as rows with a ``skipped`` reason."""
-    raw = (spark.read.schema(LABEL_SCHEMA).option("mode", "PERMISSIVE")
+    raw = ((spark.readStream if stream else spark.read).schema(LABEL_SCHEMA).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record")
            .option("multiLine", one_per_file).json(path))
     key = file_stem(F.col("_metadata.file_path")) if one_per_file else F.col("id")
@@ -44,6 +44,23 @@ def skip_report(labels: DataFrame) -> DataFrame:
         F.count("*").alias("n"))
 
 
+def counted(rows: DataFrame, metrics: Observation | str, outcome: Column, *outcomes: str) -> DataFrame:
+    """The rows, counted as they pass: ``rows`` and one metric for each of ``outcomes``. An ``Observation`` has
+    them after the first action; a stream, which takes a name, reports them with every batch."""
+    return rows.observe(metrics, F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(outcome == o).alias(o) for o in outcomes])
+
+
+def counted_labels(labels: DataFrame, metrics: Observation | str) -> DataFrame:
+    """Counts of usable, unreadable and empty labels as metrics of the read itself."""
+    return counted(labels, metrics, F.coalesce("skipped", F.lit("read")), "read", "unreadable", "empty")
+
+
+def counted_pairs(pairs: DataFrame, metrics: Observation | str) -> DataFrame:
+    """S3: counts of pairs and orphans of both sides as metrics of the manifest itself."""
+    return counted(pairs, metrics, F.col("status"), "pair", "image_only", "label_only")
+
+
 def write_labels(tokens: DataFrame, path: str, breaks: DataFrame | None = None) -> None:
     """One JSON object per score, in as many files as there are partitions."""
     rows = tokens.groupBy(F.col("score_id").cast("string").alias("id")).agg(
