@@ -35,6 +35,16 @@ def stack(pred: DataFrame, truth: DataFrame, evaluated: DataFrame | None = None)
     return both.filter("_lo = 'g' AND _hi = 'p'").drop("_lo", "_hi")
 
 
+def stack_labels(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """``stack`` of two label tables ``(score_id, tokens)``: the arrays meet before they become rows, so tables
+    with the same buckets need no exchange."""
+    both = truth.select("score_id", F.col("tokens").alias("g")).join(
+        pred.select("score_id", F.col("tokens").alias("p")), "score_id")
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("tokens")) for s in ("g", "p")])
+    return both.where((F.size("g") > 0) & (F.size("p") > 0)).select("score_id", F.inline(sides)).select(
+        "score_id", "side", F.posexplode("tokens").alias("pos", "token")).select("score_id", "pos", "token", "side")
+
+
 def _symbols(rows: DataFrame, exact: bool = False) -> DataFrame:
     """Adds ``sym``, one character per token; tokens outside the vocabulary share the unknown one.
     ``exact`` adds ``code``, where they stay distinct: each takes the character of its place among

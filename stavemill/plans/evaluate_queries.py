@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
 from ..sources import fixtures as fx
+from ..sources import labels as LB
+from ..sources.storage import new_path
 from .base import add_cte, register, sql_list
 from .sequence_queries import _orphan_sql, _span_sql
 from ..functions.tokens import BARLINE_SETS
@@ -147,6 +149,24 @@ def measure_ter(spark, d):
     return _round(EV.measure_ter(sides(spark, d)), "ter")
 
 
+def stored(spark, rows, name: str, buckets: int):
+    """A token table as a bucketed table in the shared folder."""
+    labels = rows.groupBy("score_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))),
+                                                      lambda x: x["token"]).alias("tokens"))
+    path = new_path(spark, name)
+    return LB.store_labels(labels, path.rsplit("/", 1)[1].replace("-", "_"), path, buckets)
+
+
+@register("e03_stored_measure_ter", "SELECT score_id, dist, gt_len, pred_len, round(ter, 6) AS ter FROM mter",
+          ("mter",))
+def stored_measure_ter(spark, d):
+    """Predictions and truth in tables with the same buckets."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = EV.stack_labels(stored(spark, fx.predictions(spark, d), "predictions", n),
+                           stored(spark, fx.tokens(spark, d), "truth", n))
+    return _round(EV.measure_ter(both), "ter")
+
+
 @register("e04_note_error_rate", "SELECT score_id, round(note_err, 6) AS note_err FROM noteerr",
           ("noteerr",))
 def note_error_rate(spark, d):

@@ -72,6 +72,19 @@ def write_labels(tokens: DataFrame, path: str, breaks: DataFrame | None = None)
     rows.write.mode("errorifexists").json(path)
 
 
+def store_labels(labels: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """S2 as a table: ``(score_id, tokens, ...)`` bucketed and sorted by ``score_id``. Whatever is computed per
+    score from such a table needs no exchange, and tables with the same number of buckets meet without one."""
+    labels.repartition(buckets, "score_id").write.bucketBy(buckets, "score_id").sortBy("score_id").option(
+        "path", path).saveAsTable(name)
+    return labels.sparkSession.table(name)
+
+
+def stored_tokens(labels: DataFrame) -> DataFrame:
+    """``(score_id, pos, token)`` of a stored table; it stays bucketed."""
+    return labels.select("score_id", F.posexplode("tokens").alias("pos", "token"))
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """File paths and lengths; the content column is never read."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -59,3 +59,19 @@ def test_upsert_keeps_places_and_puts_new_scores_first(spark):
 
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_stored_labels_need_no_exchange(spark):
+    from stavemill.operators import evaluate as EV
+    from stavemill.operators import repair as R
+    from stavemill.plans.evaluate_queries import stored
+    from stavemill.sources import fixtures as fx
+    d = "/root/testdata/sf0.001"
+    truth = stored(spark, fx.tokens(spark, d), "truth", 6)
+    pred = stored(spark, fx.predictions(spark, d), "pred", 6)
+    repaired = R.repair(LB.stored_tokens(truth))
+    for df in (repaired, EV.measure_ter(EV.stack_labels(pred, truth))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan
+    want = sorted(map(tuple, R.repair(fx.tokens(spark, d)).collect()))
+    assert sorted(map(tuple, repaired.collect())) == want
