@@ -14,11 +14,12 @@ Counts of declared languages, suffixes, domains and hosts come from grouped aggr
 text is scored once, in a pandas UDF, and only its scores go on. Hot hosts shrink to counts before the
 shuffle; the host table is joined back as a shuffle join whose hot side adaptive execution splits.
 
-Declared languages are counted over all rows; those with fewer than ``MIN_TRAIN`` rows are left out. The trigram
-model is trained on about ``MAX_TRAIN`` rows shared evenly by the others (but ``LEAST_TRAIN`` each at least),
-those with the lowest hashes of id and text; of a language with fewer rows, on all of them.
+Declared languages are counted over all rows, and each is a possible answer. The trigram model is trained on about
+``MAX_TRAIN`` rows shared evenly by them (but ``LEAST_TRAIN`` each at least), those with the lowest hashes of id and
+text; of a language with fewer rows, on all of them. Every language backs off to the model of all together, so one
+with few rows neither attracts what it has not seen nor gets lost.
 
-Defined cases: null or blank text gives no text evidence; missing declarations, suffixes and hosts give
+Defined cases: null or blank text gives no text evidence; missing or empty declarations, suffixes and hosts give
 none of theirs; without any evidence the language is the most frequent one; without training rows it is
 null; ties go to the first language by name; equal rows give equal rows.
 """
@@ -37,12 +38,14 @@ from pyspark.sql import functions as F
 from .common import packed, register, small, small_batches, staged, table
 from .page_text import main_text
 
-MAX_TRAIN, MIN_TRAIN = 4000, 5
+MAX_TRAIN = 4000
 #: Sampled rows that no language's share of ``MAX_TRAIN`` falls below.
 LEAST_TRAIN = 100
 TEXT_WEIGHT = 40.0
 #: Trigrams kept for the model and pseudo-counts.
 MAX_TRIGRAMS, SMOOTHING = 20_000, 0.5
+#: Trigrams of the model of all languages together that every language's own are added to.
+SHARED = 2000.0
 EVIDENCE_SMOOTHING, PRIOR_WEIGHT = 1.0, 10.0
 
 
@@ -61,8 +64,12 @@ class Model:
         self.langs = langs
         self.place = {g: i for i, (g, _) in enumerate(total.most_common(MAX_TRIGRAMS))}
         self.log = np.empty((len(self.place) + 1, len(langs)))
+        shared = np.full(len(self.place) + 1, SMOOTHING)
+        for g, k in total.items():
+            shared[self.place.get(g, -1)] += k
+        shared /= shared.sum()
         for j, lang in enumerate(langs):
-            n = np.full(len(self.place) + 1, SMOOTHING)
+            n = SHARED * shared
             for g, k in counts[lang].items():
                 n[self.place.get(g, -1)] += k
             self.log[:, j] = np.log(n / n.sum())
@@ -82,7 +89,7 @@ def train(rows: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     """``rows`` (id, text, declared). Trigrams of the sample are counted in its tasks."""
     known = rows.where("declared is not null and text is not null")
     totals = {r["declared"]: r["count"] for r in known.groupBy("declared").count().collect()}
-    langs = sorted(lang for lang, n in totals.items() if n >= min(MIN_TRAIN, max(totals.values())))
+    langs = sorted(totals)
     if not langs:
         return None
     bound = max(LEAST_TRAIN, max_train // len(langs))
@@ -132,9 +139,9 @@ def identify(docs: DataFrame, ident: Column, text: Column, declared: Column, hos
     """Adds to the packed ``row``: lang, confidence, text_lang, evidence (number of kinds used)."""
     small_batches(docs.sparkSession)
     none = F.lit(None).cast("string")
-    rows = packed(docs, id=ident, text=text, declared=F.coalesce(declared, none),
-                  host=F.coalesce(host, none), domain=F.coalesce(domain, none),
-                  suffix=F.coalesce(suffix, none))
+    stated = lambda c: F.when(F.coalesce(c, none) != "", c).otherwise(none)
+    rows = packed(docs, id=ident, text=text, declared=stated(declared), host=stated(host), domain=stated(domain),
+                  suffix=stated(suffix))
     model = train(rows.select("id", "text", "declared"))
     if model is None:
         return rows.select("row", none.alias("lang"), F.lit(None).cast("double").alias("confidence"),

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 from stavemill.llm import langid as L
 
@@ -71,3 +73,52 @@ def test_rare_languages_are_learned_at_any_size(spark):
     model = L.train(df.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared")), 300)
     assert model.langs == ["de", "en", "fr", "no"]
     assert model.langs[model.scores("det er ikke til og som").argmax()] == "no"
+
+
+def test_a_language_of_few_rows_is_kept(spark):
+    rng = random.Random(4)
+    data = [(i, " ".join(rng.choice(WORDS["en"]) for _ in range(20)), "h", "en", "en") for i in range(50)]
+    data += [(100 + i, " ".join(rng.choice(WORDS["fr"]) for _ in range(20)), "h", "fr", "fr") for i in range(4)]
+    got = {r.row.doc_id: r for r in identified(frame(spark, data)).collect()}
+    assert {i: got[i].lang for i, *_ in data} == {i: lang for i, _, _, _, lang in data}
+
+
+def test_posterior_against_brute_force(spark):
+    rng = random.Random(6)
+    schema = "doc_id long, text string, lang string, host string, domain string, suffix string"
+    data = [(i, text if i % 7 else None, said if i % 5 else "", f"h{i % 4}.{lang}", lang if i % 3 else None,
+             lang if i % 2 else "com") for i, text, _, said, lang in rows(rng, 200)]
+    df = spark.createDataFrame(data, schema)
+    c = F.col
+    got = {r.row.doc_id: r for r in L.identify(df, c("doc_id"), c("text"), c("lang"), c("host"), c("domain"),
+                                               c("suffix")).collect()}
+    model = L.train(df.select(c("doc_id").alias("id"), "text", F.when(c("lang") != "", c("lang")).alias("declared")))
+    k = len(model.langs)
+    score = {r[0]: model.scores(r[1]) for r in data}
+    best = {i: None if s.max() == s.min() else int(s.argmax()) for i, s in score.items()}
+
+    def table_of(col):
+        return {v: [sum(r[col] == v and best[r[0]] == j for r in data) for j in range(k)]
+                for v in {r[col] for r in data} - {None, ""}}
+
+    def evidence(col, v):
+        seen = table_of(col)
+        if not v:
+            return np.zeros(k)
+        return np.array([math.log((seen[v][j] + 1) / (sum(x[j] for x in seen.values()) + len(seen) + 1)) for j in range(k)])
+
+    def smooth(n, parent):
+        return (np.array(n) + L.PRIOR_WEIGHT * parent) / (sum(n) + L.PRIOR_WEIGHT)
+
+    whole = [sum(b == j for b in best.values()) for j in range(k)]
+    base = (np.array(whole) + 1) / (sum(whole) + k)
+    hosts = table_of(3)
+    for i, _, said, host, domain, suffix in data:
+        # Hosts keep one of their domains' shares; here every host has rows with and without its domain.
+        parents = [smooth([sum(r[4] == d and best[r[0]] == j for r in data) for j in range(k)], base)
+                   for d in {r[4] for r in data if r[3] == host}]
+        options = []
+        for parent in parents:
+            total = score[i] + evidence(2, said) + evidence(5, suffix) + np.log(smooth(hosts[host], parent))
+            options.append((model.langs[int(total.argmax())], round(float(1 / np.exp(total - total.max()).sum()), 9)))
+        assert (got[i].lang, round(got[i].confidence, 9)) in options
