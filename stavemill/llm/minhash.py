@@ -53,6 +53,8 @@ FEW = 32
 PART = 512
 #: Prefixes of at most so many tokens are carried along to propose a pair once.
 CARRIED = 256
+#: Hash ranges of tokens: at least so many, and one for so many characters of text.
+LEAST_RANGES, RANGE_CHARS = 16, 8_000_000
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,31 +162,52 @@ def rare_tokens(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """``nodes`` (node, class) to (node, class, size, token, rank, before): the shingles of each, the n-th
     occurrence as a token of its own, ranked from the rarest among these nodes; only ranks that a pair at
     the threshold can need, and only tokens that two nodes share. ``before`` are the node's tokens of lower
-    rank, none for nodes with more than ``CARRIED`` of them."""
-    @F.pandas_udf("array<long>")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _Words()
-        for s in batches:
-            out = []
-            for t in s:
-                e, c = shingles(t, known)
-                nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                out.append(_mix(np.repeat(e, c) ^ nth.astype(np.uint64)).view(np.int64))
-            yield pd.Series(out, dtype="object")
+    rank, none for nodes with more than ``CARRIED`` of them.
 
+    Tokens travel in arrays: a node's tokens are dealt to ranges of their hash, each range is counted as a whole,
+    and only the prefix becomes rows."""
     # Staged before the tokens are made, or they would be made of every text that the join reads.
     bags = staged(nodes.join(texts, "node").select("node", "class", "text"), "open-texts")
-    bags = bags.select("node", "class", tokens("text").alias("t"))
-    each = staged(bags.select("node", "class", F.size("t").alias("size"), F.explode("t").alias("token")),
-                  "tokens")
-    shared = each.groupBy("token").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("node").orderBy("n", "token")
-    ranked = (each.join(shared, "token").withColumn("rank", F.row_number().over(order))
-              .where("rank <= floor(size / 5) + 1 and n > 1"))
-    few = F.count("*").over(Window.partitionBy("node")) <= CARRIED
-    before = F.collect_list(F.when(F.col("few"), F.col("token"))).over(
-        order.rowsBetween(Window.unboundedPreceding, -1))
-    return ranked.withColumn("few", few).withColumn("before", before).drop("few", "n")
+    chars = bags.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    ranges = max(LEAST_RANGES, -(-chars // RANGE_CHARS))
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Words()
+        for batch in batches:
+            out = []
+            for node, label, text in zip(batch["node"], batch["class"], batch["text"]):
+                e, c = shingles(text, known)
+                nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+                t = np.sort(_mix(np.repeat(e, c) ^ nth.astype(np.uint64)))
+                at = (t >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                cuts = np.flatnonzero(np.diff(at)) + 1
+                out += [(node, label, len(t), int(part[0] >> np.uint64(32)) * ranges >> 32, part.view(np.int64))
+                        for part in np.split(t, cuts)]
+            yield pd.DataFrame(out, columns=["node", "class", "size", "range", "tokens"])
+
+    def counted(part: pd.DataFrame) -> pd.DataFrame:
+        lengths = [len(t) for t in part["tokens"]]
+        _, which, n = np.unique(np.concatenate(part["tokens"].to_list()), return_inverse=True, return_counts=True)
+        return part[["node", "class", "size", "tokens"]].assign(
+            n=np.split(n[which], np.cumsum(lengths)[:-1]))
+
+    parts = bags.mapInPandas(dealt, "node long, class long, size int, range long, tokens array<long>")
+    each = parts.groupBy("range").applyInPandas(
+        counted, "node long, class long, size int, tokens array<long>, n array<long>")
+    pairs = F.arrays_zip(F.col("n"), F.col("tokens").alias("token"))
+    least = (each.select("node", "class", "size", pairs.alias("t")).groupBy("node", "class", "size")
+             .agg(F.array_sort(F.flatten(F.collect_list("t"))).alias("t"))
+             .select("node", "class", "size", F.slice("t", F.lit(1), F.floor(F.col("size") / 5).cast("int") + 1)
+                     .alias("t")))
+    # Tokens of one node only come first; the others keep their rank.
+    alone = F.size(F.filter("t", lambda x: x["n"] == 1))
+    shared = least.withColumn("alone", alone).withColumn("t", F.transform(
+        F.filter("t", lambda x: x["n"] > 1), lambda x: x["token"]))
+    none = F.array().cast("array<long>")
+    before = F.when(F.size("t") <= CARRIED, F.slice("t", F.lit(1), F.col("i"))).otherwise(none)
+    return staged(shared.select("node", "class", "size", "alone", "t", F.posexplode("t").alias("i", "token")).select(
+        "node", "class", "size", "token", (F.col("alone") + F.col("i") + 1).alias("rank"), before.alias("before")),
+        "tokens")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
