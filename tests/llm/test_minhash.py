@@ -140,7 +140,7 @@ def test_ids_do_not_decide_what_is_compared(spark, docs):
 def test_large_buckets_are_cut_and_the_prefix_proposes_once(spark, docs):
     rng = random.Random(11)
     base = [f"w{i}" for i in range(60)]
-    rows = [(i, edited(rng, base, rng.randint(0, 4))) for i in range(700)]
+    rows = [(i, edited(rng, base, rng.randint(0, 4))) for i in range(540)]
     got = M.near_duplicates(docs(rows).select(F.col("doc_id").alias("id"), "text"))
     assert {r.id: r["class"] for r in got.collect()} == brute_classes(rows)
 
