@@ -16,7 +16,7 @@ rows are ranked within their bin.
 
 Defined cases: null text has size 1; null ids hash like any value, with source and text as the rest of
 the hash; equal rows share a hash and stay together; with less rows than shards some shards are empty;
-an empty table gives an empty result.
+an empty table gives an empty result; added columns whose name a table has already get an underscore.
 """
 
 from __future__ import annotations
@@ -160,14 +160,23 @@ def with_slots(rows: DataFrame, *tie: Column) -> DataFrame:
             .withColumn("slot", F.col("first") + rank - 1).drop("first", "bin"))
 
 
+def free_name(name: str, rows: DataFrame) -> str:
+    """``name``, or with underscores before it where the row has a column of that name."""
+    taken = {c.lower() for c in rows.select("row.*").columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def rewrite(rows: DataFrame, out_dir: str, shards: int = SHARDS) -> list[int]:
     """Writes the new files of every shard whose rows change, one folder for each, and returns their
     numbers; the files of other shards stay as they are."""
+    name = free_name("new_shard", rows)
     lost = {r["old"] for r in rows.where("old <> shard").select("old").distinct().collect()}
     won = {r["shard"] for r in rows.where("old <> shard").select("shard").distinct().collect()}
     touched = sorted(x for x in lost | won if x < shards)
-    (rows.where(F.col("shard").isin(touched)).select("row.*", F.col("shard").alias("new_shard"))
-     .write.partitionBy("new_shard").parquet(out_dir))
+    (rows.where(F.col("shard").isin(touched)).select("row.*", F.col("shard").alias(name))
+     .write.partitionBy(name).parquet(out_dir))
     return touched
 
 
@@ -204,4 +213,5 @@ def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     crc = F.crc32(F.coalesce("text", F.lit("")))
     rows = shard_documents(docs, text_bytes(F.col("text")), crc)
     rows = with_slots(rows, F.col("row.doc_id"), F.col("row.text"))
-    return rows.select("row.*", F.col("shard").alias("new_shard"), F.col("slot").alias("new_slot"))
+    return rows.select("row.*", F.col("shard").alias(free_name("new_shard", rows)),
+                       F.col("slot").alias(free_name("new_slot", rows)))

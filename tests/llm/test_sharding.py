@@ -70,3 +70,14 @@ def test_rewrite_touches_changed_shards_only(spark, docs, tmp_path):
     assert {r.new_shard for r in back.select("new_shard").distinct().collect()} <= set(touched)
     assert back.count() == rows.where(F.col("shard").isin(touched)).count()
     assert S.pipeline_stage(spark, df, "").columns == df.columns + ["new_shard", "new_slot"]
+
+
+def test_added_columns_never_clash(spark, docs, tmp_path):
+    df = docs([(i, "t" * i, "ab"[i % 2]) for i in range(40)]).withColumn("new_shard", F.lit("x")).withColumn(
+        "NEW_SLOT", F.lit("y"))
+    out = S.pipeline_stage(spark, df, "")
+    assert out.columns == df.columns + ["_new_shard", "_new_slot"]
+    out.write.parquet(str(tmp_path / "stage"))
+    rows = S.shard_documents(df, S.text_bytes(F.col("text")), F.crc32("text"))
+    S.rewrite(rows, str(tmp_path / "out"))
+    assert set(spark.read.parquet(str(tmp_path / "out")).columns) == {*df.columns, "_new_shard"}
