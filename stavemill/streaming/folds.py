@@ -36,6 +36,17 @@ def _state(**cols: Column) -> Column:
     return F.struct(*[c.alias(k) for k, c in cols.items()])
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: the folds are interpreted, so an expression that is used
+    twice would be evaluated twice, and what it uses four times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _marks(s: Column, mark: Column, marked: bool) -> Column:
+    """The marks so far as one text, each followed by a comma: an array would be copied for every message."""
+    return F.concat(s["marks"], mark, F.lit(",")) if marked else s["marks"]
+
+
 def _zero() -> Column:
     return F.lit(0).cast("bigint")
 
@@ -55,41 +66,49 @@ def _steps(measures: Column) -> Column:
                                  lambda steps, m: F.transform(steps, lambda s: one(s, m))))
 
 
-def performance(plan: Column, presses: Column) -> Column:
+def performance(plan: Column, presses: Column, marked: bool = True) -> Column:
     """R3. The state is the next step of each hand, the held keys and the totals. What a press may
     complete is one array: both hands' tones if their next steps start together, else those of the hand
     that needs the key, the right one first."""
-    start = _state(r=F.lit(0), l=F.lit(0), held=_none(), right=_zero(), wrong=_zero(), marks=_none())
+    start = _state(r=F.lit(0), l=F.lit(0), held=_none(), right=_zero(), wrong=_zero(), marks=F.lit(""))
     right, left = F.col("rights"), F.col("lefts")
 
     def press(s, x):
-        a, b = F.get(right, s["r"]), F.get(left, s["l"])
+        return _let(_state(a=F.get(right, s["r"]), b=F.get(left, s["l"])), lambda due: _let(
+            offered(due["a"], due["b"]), lambda o: _let(wanted(s, x, due, o), lambda w: _let(
+                verdict(x, due, o, w), lambda v: after(s, o, w, v)))))
+
+    def offered(a, b):
         now = F.least(a["measure"], b["measure"])  # an empty or finished hand does not hold the other
-        mine = F.when(a["measure"] == now, a["tones"]).otherwise(_none())
-        other = F.when(b["measure"] == now, b["tones"]).otherwise(_none())
-        together = F.coalesce((a["measure"] == b["measure"]) & (a["beat"] == b["beat"]), F.lit(False))
-        first = ~together & F.array_contains(mine, x["pitch"])
-        second = ~together & ~first & F.array_contains(other, x["pitch"])
-        want = F.when(together, F.concat(mine, other)).when(first, mine).when(second, other).otherwise(
-            _none())
-        held = F.array_union(s["held"], F.array(x["pitch"]))
-        touch = ~plan["midi"] & ~together & (F.size(want) > 1)
-        high = F.when(first, a["high"]).otherwise(b["high"])
-        ready = F.when(touch, x["pitch"] == high).otherwise(F.size(F.array_except(want, held)) == 0)
-        wrong = ~F.array_contains(want, x["pitch"])
-        hit = ~wrong & ready
-        mark = F.when(wrong, WRONG).when(hit, RIGHT).otherwise(WAITED)
-        return _state(r=s["r"] + (hit & (together | first)).cast("int"),
-                      l=s["l"] + (hit & (together | second)).cast("int"), held=held,
-                      right=s["right"] + F.when(hit, F.size(want)).otherwise(0),
-                      wrong=s["wrong"] + wrong.cast("int"), marks=F.concat(s["marks"], F.array(mark)))
+        return _state(mine=F.when(a["measure"] == now, a["tones"]).otherwise(_none()),
+                      other=F.when(b["measure"] == now, b["tones"]).otherwise(_none()),
+                      together=F.coalesce((a["measure"] == b["measure"]) & (a["beat"] == b["beat"]), F.lit(False)))
+
+    def wanted(s, x, due, o):
+        first = ~o["together"] & F.array_contains(o["mine"], x["pitch"])
+        second = ~o["together"] & ~F.array_contains(o["mine"], x["pitch"]) & F.array_contains(o["other"], x["pitch"])
+        return _state(first=first, second=second, held=F.array_union(s["held"], F.array(x["pitch"])),
+                      want=F.when(o["together"], F.concat(o["mine"], o["other"])).when(first, o["mine"]).when(
+                          second, o["other"]).otherwise(_none()))
+
+    def verdict(x, due, o, w):
+        touch = ~plan["midi"] & ~o["together"] & (F.size(w["want"]) > 1)
+        high = F.when(w["first"], due["a"]["high"]).otherwise(due["b"]["high"])
+        ready = F.when(touch, x["pitch"] == high).otherwise(F.size(F.array_except(w["want"], w["held"])) == 0)
+        return _let(~F.array_contains(w["want"], x["pitch"]), lambda wrong: _state(wrong=wrong, hit=~wrong & ready))
+
+    def after(s, o, w, v):
+        mark = F.when(v["wrong"], WRONG).when(v["hit"], RIGHT).otherwise(WAITED)
+        return _state(r=s["r"] + (v["hit"] & (o["together"] | w["first"])).cast("int"),
+                      l=s["l"] + (v["hit"] & (o["together"] | w["second"])).cast("int"), held=w["held"],
+                      right=s["right"] + F.when(v["hit"], F.size(w["want"])).otherwise(0),
+                      wrong=s["wrong"] + v["wrong"].cast("int"), marks=_marks(s, mark, marked))
 
     def step(s, x):
         over = (s["r"] >= F.size(right)) & (s["l"] >= F.size(left))
         off = F.array_remove(s["held"], x["pitch"])
         skip = _state(r=s["r"], l=s["l"], held=F.when(x["kind"] == "off", off).otherwise(s["held"]),
-                      right=s["right"], wrong=s["wrong"],
-                      marks=F.concat(s["marks"], F.array(F.lit(IGNORED))))
+                      right=s["right"], wrong=s["wrong"], marks=_marks(s, F.lit(IGNORED), marked))
         return F.when((x["kind"] == "off") | over, skip).otherwise(press(s, x))
 
     return F.aggregate(presses, start, step, lambda s: _state(
@@ -97,26 +116,26 @@ def performance(plan: Column, presses: Column) -> Column:
         done=(s["r"] >= F.size(right)) & (s["l"] >= F.size(left)) & (F.size(right) + F.size(left) > 0)))
 
 
-def wait(plan: Column, presses: Column) -> Column:
+def wait(plan: Column, presses: Column, marked: bool = True) -> Column:
     """Only the expected pitch advances; anything else is a wrong mark."""
-    start = _state(i=F.lit(0), wrong=_zero(), marks=_none())
+    start = _state(i=F.lit(0), wrong=_zero(), marks=F.lit(""))
 
     def step(s, x):
         live = (x["kind"] == "on") & (s["i"] < F.size(plan["notes"]))
         hit = live & (x["pitch"] == F.get(plan["notes"], s["i"]))
         mark = F.when(hit, RIGHT).when(live, WRONG).otherwise(IGNORED)
         return _state(i=s["i"] + hit.cast("int"), wrong=s["wrong"] + (live & ~hit).cast("int"),
-                      marks=F.concat(s["marks"], F.array(mark)))
+                      marks=_marks(s, mark, marked))
 
     return F.aggregate(presses, start, step, lambda s: _state(
         right=s["i"].cast("bigint"), wrong=s["wrong"], marks=s["marks"],
         done=s["i"] >= F.size(plan["notes"])))
 
 
-def quiz(plan: Column, presses: Column) -> Column:
+def quiz(plan: Column, presses: Column, marked: bool = True) -> Column:
     """One note, a chord in any order (a wrong key empties it), or a sequence (a wrong key does
     not set it back)."""
-    start = _state(got=_none(), right=_zero(), wrong=_zero(), done=F.lit(False), marks=_none())
+    start = _state(got=_none(), right=_zero(), wrong=_zero(), done=F.lit(False), marks=F.lit(""))
     chord = plan["mode"] == "chord"
     length = F.when(plan["mode"] == "note", 1).otherwise(F.size(plan["notes"]))
 
@@ -132,7 +151,7 @@ def quiz(plan: Column, presses: Column) -> Column:
         mark = F.when(hit, RIGHT).when(live, WRONG).otherwise(IGNORED)
         return _state(got=got, right=s["right"] + hit.cast("int"),
                       wrong=s["wrong"] + (live & ~hit).cast("int"), done=s["done"] | (hit & full),
-                      marks=F.concat(s["marks"], F.array(mark)))
+                      marks=_marks(s, mark, marked))
 
     return F.aggregate(presses, start, step, lambda s: _state(
         right=s["right"], wrong=s["wrong"], marks=s["marks"], done=s["done"]))
@@ -141,26 +160,33 @@ def quiz(plan: Column, presses: Column) -> Column:
 FOLDS = {"performance": performance, "wait": wait, "quiz": quiz}
 
 
-def graded(rows: DataFrame, mode: str) -> DataFrame:
-    """``(session_id, seen, correct, wrong, done, presses)``; ``presses`` are (seq, pitch, mark) of the
-    keys that went down, with the mark hit, wrong or wait (the rest of its step is missing)."""
+def _folded(rows: DataFrame, mode: str, marked: bool) -> DataFrame:
+    """Every session with its fold in ``g``; its marks are kept only if they are asked for."""
     df = messages_of(rows, mode)
     if mode == "performance":
         df = df.withColumn("rights", _steps(F.col("plan.t"))).withColumn("lefts", F.when(
             F.col("plan.both"), _steps(F.col("plan.b"))).otherwise(_steps(F.lit(None).cast(_STEPS))))
-    df = df.withColumn("g", FOLDS[mode](F.col("plan"), F.col("presses")))
-    marked = F.filter(F.zip_with("presses", "g.marks", lambda x, m: F.struct(
+    return df.withColumn("g", FOLDS[mode](F.col("plan"), F.col("presses"), marked))
+
+
+def _totals() -> list:
+    return ["session_id", "seen", F.col("g.right").alias("correct"), F.col("g.wrong").alias("wrong"),
+            F.col("g.done").alias("done")]
+
+
+def graded(rows: DataFrame, mode: str) -> DataFrame:
+    """``(session_id, seen, correct, wrong, done, presses)``; ``presses`` are (seq, pitch, mark) of the
+    keys that went down, with the mark hit, wrong or wait (the rest of its step is missing)."""
+    marked = F.filter(F.zip_with("presses", F.split("g.marks", ","), lambda x, m: F.struct(
         x["seq"].alias("seq"), x["pitch"].alias("pitch"), m.alias("mark"))), lambda x: x["mark"] != IGNORED)
-    return df.select("session_id", "seen", F.col("g.right").alias("correct"),
-                     F.col("g.wrong").alias("wrong"), F.col("g.done").alias("done"),
-                     marked.alias("presses"))
+    return _folded(rows, mode, True).select(*_totals(), marked.alias("presses"))
 
 
 def grades(rows: DataFrame, mode: str) -> DataFrame:
     """Totals of each session; as a stream (update mode) the totals so far, with the messages that came late."""
     if rows.isStreaming:
         return stateful.grades_stream(rows, mode)
-    return graded(rows, mode).drop("presses")
+    return _folded(rows, mode, False).select(*_totals())
 
 
 def press_marks(rows: DataFrame, mode: str = "performance") -> DataFrame:
