@@ -247,7 +247,7 @@ def score_document(spark, d):
 def stored_documents(spark, d):
     """Every score as the text of its document, with a title and a creation time."""
     t = fx.tokens(spark, d)
-    meta = t.select("score_id").distinct().select(
+    meta = fx.labels(spark, d).filter(F.size("tokens") > 0).select(
         "score_id", F.concat(F.lit('Étude "'), F.col("score_id").cast("string"), F.lit('"')).alias("title"),
         (F.col("score_id") * 1000 + 7).alias("created_at"))
     return N.to_score_document(N.tokens_to_notes(t), N.score_attributes(t), meta)

@@ -84,7 +84,7 @@ def labels(spark: SparkSession, sf_dir: str, specials: bool = False) -> DataFram
     once the tokens are exploded."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ev = spark.sql(EVENT_TOKENS_SQL, events=table(spark, sf_dir, "events")).repartition(n, "score_id")
-    toks = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "toks"))),
+    toks = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "toks"))),
                                  lambda e: F.split(e["toks"], " ")))
     if specials:
         toks = F.concat(F.array(F.lit("<SOS>")), toks, F.array(F.lit("<EOS>")))
